@@ -69,11 +69,14 @@ def train(labelled: DataFrame, steps: int = 300, rate: float = 0.5, penalty: flo
     data = sorted((sorted(r.x), int(r.label)) for r in rows)
     w, bias = [0.0] * BUCKETS, 0.0
     norm = [1 / math.sqrt(len(x)) if x else 0.0 for x, _ in data]
+    ones = sum(y for _, y in data)
+    weight = [len(data) / 2 / max(1, ones if y else len(data) - ones) for _, y in data]  # both classes weigh the same
     for _ in range(steps if data else 0):
         grad, up = {}, 0.0
-        for (x, y), s in zip(data, norm, strict=True):
+        for (x, y), s, share in zip(data, norm, weight, strict=True):
             z = bias + s * sum(w[i] for i in x)
             e = (1 / (1 + math.exp(-z)) if z > -700 else 0.0) - y
+            e *= share
             up += e
             for i in x:
                 grad[i] = grad.get(i, 0.0) + e * s
