@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from mixloom.llm import bpe, decontaminate, line_dedup, quality, token_counts, toxicity, url_filter
+from mixloom.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_lm_scoring": lm_score.op5_lm_scoring,
+    "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE}
+ORACLES = {"op1_line_dedup": line_dedup.ORACLE, "op4_decontamination": decontaminate.ORACLE, "op6_ngram_jaccard": jaccard_join.ORACLE}
