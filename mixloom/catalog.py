@@ -1,6 +1,391 @@
-"""Registered queries of the modelling library and the SQL that answers each."""
+"""Registered queries of the modelling library and the SQL that answers each.
+
+Most use the fixture y = l_extendedprice / 10000 + 2 sin(l_suppkey) ~ l_quantity + (1 | l_suppkey), at theta 0.5.
+"""
 
 from __future__ import annotations
 
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mixloom.functions import covstruct, family
+from mixloom.operators import lmlist, lmm, pls
+from mixloom.operators.gram import gram
+from mixloom.operators.optimize import Optimum
+from mixloom.plans import design
+from mixloom.sources.tables import read_table
+from mixloom.streaming.gram_state import grouped_sums, merge_sums
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+Y = "l_extendedprice / 10000D + 2 * sin(l_suppkey)"
+FORMULA = "y ~ l_quantity + (1 | l_suppkey)"
+THETA = 0.5
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "lineitem").withColumn("y", F.expr(Y))
+
+
+def at_theta(spark: SparkSession, d: str, reml: bool = True, theta: float = THETA) -> lmm.LMM:
+    spec = design.compile_model(lines(spark, d), FORMULA)
+    design.check(spec)
+    spec.frame = spec.frame.withColumn("_r", F.col("_y") - F.col("_o"))
+    g = gram(spec)
+    par = np.array([theta])
+    return lmm.LMM(spec, g, par, reml, pls.solve(spec, g, par), Optimum(par, pls.deviance(spec, g, par, reml), 1, True))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """A REML fit: fixed effects, variance components and conditional modes as one table."""
+    m = lmm.fit_lmm(lines(spark, d), FORMULA)
+    fixed = m.coef_table().select(F.lit("fixed").alias("part"), "term", F.lit(None).cast("string").alias("grp"), F.col("estimate").alias("value"))
+    var = m.var_corr_df().select(F.lit("sdcor"), F.coalesce("var1", F.lit("")), "grp", "sdcor")
+    return fixed.union(var).union(m.ranef().select(F.lit("mode"), "term", "grp", "condval"))
+
+
+_T = "t as (select l_extendedprice / 10000.0::double + 2 * sin(l_suppkey) as y, l_quantity as x, l_suppkey as g, * from lineitem)"
+
+
+def _sql(body: str, theta: float = THETA) -> str:
+    """Sums, the profiled solution at theta and its variances, as CTEs t, j (levels), s (one row)."""
+    return f"""with {_T},
+j as (select g, count(*)::double as n, sum(x) as sx, sum(y) as sy, {theta * theta}::double / (1 + {theta * theta}::double * count(*)) as k, ln(1 + {theta * theta}::double * count(*)) as ld from t group by g),
+w as (select count(*)::double as n, sum(x) as sx, sum(y) as sy, sum(x * x) as sxx, sum(x * y) as sxy, sum(y * y) as syy from t),
+a as (select w.n as n, w.n - sum(k * j.n * j.n) as a11, w.sx - sum(k * j.n * j.sx) as a12, w.sxx - sum(k * j.sx * j.sx) as a22, w.sy - sum(k * j.n * j.sy) as c1, w.sxy - sum(k * j.sx * j.sy) as c2, w.syy - sum(k * j.sy * j.sy) as r0, sum(ld) as ld from j, w group by w.n, w.sx, w.sy, w.sxx, w.sxy, w.syy),
+b as (select *, a11 * a22 - a12 * a12 as det from a),
+c as (select *, (a22 * c1 - a12 * c2) / det as b0, (a11 * c2 - a12 * c1) / det as b1 from b),
+s as (select *, r0 - b0 * c1 - b1 * c2 as r2, sqrt((r0 - b0 * c1 - b1 * c2) / (n - 2)) as sigma from c)
+{body}"""
+
+
+@query("gram_scalar", f"with {_T} select g::varchar as grp, count(*) as n, round(sum(x), 4) as sx, round(sum(y), 4) as sy, round(sum(x * x), 3) as sxx, round(sum(x * y), 3) as sxy, round(sum(y * y), 3) as syy from t group by g")
+def gram_scalar(spark, d):
+    s = grouped_sums(lines(spark, d), "y", "l_quantity", "l_suppkey")
+    return s.select(F.col("grp").cast("string").alias("grp"), "n", *(F.round(c, k).alias(c) for c, k in (("sx", 4), ("sy", 4), ("sxx", 3), ("sxy", 3), ("syy", 3))))
+
+
+@query("gram_merge", f"with {_T} select g::varchar as grp, count(*) as n, round(sum(x), 4) as sx, round(sum(y), 4) as sy from t group by g")
+def gram_merge(spark, d):
+    t = lines(spark, d)
+    parts = [grouped_sums(t.where(f"l_linenumber % 2 = {k}"), "y", "l_quantity", "l_suppkey") for k in (0, 1)]
+    return merge_sums(*parts).select(F.col("grp").cast("string").alias("grp"), "n", F.round("sx", 4).alias("sx"), F.round("sy", 4).alias("sy"))
+
+
+@query("lmm_fixef", _sql("select '(Intercept)' as term, round(b0, 6) as estimate, round(sigma * sqrt(a22 / det), 6) as std_error from s union all select 'l_quantity', round(b1, 6), round(sigma * sqrt(a11 / det), 6) from s"))
+def lmm_fixef(spark, d):
+    return at_theta(spark, d).coef_table().select("term", F.round("estimate", 6).alias("estimate"), F.round("std_error", 6).alias("std_error"))
+
+
+@query("lmm_vcov", _sql("select round(sigma * sigma * a22 / det, 8) as v11, round(-sigma * sigma * a12 / det, 8) as v12, round(sigma * sigma * a11 / det, 10) as v22 from s"))
+def lmm_vcov(spark, d):
+    v = at_theta(spark, d).vcov()
+    return spark.createDataFrame([(float(v[0, 0]), float(v[0, 1]), float(v[1, 1]))], "v11 double, v12 double, v22 double").select(F.round("v11", 8).alias("v11"), F.round("v12", 8).alias("v12"), F.round("v22", 10).alias("v22"))
+
+
+@query("lmm_ranef", _sql("select 'l_suppkey' as grpvar, g::varchar as grp, round(k * (j.sy - j.n * b0 - j.sx * b1), 5) as condval, round(sigma * sqrt(k), 6) as condsd from j, s"))
+def lmm_ranef(spark, d):
+    return at_theta(spark, d).ranef().select("grpvar", "grp", F.round("condval", 5).alias("condval"), F.round("condsd", 6).alias("condsd"))
+
+
+@query("lmm_coef_levels", _sql("select g::varchar as grp, '(Intercept)' as term, round(b0 + k * (j.sy - j.n * b0 - j.sx * b1), 5) as value from j, s union all select g::varchar, 'l_quantity', round(b1, 5) from j, s"))
+def lmm_coef_levels(spark, d):
+    return at_theta(spark, d).coef().select("grp", "term", F.round("value", 5).alias("value"))
+
+
+@query("lmm_varcorr", _sql(f"select 'l_suppkey' as grp, round(sigma * sigma * {THETA**2}, 5) as vcov, round(sigma * {THETA}, 6) as sdcor from s union all select 'Residual', round(sigma * sigma, 5), round(sigma, 6) from s"))
+def lmm_varcorr(spark, d):
+    return at_theta(spark, d).var_corr_df().select("grp", F.round("vcov", 5).alias("vcov"), F.round("sdcor", 6).alias("sdcor"))
+
+
+@query("lmm_criteria", _sql("select m.name, round(m.v, 3) as value from (select 'reml' as name, ld + ln(det) + (n - 2) * (1 + ln(2 * pi() * r2 / (n - 2))) as v from s union all select 'ml', ld + n * (1 + ln(2 * pi() * r2 / n)) from s union all select 'aic', ld + n * (1 + ln(2 * pi() * r2 / n)) + 8 from s union all select 'bic', ld + n * (1 + ln(2 * pi() * r2 / n)) + 4 * ln(n) from s) m"))
+def lmm_criteria(spark, d):
+    r, m = at_theta(spark, d), at_theta(spark, d, reml=False)
+    return spark.createDataFrame([("reml", r.deviance()), ("ml", m.deviance()), ("aic", m.aic()), ("bic", m.bic())], "name string, value double").select("name", F.round("value", 3).alias("value"))
+
+
+_GRID = (0.0, 0.1, 0.3, 0.5, 0.9, 1.5)
+
+
+def _grid_sql(reml: bool) -> str:
+    part = "ld + ln(det) + (n - 2) * (1 + ln(2 * pi() * r2 / (n - 2)))" if reml else "ld + n * (1 + ln(2 * pi() * r2 / n))"
+    return " union all ".join(f"select * from ({_sql(f'select {t}::double as theta, round({part}, 3) as deviance from s', t)})" for t in _GRID)
+
+
+def _grid(spark, d, reml):
+    m = at_theta(spark, d)
+    return spark.createDataFrame([(t, pls.deviance(m.spec, m.gram, np.array([t]), reml)) for t in _GRID], "theta double, deviance double").select("theta", F.round("deviance", 3).alias("deviance"))
+
+
+@query("reml_grid", _grid_sql(True))
+def reml_grid(spark, d):
+    return _grid(spark, d, True)
+
+
+@query("ml_deviance_grid", _grid_sql(False))
+def ml_deviance_grid(spark, d):
+    return _grid(spark, d, False)
+
+
+@query("fixed_sigma_deviance", _sql("select round(ld + n * (ln(2 * pi()) + 2 * ln(3.0::double)) + r2 / 9, 3) as deviance from s"))
+def fixed_sigma_deviance(spark, d):
+    m = at_theta(spark, d)
+    return spark.createDataFrame([(round(pls.deviance(m.spec, m.gram, m.theta, False, sigma=3.0), 3),)], "deviance double")
+
+
+_ROW = "select t.l_orderkey, t.l_linenumber, t.l_suppkey, b0 + b1 * t.x + k * (j.sy - j.n * b0 - j.sx * b1) as fit, t.y, t.x, k, j.n as nj, j.sx as sxj, sigma, a11, a12, a22, det from t join j on t.g = j.g, s"
+
+
+@query("lmm_fitted", _sql(f"select l_orderkey, l_linenumber, round(fit, 4) + 0.0 as fitted, round(y - fit, 4) + 0.0 as resid, round((y - fit) / sigma, 4) + 0.0 as scaled_resid from ({_ROW})"))
+def lmm_fitted(spark, d):
+    return at_theta(spark, d).fitted().select("l_orderkey", "l_linenumber", *((F.round(c, 4) + 0.0).alias(c) for c in ("fitted", "resid", "scaled_resid")))
+
+
+_HAT = f"select *, k + ((1 - k * nj) * (1 - k * nj) * a22 - 2 * (1 - k * nj) * (x - k * sxj) * a12 + (x - k * sxj) * (x - k * sxj) * a11) / det as h from ({_ROW})"
+
+
+@query("lmm_hat", _sql(f"select l_orderkey, l_linenumber, round(h, 7) as hat, round((y - fit) / sigma / sqrt(1 - h), 4) + 0.0 as rstudent, round(pow((y - fit) / (1 - h), 2) * h / (2 * sigma * sigma), 6) as cooks from ({_HAT})"))
+def lmm_hat(spark, d):
+    return at_theta(spark, d).hat().select("l_orderkey", "l_linenumber", F.round("hat", 7).alias("hat"), (F.round("rstudent", 4) + 0.0).alias("rstudent"), F.round("cooks", 6).alias("cooks"))
+
+
+@query("scaled_resid_quantiles", _sql(f"select round(quantile_cont((y - fit) / sigma, 0.0), 5) as q0, round(quantile_cont((y - fit) / sigma, 0.25), 5) as q1, round(quantile_cont((y - fit) / sigma, 0.5), 5) as q2, round(quantile_cont((y - fit) / sigma, 0.75), 5) as q3, round(quantile_cont((y - fit) / sigma, 1.0), 5) as q4 from ({_ROW})"))
+def scaled_resid_quantiles(spark, d):
+    return at_theta(spark, d).fitted().agg(*(F.round(F.expr(f"percentile(scaled_resid, {p})"), 5).alias(f"q{i}") for i, p in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))))
+
+
+@query("predict_new_levels", _sql("select v.k2 as l_suppkey, round(b0 + b1 * 10 + coalesce(k * (j.sy - j.n * b0 - j.sx * b1), 0), 5) as pred from (select unnest([-1, 0, 1, 2, 3]) as k2) v left join j on j.g = v.k2, s"))
+def predict_new_levels(spark, d):
+    new = spark.createDataFrame([(k, 10.0) for k in (-1, 0, 1, 2, 3)], "l_suppkey int, l_quantity double")
+    return at_theta(spark, d).predict(new, allow_new=True).select("l_suppkey", F.round("pred", 5).alias("pred"))
+
+
+@query("predict_population", _sql("select l_orderkey, l_linenumber, round(b0 + b1 * x, 5) as pred from t, s"))
+def predict_population(spark, d):
+    return at_theta(spark, d).predict(lines(spark, d), re_form=None).select("l_orderkey", "l_linenumber", F.round("pred", 5).alias("pred"))
+
+
+@query("new_level_detect", "select distinct l_suppkey from lineitem where l_linenumber = 7 and l_suppkey not in (select l_suppkey from lineitem where l_linenumber = 1)")
+def new_level_detect(spark, d):
+    t = lines(spark, d)
+    return t.where("l_linenumber = 7").select("l_suppkey").distinct().join(t.where("l_linenumber = 1").select("l_suppkey"), "l_suppkey", "left_anti")
+
+
+@query("confint_wald", _sql("select '(Intercept)' as term, round(b0 - 1.959963984540054 * sigma * sqrt(a22 / det), 5) as lower, round(b0 + 1.959963984540054 * sigma * sqrt(a22 / det), 5) as upper from s union all select 'l_quantity', round(b1 - 1.959963984540054 * sigma * sqrt(a11 / det), 5), round(b1 + 1.959963984540054 * sigma * sqrt(a11 / det), 5) from s"))
+def confint_wald(spark, d):
+    return at_theta(spark, d).confint().select("term", F.round("lower", 5).alias("lower"), F.round("upper", 5).alias("upper"))
+
+
+_BAL = """with q as (select l_extendedprice / 10000.0::double + 2 * sin(l_suppkey) as y, l_suppkey as g, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as r from lineitem),
+f as (select * from q where r <= 40), l as (select g, avg(y) as m, sum((y - (select avg(y) from f z where z.g = f.g)) * 0) as z from f group by g),
+b as (select count(*) as ng, avg(m) as mu, var_samp(m) * 40 as msb from l), e as (select sum((f.y - l.m) * (f.y - l.m)) / (count(*) - (select ng from b)) as msw from f join l on f.g = l.g)
+select round(mu, 5) as intercept, round(sqrt(msw), 5) as sigma, round(sqrt(greatest(msb - msw, 0) / 40 / msw), 5) as theta from b, e"""
+
+
+@query("lmm_reml_balanced", _BAL)
+def lmm_reml_balanced(spark, d):
+    t = lines(spark, d).withColumn("r", F.expr("row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber)")).where("r <= 40")
+    m = lmm.fit_lmm(t, "y ~ 1 + (1 | l_suppkey)")
+    return spark.createDataFrame([(round(m.fixef()["(Intercept)"], 5), round(m.sigma, 5), round(float(m.theta[0]), 5))], "intercept double, sigma double, theta double")
+
+
+@query("theta_start", f"with {_T}, v as (select y, avg(y) over (partition by g) as m from t) select round(sqrt(var_samp(m) / (var_samp(y) - var_samp(m))), 6) as theta0 from v")
+def theta_start(spark, d):
+    from pyspark.sql import Window
+
+    v = lines(spark, d).select("y", F.avg("y").over(Window.partitionBy("l_suppkey")).alias("m"))
+    return v.agg(F.round(F.sqrt(F.var_samp("m") / (F.var_samp("y") - F.var_samp("m"))), 6).alias("theta0"))
+
+
+@query("nlevels_check", "select count(*) as n, count(distinct l_suppkey) as n_supp, count(distinct l_suppkey) >= 2 as ok from lineitem")
+def nlevels_check(spark, d):
+    spec = design.compile_model(lines(spark, d), FORMULA)
+    design.check(spec)
+    return spark.createDataFrame([(spec.n, spec.n_levels["l_suppkey"], spec.n_levels["l_suppkey"] >= 2)], "n bigint, n_supp bigint, ok boolean")
+
+
+@query("is_nested", "select 'orders in customers' as name, not exists (select 1 from orders group by o_orderkey having count(distinct o_custkey) > 1) as nested union all select 'parts in suppliers', not exists (select 1 from lineitem group by l_partkey having count(distinct l_suppkey) > 1)")
+def is_nested(spark, d):
+    a = design.is_nested(read_table(spark, d, "orders"), "o_orderkey", "o_custkey")
+    b = design.is_nested(read_table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+    return spark.createDataFrame([("orders in customers", a), ("parts in suppliers", b)], "name string, nested boolean")
+
+
+@query("interaction_levels", "select l_returnflag || ':' || l_linestatus as level, row_number() over (order by l_returnflag, l_linestatus) as idx from (select distinct l_returnflag, l_linestatus from lineitem)")
+def interaction_levels(spark, d):
+    from pyspark.sql import Window
+
+    t = read_table(spark, d, "lineitem").select("l_returnflag", "l_linestatus").distinct()
+    return t.select(F.concat_ws(":", "l_returnflag", "l_linestatus").alias("level"), F.row_number().over(Window.orderBy("l_returnflag", "l_linestatus")).cast("long").alias("idx"))
+
+
+@query("dummy_columns", "select l_orderkey, l_linenumber, case when l_returnflag = 'N' then 1.0::double else 0 end as l_returnflag_N, case when l_returnflag = 'R' then 1.0::double else 0 end as l_returnflag_R from lineitem")
+def dummy_columns(spark, d):
+    return design.dummy(read_table(spark, d, "lineitem"), "l_returnflag").select("l_orderkey", "l_linenumber", "l_returnflag_N", "l_returnflag_R")
+
+
+@query("na_omit_frame", "select o_orderkey, nullif(o_totalprice, 0) as y from orders where nullif(o_orderpriority, '1-URGENT') is not null")
+def na_omit_frame(spark, d):
+    t = read_table(spark, d, "orders").withColumn("p", F.expr("nullif(o_orderpriority, '1-URGENT')"))
+    return design.compile_model(t, "o_totalprice ~ p + (1 | o_custkey)").frame.select("o_orderkey", F.col("_y").alias("y"))
+
+
+@query("scale_x", "select round(avg(l_quantity), 6) as center, round(stddev_samp(l_quantity), 6) as scale from lineitem")
+def scale_x(spark, d):
+    return read_table(spark, d, "lineitem").agg(F.round(F.avg("l_quantity"), 6).alias("center"), F.round(F.stddev_samp("l_quantity"), 6).alias("scale"))
+
+
+_LML = f"with {_T}, f as (select g as grp, count(*) as n, regr_intercept(y, x) as intercept, regr_slope(y, x) as slope, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) as rss from t group by g)"
+
+
+@query("lmlist_coef", _LML + " select grp, n, round(intercept, 6) as intercept, round(slope, 6) as slope from f")
+def lmlist_coef(spark, d):
+    return lmlist.lm_list(lines(spark, d), "y", "l_quantity", "l_suppkey").select("grp", "n", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
+
+
+@query("lmlist_pooled_sd", _LML + " select round(sqrt(sum(rss) / sum(n - 2)), 6) as sd, sum(n - 2)::bigint as df from f")
+def lmlist_pooled_sd(spark, d):
+    return lmlist.pooled_sd(lmlist.lm_list(lines(spark, d), "y", "l_quantity", "l_suppkey")).select(F.round("sd", 6).alias("sd"), "df")
+
+
+@query("lmlist_ranef", _LML + " select grp, round(intercept - (select avg(intercept) from f), 6) as intercept, round(slope - (select avg(slope) from f), 6) as slope from f")
+def lmlist_ranef(spark, d):
+    r = lmlist.ranef(lmlist.lm_list(lines(spark, d), "y", "l_quantity", "l_suppkey"))
+    return r.select("grp", F.round("intercept", 6).alias("intercept"), F.round("slope", 6).alias("slope"))
+
+
+@query("lmlist_residuals", _LML + " select l_orderkey, l_linenumber, round(y - intercept - slope * x, 5) as resid from t join f on t.g = f.grp")
+def lmlist_residuals(spark, d):
+    t = lines(spark, d)
+    return lmlist.residuals(t, lmlist.lm_list(t, "y", "l_quantity", "l_suppkey"), "y", "l_quantity", "l_suppkey").select("l_orderkey", "l_linenumber", F.round("resid", 5).alias("resid"))
+
+
+_DEV = {
+    "binomial": ("l_discount * 5", "l_tax * 5 + 0.3", "2 * l_quantity * ((case when y = 0 then 0 else y * ln(y / m) end) + (case when y = 1 then 0 else (1 - y) * ln((1 - y) / (1 - m)) end))"),
+    "poisson": ("l_linenumber - 1", "l_quantity / 10 + 0.5", "2 * l_quantity * ((case when y = 0 then 0 else y * ln(y / m) end) - (y - m))"),
+    "Gamma": ("l_quantity", "l_linenumber * 5", "-2 * l_quantity * (ln(y / m) - (y - m) / m)"),
+    "gaussian": ("l_quantity", "l_linenumber * 5", "l_quantity * (y - m) * (y - m)"),
+    "inverse.gaussian": ("l_quantity", "l_linenumber * 5", "l_quantity * (y - m) * (y - m) / (y * m * m)"),
+    "negative.binomial": ("l_linenumber - 1", "l_quantity / 10 + 0.5", "2 * l_quantity * ((case when y = 0 then 0 else y * ln(y / m) end) - (y + 1) * ln((y + 1) / (m + 1)))"),
+}
+
+
+def _family_query(name: str, y: str, mu: str, sql: str) -> None:
+    @query(f"family_{name.replace('.', '_').lower()}_devresid", f"select l_orderkey, l_linenumber, round({sql}, 5) + 0.0 as dev from (select *, ({y})::double as y, ({mu})::double as m from lineitem)")
+    def run(spark, d):
+        t = read_table(spark, d, "lineitem").withColumn("y", F.expr(y).cast("double")).withColumn("m", F.expr(mu).cast("double"))
+        return t.select("l_orderkey", "l_linenumber", (F.round(family.dev_resid(name, F.col("y"), F.col("m"), F.col("l_quantity")), 5) + 0.0).alias("dev"))
+
+
+for _n, (_y, _m, _s) in _DEV.items():
+    _family_query(_n, _y, _m, _s)
+
+_LINKS = {
+    "identity": ("e", "1.0::double"),
+    "log": ("greatest(exp(e), 2.220446049250313e-16)", "greatest(exp(e), 2.220446049250313e-16)"),
+    "logit": ("least(1 - 2.220446049250313e-16, greatest(2.220446049250313e-16, 1 / (1 + exp(-e))))", "greatest(2.220446049250313e-16, 1 / (1 + exp(-e)) * (1 - 1 / (1 + exp(-e))))"),
+    "cloglog": ("greatest(2.220446049250313e-16, least(1 - 2.220446049250313e-16, 1 - exp(-exp(e))))", "greatest(2.220446049250313e-16, exp(e - exp(e)))"),
+    "cauchit": ("least(1 - 2.220446049250313e-16, 0.5 + atan(e) / pi())", "1 / (pi() * (1 + e * e))"),
+    "inverse": ("1 / e", "-1 / (e * e)"),
+}
+
+
+def _link_query(name: str, inv: str, slope: str) -> None:
+    @query(f"link_{name}", f"select l_orderkey, l_linenumber, round({inv}, 8) as mu, round({slope}, 8) as mu_eta from (select *, (l_quantity - 25.25::double) / 10 as e from lineitem)")
+    def run(spark, d):
+        t = read_table(spark, d, "lineitem").withColumn("e", (F.col("l_quantity") - F.lit(25.25)) / 10)
+        return t.select("l_orderkey", "l_linenumber", F.round(family.link_inverse(name, F.col("e")), 8).alias("mu"), F.round(family.mu_eta(name, F.col("e")), 8).alias("mu_eta"))
+
+
+for _n, (_i, _m) in _LINKS.items():
+    _link_query(_n, _i, _m)
+
+
+@query("working_response", "select l_orderkey, l_linenumber, round(e + (l_linenumber - exp(e)) / exp(e), 6) as wrk_resp, round(sqrt(exp(e)), 6) as sqrt_wrk_wt from (select *, l_quantity / 25.0::double as e from lineitem)")
+def working_response(spark, d):
+    t = read_table(spark, d, "lineitem").withColumn("e", F.col("l_quantity") / 25)
+    mu, me = family.link_inverse("log", F.col("e")), family.mu_eta("log", F.col("e"))
+    return t.select("l_orderkey", "l_linenumber", F.round(F.col("e") + (F.col("l_linenumber") - mu) / me, 6).alias("wrk_resp"), F.round(me * F.sqrt(1 / family.variance("poisson", mu)), 6).alias("sqrt_wrk_wt"))
+
+
+@query("cov_cs_lambda", "select i, j, round((case when i = j then 1.0::double else 0.3 end) * i * j, 6) as v from (select unnest([1, 2, 3]) as i), (select unnest([1, 2, 3]) as j)")
+def cov_cs_lambda(spark, d):
+    m = covstruct.make("cs", 3).factor(np.array([1.0, 2.0, 3.0, 0.3]))
+    v = m @ m.T
+    return spark.createDataFrame([(i + 1, j + 1, round(float(v[i, j]), 6)) for i in range(3) for j in range(3)], "i int, j int, v double")
+
+
+@query("cov_ar1_lambda", "select i, j, round(4 * pow(0.6::double, abs(i - j)), 6) as v from (select unnest([1, 2, 3, 4]) as i), (select unnest([1, 2, 3, 4]) as j)")
+def cov_ar1_lambda(spark, d):
+    m = covstruct.make("ar1", 4).factor(np.array([2.0, 0.6]))
+    v = m @ m.T
+    return spark.createDataFrame([(i + 1, j + 1, round(float(v[i, j]), 6)) for i in range(4) for j in range(4)], "i int, j int, v double")
+
+
+@query("expand_grid", "select a, b, r from (select unnest(['a1', 'a2', 'a3']) as a), (select unnest(['b1', 'b2']) as b), (select unnest([1, 2]) as r)")
+def expand_grid(spark, d):
+    a, b, r = (spark.createDataFrame([(x,) for x in v], f"{n} {t}") for n, t, v in (("a", "string", ["a1", "a2", "a3"]), ("b", "string", ["b1", "b2"]), ("r", "int", [1, 2])))
+    return a.crossJoin(b).crossJoin(r)
+
+
+@query("lmm_reml_fit")
+def lmm_reml_fit(spark, d):
+    return flagship(spark, d)
+
+
+@query("lmm_vector_fit")
+def lmm_vector_fit(spark, d):
+    return lmm.fit_lmm(lines(spark, d), "y ~ l_quantity + l_returnflag + (l_quantity | l_suppkey)").var_corr_df()
+
+
+@query("lmm_crossed_fit")
+def lmm_crossed_fit(spark, d):
+    t = lines(spark, d).withColumn("k", F.expr("l_partkey % 7")).withColumn("y", F.col("y") + F.cos("k"))
+    return lmm.fit_lmm(t, "y ~ l_quantity + (1 | l_suppkey) + (1 | k)").var_corr_df()
+
+
+@query("anova_lrt")
+def anova_lrt(spark, d):
+    t = lines(spark, d)
+    return lmm.anova([lmm.fit_lmm(t, f) for f in ("y ~ 1 + (1 | l_suppkey)", "y ~ l_quantity + (1 | l_suppkey)")])
+
+
+@query("simulate_gaussian")
+def simulate_gaussian(spark, d):
+    return at_theta(spark, d).simulate(2).select("l_orderkey", "l_linenumber", "sim_id", "sim")
+
+
+@query("influence_groups")
+def influence_groups(spark, d):
+    return at_theta(spark, d).influence()
+
+
+@query("glmm_binomial")
+def glmm_binomial(spark, d):
+    from mixloom.operators.glmm import fit_glmm
+
+    t = read_table(spark, d, "labels").join(read_table(spark, d, "documents"), "doc_id")
+    return fit_glmm(t, "quality ~ 1 + (1 | source)", "binomial").ranef()
+
+
+@query("glmm_poisson")
+def glmm_poisson(spark, d):
+    from mixloom.operators.glmm import fit_glmm
+
+    t = read_table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    m = fit_glmm(t, "n ~ event_type + (1 | user_id)", "poisson", n_agq=0)
+    return spark.createDataFrame([*m.fixef().items(), ("theta", float(m.theta[0])), ("deviance", float(m.deviance))], "term string, value double")
+
+
