@@ -80,9 +80,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     left out of items though its words hit. Repeated rows each get their result; an empty benchmark hits nothing.
     """
     found = hits(docs, benchmark)
-    out = docs.select("*", *row_keys("doc_id", "text"), F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("n_words")).withColumn("n_words", F.greatest("n_words", F.lit(0).cast("long")))
-    out = out.join(found, ["_r1", "_r2"], "left")
-    return out.select(*docs.columns, "n_words", F.coalesce("_covered", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.col("_covered").isNotNull().alias("contaminated"))
+    n_words = F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0)).cast("long")
+    out = docs.select(F.struct(*docs.columns).alias("_row"), *row_keys("doc_id", "text"), n_words.alias("_n_words")).join(found, ["_r1", "_r2"], "left")
+    new = [F.col("_n_words").alias("n_words"), F.coalesce("_covered", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.col("_covered").isNotNull().alias("contaminated")]
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")), *new)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without a hit, as they are."""
+    found = hits(docs, benchmark).select("_r1", "_r2")
+    return docs.select(F.struct(*docs.columns).alias("_row"), *row_keys("doc_id", "text")).join(found, ["_r1", "_r2"], "left_anti").select("_row.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,12 +47,15 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     found = _lines(docs).join(boilerplate(docs, min_sites), ["_k1", "_k2"])
     found = found.where(~((F.col("_r1") == F.col("_first._r1")) & (F.col("_r2") == F.col("_first._r2")) & (F.col("_pos") == F.col("_first._pos"))))
     found = found.groupBy("_r1", "_r2").agg(F.collect_set("_pos").alias("_gone"))
-    out = docs.select("*", *row_keys("doc_id", "text")).join(found, ["_r1", "_r2"], "left")
-    kept = F.transform(F.array(F.split("text", "\n")), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone")), lambda i: ls[i]), "\n"))[0]
-    out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).withColumn("_n_removed", F.coalesce(F.size("_gone").cast("long"), F.lit(0).cast("long")))
+    out = docs.select(F.struct(*docs.columns).alias("_row"), *row_keys("doc_id", "text")).join(found, ["_r1", "_r2"], "left")
+    text, gone = F.col("_row.text"), F.col("_gone").isNotNull()
+    kept = F.transform(F.array(F.split(text, "\n")), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone")), lambda i: ls[i]), "\n"))[0]
+    out = out.select("_row", "_gone", F.when(gone, kept).otherwise(text).alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns, "_n_removed")
+        new["n_chars"] = F.when(gone, F.char_length("_text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    cols = [new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c != "_n_removed"]
+    return out.select(*cols, F.when(gone, F.size("_gone")).otherwise(0).cast("long").alias("_n_removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

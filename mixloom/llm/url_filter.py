@@ -93,14 +93,14 @@ def judge(pages: DataFrame, weights: list[float], bias: float) -> DataFrame:
     get the same result; no rows give no rows.
     """
     table_of = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
-    out = pages.select("*", host(F.col("url")).alias("_host"), path(F.col("url")).alias("_path"))
+    out = pages.select(F.struct(*pages.columns).alias("_row"), host(F.col("url")).alias("_host"), path(F.col("url")).alias("_path"))
     fits = [((F.col("_host") == h) | F.endswith(F.col("_host"), F.lit("." + h))) & F.startswith(F.col("_path"), F.lit(p)) for h, p, _ in RULES]
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")
     for fit, (h, p, v) in reversed(list(zip(fits, RULES, strict=True))):
         rule, said = F.when(fit, F.lit(h + p)).otherwise(rule), F.when(fit, F.lit(v)).otherwise(said)
     total = F.transform(F.array(features(F.col("_host"), F.col("_path"))), lambda x: F.aggregate(x, F.lit(0.0), lambda a, i: a + table_of[i]) / F.sqrt(F.greatest(F.size(x), F.lit(1))))[0]
     out = out.withColumn("_score", 1 / (1 + F.exp(-(total + F.lit(bias)))))
-    return out.select(*pages.columns, F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), F.col("_score").alias("score"), F.coalesce(said, F.when(F.col("_score") >= 0.5, "block").otherwise("allow")).alias("verdict"))
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")), F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), F.col("_score").alias("score"), F.coalesce(said, F.when(F.col("_score") >= 0.5, "block").otherwise("allow")).alias("verdict"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
