@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mixloom.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality, token_counts, toxicity, url_filter
+from mixloom.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality, repeats, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_lm_scoring": lm_score.op5_lm_scoring,
     "op6_ngram_jaccard": jaccard_join.op6_ngram_jaccard,
+    "op7_suffix_dedup": repeats.op7_suffix_dedup,
     "op8_url_filters": url_filter.op8_url_filters,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mixloom.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality, registry, token_counts, toxicity, url_filter
+from mixloom.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality, registry, repeats, token_counts, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _r1 int"
@@ -158,3 +158,32 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns and out.count() > 0, name
+
+
+def brute_repeats(rows):
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        b = t.encode()
+        gone = [False] * len(b)
+        for k in range(len(b) - 99):
+            s = b[k : k + 100]
+            if s in seen:
+                gone[k : k + 100] = [True] * 100
+            seen.add(s)
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        out.append((i, len(b), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_repeats_by_brute_force(spark, texts):
+    import random
+
+    r = random.Random(1)
+    rows = list(texts)
+    for i in range(60):
+        parts = [t[(a := r.randrange(max(1, len(t)))) : a + r.randrange(300)] for _, t in r.sample(texts, 4)]
+        rows.append((100_000 + r.randrange(10**6), r.choice(["", "x"]) .join(parts)))
+    rows += [(5_000_000, "ab" * 300), (5_000_001, "z" * 1000), (5_000_002, "q" * 99), (5_000_003, ""), (5_000_004, "xy" + "ab" * 80)]
+    got = sorted(tuple(x) for x in repeats.remove_repeats(frame(spark, rows), texts=False).collect())
+    assert got == brute_repeats(rows)
+    assert repeats.remove_repeats(frame(spark)).count() == len(EDGE) and repeats.remove_repeats(frame(spark, [])).count() == 0
