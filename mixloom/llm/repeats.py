@@ -32,6 +32,8 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 BEFORE = SPAN - 1
 WIDE = BEFORE + LENGTH
+#: Bytes of text that a worker parses at a time; some twenty 64-bit numbers a byte are held meanwhile.
+STEP = 2_000_000
 #: log2 of the bits of the filter of triggers with several phrases; fuller, it only lets more phrases through.
 FILTER_BITS = 26
 
@@ -141,7 +143,7 @@ def _bit(t: np.ndarray) -> np.ndarray:
 
 def _scan(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, most=STEP):
             d, h = batch.column("d").to_numpy(), batch.column("h").to_numpy()
             p = Parse(texts)
             # of equal phrases that this step has in one text each is needed; lengths tell how far strings may start
@@ -185,7 +187,7 @@ def _compare(docs: DataFrame, flags: np.ndarray, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = sent.value
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, most=STEP):
             d, h = batch.column("d").to_numpy(), batch.column("h").to_numpy()
             p = Parse(texts)
             bit = _bit(p.t)
