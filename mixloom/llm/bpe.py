@@ -31,7 +31,9 @@ from mixloom.llm.common import table
 VOCABULARY = "byte_bpe_50k.json"
 ROLL, CUT_BITS = 16, 8
 #: Entries of one generation of a worker's caches: chunks, and spans between neighbouring safe cuts.
-MOST_CHUNKS, MOST_SPANS = 40_000, 300_000
+MOST_CHUNKS, MOST_SPANS = 20_000, 150_000
+#: Bytes of text that a worker encodes at a time; the spans and hashes of a step take some thirty times that.
+STEP = 2_000_000
 
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 WHITE = frozenset(b" \t\n\x0b\x0c\r")
@@ -171,7 +173,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, most=STEP):
             cols = {c: batch.column(c) for c in keep}
             parts = own.encode(texts)
             cols["n_tokens"] = pa.array([x.count(b",") + 1 if x else 0 for x, _ in parts], pa.int64())

@@ -24,6 +24,8 @@ from mixloom.llm.quality import labelled_sample, logistic
 
 #: Labelled training rows of each class at most, features kept at most, and how many rows must hold a feature.
 SAMPLE, MOST_FEATURES, LEAST_ROWS = 3000, 4000, 4
+#: Bytes of text that a worker takes at a time.
+STEP = 2_000_000
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 #: log-probability that a writer disguises a letter, repeats one, or spaces it out.
@@ -49,7 +51,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(28**3, np.int64)
-        for _, texts in steps(batches):
+        for _, texts in steps(batches, most=STEP):
             _, arr, _, _ = joined(texts, b"  ")
             c = _CODE[arr].astype(np.int32)
             total += np.bincount(c[:-2] * 784 + c[1:-1] * 28 + c[2:], minlength=28**3)
@@ -167,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(logs)
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, most=STEP):
             found = [sorted({f for w in words_of(t.decode(), decoder) for f in features_of(w)}) for t in texts]
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "f": pa.array(found, pa.list_(pa.string())), "doc_id": batch.column("doc_id").cast(pa.string())})
 
@@ -202,7 +204,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double, predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, most=STEP):
             s = [model.score(t.decode()) for t in texts]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"score": pa.array(s, pa.float64()), "predicted": pa.array([int(v >= 0.5) for v in s], pa.int32())})
 
