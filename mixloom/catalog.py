@@ -161,6 +161,31 @@ def lmm_hat(spark, d):
     return at_theta(spark, d).hat().select("l_orderkey", "l_linenumber", F.round("hat", 7).alias("hat"), (F.round("rstudent", 4) + 0.0).alias("rstudent"), F.round("cooks", 6).alias("cooks"))
 
 
+@query("anova_sequential", _sql("select 'l_quantity' as term, 1 as npar, round(det / a11 * b1 * b1, 5) as sum_sq, round(det / a11 * b1 * b1 / (sigma * sigma), 4) as f_value from s"))
+def anova_sequential(spark, d):
+    return at_theta(spark, d).anova_terms().select("term", "npar", F.round("sum_sq", 5).alias("sum_sq"), F.round("f_value", 4).alias("f_value"))
+
+
+@query("ranef_intervals", _sql("select g::varchar as grp, round(k * (j.sy - j.n * b0 - j.sx * b1) - 1.959963984540054 * sigma * sqrt(k), 5) as lower, round(k * (j.sy - j.n * b0 - j.sx * b1) + 1.959963984540054 * sigma * sqrt(k), 5) as upper from j, s"))
+def ranef_intervals(spark, d):
+    return at_theta(spark, d).ranef_intervals().select("grp", F.round("lower", 5).alias("lower"), F.round("upper", 5).alias("upper"))
+
+
+@query("residual_plot_data", _sql(f"select l_orderkey, l_linenumber, round(fit, 4) + 0.0 as fitted, abs((y - fit) / sigma) > 1.959963984540054 as flagged from ({_ROW})"))
+def residual_plot_data(spark, d):
+    return at_theta(spark, d).plot_data().select("l_orderkey", "l_linenumber", (F.round("fitted", 4) + 0.0).alias("fitted"), "flagged")
+
+
+@query("re_pca", f"select 'l_suppkey' as grp, 1 as component, {THETA}::double as sdev, 1.0::double as share")
+def re_pca(spark, d):
+    return at_theta(spark, d).re_pca()
+
+
+@query("all_fit")
+def all_fit(spark, d):
+    return lmm.all_fit(lmm.fit_lmm(lines(spark, d), FORMULA))
+
+
 @query("scaled_resid_quantiles", _sql(f"select round(quantile_cont((y - fit) / sigma, 0.0), 5) as q0, round(quantile_cont((y - fit) / sigma, 0.25), 5) as q1, round(quantile_cont((y - fit) / sigma, 0.5), 5) as q2, round(quantile_cont((y - fit) / sigma, 0.75), 5) as q3, round(quantile_cont((y - fit) / sigma, 1.0), 5) as q4 from ({_ROW})"))
 def scaled_resid_quantiles(spark, d):
     return at_theta(spark, d).fitted().agg(*(F.round(F.expr(f"percentile(scaled_resid, {p})"), 5).alias(f"q{i}") for i, p in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))))

@@ -102,6 +102,30 @@ class LMM:
         rows = [(lv, n, fixed.get(n, 0.0) + (float(self.solution.b[0][i, names.index(n)]) if n in names else 0.0)) for i, lv in enumerate(f.levels) for n in dict.fromkeys([*fixed, *names])]
         return self.spark.createDataFrame(rows, "grp string, term string, value double")
 
+    def ranef_intervals(self, level: float = 0.95) -> DataFrame:
+        """ranef() with lower and upper, the normal limits of each conditional mode."""
+        z = F.lit(norm_ppf(0.5 + level / 2)) * F.col("condsd")
+        return self.ranef().withColumn("lower", F.col("condval") - z).withColumn("upper", F.col("condval") + z)
+
+    def re_pca(self) -> DataFrame:
+        """Principal components of each term's relative covariance: sdev and share of the term's variance."""
+        rows = []
+        for t, p in zip(self.spec.terms, pls.split(self.spec, self.theta), strict=True):
+            sd = np.linalg.svd(t.structure.factor(p), compute_uv=False)
+            total = float((sd * sd).sum())
+            rows += [(t.group, i + 1, float(x), float(x * x / total) if total > 0 else float("nan")) for i, x in enumerate(sd)]
+        return self.spark.createDataFrame(rows, "grp string, component int, sdev double, share double")
+
+    def anova_terms(self) -> DataFrame:
+        """Sequential sums of squares of the fixed-effect terms, in formula order, without the intercept."""
+        part = (np.linalg.cholesky(self.solution.a).T @ self.solution.beta) ** 2
+        rows = []
+        for term in dict.fromkeys(x for x in self.spec.x_terms if x != "(Intercept)"):
+            own = [i for i, x in enumerate(self.spec.x_terms) if x == term]
+            ss = float(part[own].sum())
+            rows.append((term, len(own), ss, ss / len(own), ss / len(own) / self.sigma**2))
+        return self.spark.createDataFrame(rows, "term string, npar int, sum_sq double, mean_sq double, f_value double")
+
     # -- rows ------------------------------------------------------------------------------------
     def _with_effects(self, frame: DataFrame, re_form: str | None = "all", allow_new: bool = True) -> DataFrame:
         """frame with _fix = X beta + offset and _ran = Z b; unknown levels have effect zero, or are an error."""
@@ -124,6 +148,10 @@ class LMM:
         out = self._with_effects(self.spec.frame)
         return out.withColumn("fitted", F.col("_fix") + F.col("_ran")).withColumn("resid", F.col("_y") - F.col("fitted")).withColumn("pearson", F.sqrt("_w") * F.col("resid")).withColumn("scaled_resid", F.col("pearson") / F.lit(self.sigma))
 
+    def plot_data(self, extreme: float = 0.05) -> DataFrame:
+        """fitted() with flagged: whether a scaled residual lies in the outer share `extreme` of a normal."""
+        return self.fitted().withColumn("flagged", F.abs("scaled_resid") > F.lit(norm_ppf(1 - extreme / 2)))
+
     def hat(self) -> DataFrame:
         """fitted() with hat, rstudent and cooks; for models with one grouping factor."""
         f, k = self.gram.factors[0], self.solution.cond[0]
@@ -262,6 +290,23 @@ def anova(models: list[LMM]) -> DataFrame:
     return ms[0].spark.createDataFrame(rows, "npar int, aic double, bic double, log_lik double, deviance double, chisq double, df int, p_value double")
 
 
+def all_fit(model: LMM) -> DataFrame:
+    """The model's optimum sought in several ways from its own theta: deviance, theta and evaluations of each."""
+    low, up = (np.concatenate([t.structure.bounds()[i] for t in model.spec.terms]) for i in (0, 1))
+
+    def f(x: np.ndarray) -> float:
+        try:
+            return pls.deviance(model.spec, model.gram, x, model.reml)
+        except np.linalg.LinAlgError:
+            return np.inf
+
+    runs = {f"simplex, step {s}": nelder_mead(f, np.array(model.theta), low, up, step=s) for s in (0.02, 0.2, 1.0)}
+    if len(model.theta) == 1:
+        runs["golden section"] = golden(lambda x: f(np.array([x])), float(low[0]), 10 * float(model.theta[0]) + 1)
+    rows = [(k, o.value, o.par.tolist(), o.evaluations, o.converged) for k, o in runs.items()]
+    return model.spark.createDataFrame(rows, "optimizer string, deviance double, theta array<double>, evaluations int, converged boolean")
+
+
 def drop1(model: LMM, df: DataFrame, test: bool = True) -> DataFrame:
     from mixloom.plans.formula import deparse
 

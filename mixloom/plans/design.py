@@ -30,6 +30,7 @@ class Spec:
     terms: list[Term]
     n_levels: dict[str, int] = field(default_factory=dict)
     n: int = 0
+    x_terms: list[str] = field(default_factory=list)  # the formula term of each fixed-effect column
 
     @property
     def groups(self) -> list[str]:
@@ -81,11 +82,13 @@ def compile_model(df: DataFrame, formula: str, weights: str | None = None, subse
     df = df.dropna(subset=used + ([weights] if weights in df.columns else []))
     known: dict = {}
     xs: list[tuple[str, Column]] = [("(Intercept)", F.lit(1.0))] if f.intercept else []
+    x_terms = [n for n, _ in xs]
     first_full = not f.intercept
     for t in f.terms:
         full = first_full and len(t) == 1 and _is_text(df, t[0])
         first_full = first_full and not full
         xs += _columns(df, t, full, known)
+        x_terms += [":".join(t)] * (len(xs) - len(x_terms))
     extra, terms = [], []
     for k, b in enumerate(f.bars):
         zs = [z for e in b.effects for z in ([("(Intercept)", F.lit(1.0))] if not e else _columns(df, e, () not in b.effects and len(e) == 1, known))]
@@ -99,7 +102,7 @@ def compile_model(df: DataFrame, formula: str, weights: str | None = None, subse
         y, w = F.expr(f.response[0]).cast("double"), F.expr(weights).cast("double") if weights else F.lit(1.0)
     off = f.offset or offset
     frame = df.select("*", y.alias("_y"), w.alias("_w"), (F.expr(off).cast("double") if off else F.lit(0.0)).alias("_o"), *(c.alias(f"_x{i}") for i, (_, c) in enumerate(xs)), *extra, *(c.alias(f"_g_{n}") for n, c in groups.items()))
-    spec = Spec(f, frame, [n for n, _ in xs], terms)
+    spec = Spec(f, frame, [n for n, _ in xs], terms, x_terms=x_terms)
     return spec
 
 

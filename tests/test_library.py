@@ -112,6 +112,19 @@ def test_fit_outputs_are_consistent(spark):
     assert all(abs(r.value - again.fixef()[r.param]) < 1e-4 for r in full)
 
 
+def test_terms_and_optimizers(spark):
+    df, *_ = frame(spark)
+    m = lmm.fit_lmm(df.withColumn("f", df.h.cast("string")), "y ~ x + f + (x | g)")
+    got = m.anova_terms().collect()
+    assert [(r.term, r.npar) for r in got] == [("x", 1), ("f", 4)]
+    ns = {r.term: r.sum_sq for r in got}
+    c, a = m.solution.a @ m.solution.beta, m.solution.a  # what the first terms explain alone
+    explained = [float(c[:k] @ np.linalg.solve(a[:k, :k], c[:k])) for k in (1, 2, 6)]
+    assert np.allclose([ns["x"], ns["f"]], np.diff(explained))
+    assert all(abs(r.deviance - m.deviance()) < 1e-3 for r in lmm.all_fit(m).collect())
+    assert abs(sum(r.share for r in m.re_pca().collect()) - 1) < 1e-12
+
+
 def test_checks(spark):
     df, *_ = frame(spark)
     with pytest.raises(ValueError, match="2 or more"):
