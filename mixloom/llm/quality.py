@@ -88,7 +88,7 @@ class Model:
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps_: int = 300, rate: float = 2.0) -> tuple[np.ndarray, float]:
     """Nesterov's accelerated descent on the mean log loss with an L2 penalty; both classes weigh the same."""
-    x = x.astype(np.float32)
+    x = np.asarray(x, np.float32)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum())).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     pw, pb = w.copy(), b

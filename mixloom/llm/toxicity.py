@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,10 +59,9 @@ def character_model(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    cells = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 28**3 rows
     n = np.full(28**3, 0.1)
-    for r in cells:
-        n[r.cell] += r.n
+    n[cells["cell"].to_numpy()] += cells["n"].to_numpy()
     n = n.reshape(28, 28, 28)
     return np.log(n / n.sum(axis=2, keepdims=True))
 
@@ -183,14 +183,19 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
         return Model(logs, {}, -10.0)
     lift = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (n - pos + 1))
     top = held.orderBy((F.abs(lift) * F.sqrt("n")).desc(), "f").limit(MOST_FEATURES)
-    names = sorted(r.f for r in top.select("f").collect())
-    index = {f: i for i, f in enumerate(names)}
+    names = sorted(top.select("f").toArrow()["f"].to_pylist())
     picked = rows.select("doc_id", "y", F.array_intersect("f", F.split(F.lit("\n".join(names)), "\n")).alias("f")).limit(4 * per_class)
-    got = sorted(picked.toPandas().itertuples(index=False), key=lambda r: (r.doc_id, tuple(r.f)))
-    x = np.zeros((len(got), len(names)), np.float32)
-    for i, r in enumerate(got):
-        x[i, [index[f] for f in r.f]] = 1
-    w, b = logistic(x, np.array([r.y for r in got], np.float32), 3e-4, 400, 0.05)
+    got = picked.toArrow().combine_chunks()  # at most 2 * per_class rows
+    found = got["f"].combine_chunks()
+    number = pc.index_in(found.flatten(), value_set=pa.array(names, pa.string())).to_numpy().astype(">u4")
+    ends = np.cumsum(pc.list_value_length(found).to_numpy())
+    has = np.split(number, ends[:-1])
+    ids = got["doc_id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], has[i].tobytes()))
+    x = np.zeros((len(ids), len(names)), np.float32)
+    for to, i in enumerate(order):
+        x[to, has[i].astype(np.int64)] = 1
+    w, b = logistic(x, got["y"].to_numpy()[order].astype(np.float32), 3e-4, 400, 0.05)
     return Model(logs, {f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-4}, b)
 
 
