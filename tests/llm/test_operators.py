@@ -132,6 +132,27 @@ def test_near_copies_of_one_passage(spark):
     assert {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(frame(spark, rows)).collect()} == dict(enumerate(label))
 
 
+def test_unlinked_texts_around_one_boilerplate_text(spark):
+    """Two linked texts stand in a long list without any other link, and the smaller node of the two stands for it."""
+    import random
+
+    r = random.Random(6)
+    shared = [f"w{r.randrange(10**6)}" for _ in range(94)]  # 90 shingles
+
+    def text(own):
+        return " ".join([*shared, *(f"v{r.randrange(10**9)}" for _ in range(own))])
+
+    def node(t):
+        return jaccard_join.signature(jaccard_join.shingle_sets([t.encode()])[0])
+
+    a, b = sorted((text(10) for _ in range(2)), key=node)
+    others = [t for t in (text(14) for _ in range(4000)) if node(t) > node(a)][:60]
+    assert len(others) == 60
+    rows = list(enumerate([b, *others, a]))
+    got = {x.doc_id: x.component_id for x in jaccard_join.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: 0 if i == 61 else i for i, _ in rows}
+
+
 def test_urls(spark):
     rows = ["https://WWW.Example.com/en/1?x", "http://example.com/en/", "ftp://a.b.net/es/#t", "http://x.com", None, "nothing", "http://x.com/y", "http://casino-win.example.org/en/1", "http://garden-club.example.org/en/1"]
     w, b = url_filter.train(url_filter.labelled_urls(spark))
