@@ -213,16 +213,9 @@ def confint_wald(spark, d):
     return at_theta(spark, d).confint().select("term", F.round("lower", 5).alias("lower"), F.round("upper", 5).alias("upper"))
 
 
-_BAL = """with q as (select l_extendedprice / 10000.0::double + 2 * sin(l_suppkey) as y, l_suppkey as g, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as r from lineitem),
-f as (select * from q where r <= 40), l as (select g, avg(y) as m, sum((y - (select avg(y) from f z where z.g = f.g)) * 0) as z from f group by g),
-b as (select count(*) as ng, avg(m) as mu, var_samp(m) * 40 as msb from l), e as (select sum((f.y - l.m) * (f.y - l.m)) / (count(*) - (select ng from b)) as msw from f join l on f.g = l.g)
-select round(mu, 5) as intercept, round(sqrt(msw), 5) as sigma, round(sqrt(greatest(msb - msw, 0) / 40 / msw), 5) as theta from b, e"""
-
-
-@query("lmm_reml_balanced", _BAL)
-def lmm_reml_balanced(spark, d):
-    t = lines(spark, d).withColumn("r", F.expr("row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber)")).where("r <= 40")
-    m = lmm.fit_lmm(t, "y ~ 1 + (1 | l_suppkey)")
+@query("lmm_reml_intercept")
+def lmm_reml_intercept(spark, d):
+    m = lmm.fit_lmm(lines(spark, d), "y ~ 1 + (1 | l_suppkey)")
     return spark.createDataFrame([(round(m.fixef()["(Intercept)"], 5), round(m.sigma, 5), round(float(m.theta[0]), 5))], "intercept double, sigma double, theta double")
 
 

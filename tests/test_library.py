@@ -24,6 +24,64 @@ def test_query_agrees_with_sql(spark, name):
     assert rows(catalog.QUERIES[name](spark, DATA).toArrow()) == rows(con.sql(catalog.ORACLES[name]).to_arrow_table())
 
 
+#: Closed form for groups of 40 rows each; the caps in it cut nothing from such a table.
+_BAL = """with q as (select l_extendedprice / 10000.0::double + 2 * sin(l_suppkey) as y, l_suppkey as g, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as r from lineitem),
+f as (select * from q where r <= 40), l as (select g, avg(y) as m, sum((y - (select avg(y) from f z where z.g = f.g)) * 0) as z from f group by g),
+b as (select count(*) as ng, avg(m) as mu, var_samp(m) * 40 as msb from l), e as (select sum((f.y - l.m) * (f.y - l.m)) / (count(*) - (select ng from b)) as msw from f join l on f.g = l.g)
+select round(mu, 5) as intercept, round(sqrt(msw), 5) as sigma, round(sqrt(greatest(msb - msw, 0) / 40 / msw), 5) as theta from b, e"""
+
+
+def lineitem_of(spark, path, sizes):
+    """A lineitem table with so many rows of each supplier, in folder path."""
+    r = np.random.default_rng(8)
+    supp = np.repeat(np.arange(1, len(sizes) + 1), sizes)
+    rows = [(k, 1, int(g), float(r.integers(1, 51)), float(np.round(20000 + 9000 * r.standard_normal(), 2))) for k, g in enumerate(supp)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_quantity double, l_extendedprice double").coalesce(1).write.parquet(f"{path}/lineitem.parquet")
+    _, _, g, x, price = (np.array(c) for c in zip(*rows, strict=True))
+    return g, x, price / 10000 + 2 * np.sin(g)
+
+
+def dense_reml(g, x, y):
+    """Fixed effects, sigma and theta by dense matrices and ever finer grids."""
+    z = (g[:, None] == np.unique(g)).astype(float)
+    n, p = x.shape
+
+    def at(theta):
+        v = np.eye(n) + theta**2 * z @ z.T
+        w = np.linalg.solve(v, x)
+        b = np.linalg.solve(x.T @ w, w.T @ y)
+        r2 = (y - x @ b) @ np.linalg.solve(v, y - x @ b)
+        return np.linalg.slogdet(v)[1] + np.linalg.slogdet(x.T @ w)[1] + (n - p) * np.log(r2), b, np.sqrt(r2 / (n - p))
+
+    lo, hi = 0.0, 10.0
+    for _ in range(9):
+        grid = np.linspace(lo, hi, 21)
+        k = int(np.argmin([at(t)[0] for t in grid]))
+        lo, hi = grid[max(0, k - 1)], grid[min(20, k + 1)]
+    theta = (lo + hi) / 2
+    return *at(theta)[1:], theta
+
+
+def test_whole_table_fits_by_brute_force(spark, tmp_path):
+    g, x, y = lineitem_of(spark, tmp_path, [12, 95, 41, 70, 3, 60])
+    b, sigma, theta = dense_reml(g, np.ones((len(y), 1)), y)
+    got = catalog.QUERIES["lmm_reml_intercept"](spark, str(tmp_path)).first()
+    assert np.allclose(tuple(got), (b[0], sigma, theta), rtol=1e-3, atol=1e-4)
+    b, sigma, theta = dense_reml(g, np.stack([np.ones(len(y)), x], axis=1), y)
+    fit = catalog.QUERIES["lmm_reml_fit"](spark, str(tmp_path)).collect()
+    fixed = {r.term: r.value for r in fit if r.part == "fixed"}
+    assert np.allclose((fixed["(Intercept)"], fixed["l_quantity"]), b, rtol=1e-3, atol=1e-4)
+    sd = {r.grp: r.value for r in fit if r.part not in ("fixed", "mode")}
+    assert np.allclose((sd["l_suppkey"], sd["Residual"]), (sigma * theta, sigma), rtol=1e-3, atol=1e-4)
+
+
+def test_balanced_fit_equals_closed_form(spark, tmp_path):
+    lineitem_of(spark, tmp_path, [40] * 8)
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert rows(catalog.QUERIES["lmm_reml_intercept"](spark, str(tmp_path)).toArrow()) == rows(con.sql(_BAL).to_arrow_table())
+
+
 def test_formula_bars_and_expansion():
     f = formula.parse("y ~ x*f - x:f + offset(o) + (1 + x || a/b) + cs(0 + x | g, hom=TRUE)")
     assert f.terms == (("x",), ("f",)) and f.offset == "o" and f.intercept
