@@ -42,47 +42,49 @@ class Counts:
         t.no_padding()
         special = [x.content for x in t.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # pre-tokens of our splitter
+        self.split_off: dict[str, int] = {}  # pre-tokens of the library's own splitter, which may look like those
         self.is_last = np.zeros(t.get_vocab_size() + 1, bool)
         mark = t.model.end_of_word_suffix or ""
         self.is_last[[i for w, i in t.get_vocab().items() if w.endswith(mark)]] = True
         self.normal, self.split, self.model = t.normalizer, t.pre_tokenizer, t.model
 
-    def frequencies(self, text: str) -> tuple[Counter, int]:
-        """How often each pre-token stands in the text (those of the library's own splitter are marked by a leading \\0), and the special strings."""
+    def frequencies(self, text: str) -> tuple[Counter, Counter, int]:
+        """How often each pre-token stands in the text: those of our splitter, those of the library's, and the special strings."""
         segments, found = [text], 0
         if self.special and "<|" in text:
             segments = self.special.split(text)
             found = len(segments) - 1
-        freq: Counter = Counter()
+        plain: Counter = Counter()
+        other: Counter = Counter()
         for s in segments:
             if s.isascii() or not BEYOND_LATIN.search(s):
-                freq.update(PRE_TOKEN.findall(s.lower()))
+                plain.update(PRE_TOKEN.findall(s.lower()))
             else:
-                freq.update("\0" + x for x, _ in self.split.pre_tokenize_str(self.normal.normalize_str(s)))
-        return freq, found
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > MOST_KNOWN:
-            self.known.clear()
-        plain = [w for w in words if w[0] != "\0" or w == "\0"]
-        groups = [plain[i : i + 4096] for i in range(0, len(plain), 4096)]
+                other.update(x for x, _ in self.split.pre_tokenize_str(self.normal.normalize_str(s)))
+        return plain, other, found
+
+    def learn(self, words: list[str]) -> None:
+        """Pieces of each of our pre-tokens, many in one call of the library."""
+        groups = [words[i : i + 4096] for i in range(0, len(words), 4096)]
         for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             last = np.flatnonzero(self.is_last[e.ids])  # the last piece of a pre-token bears the word-end mark
             if len(last) != len(group):
                 raise AssertionError("pre-tokens and word ends differ")
             self.known.update(zip(group, np.diff(last, prepend=-1).tolist(), strict=True))
-        for w in words.difference(plain):
-            self.known[w] = len(self.model.tokenize(w[1:]))
 
     def count(self, texts: list[bytes]) -> list[int]:
         freqs = [self.frequencies(t.decode()) for t in texts]
-        new = set().union(*(f.keys() for f, _ in freqs)) if freqs else set()
-        if len(self.known) + len(new) > MOST_KNOWN:
-            self.known.clear()
-        self.learn(new - self.known.keys())
-        known = self.known
-        return [n + sum(c * known[w] for w, c in f.items()) for f, n in freqs]
+        plain, other = (set().union(*(f[k].keys() for f in freqs)) if freqs else set() for k in (0, 1))
+        for known, new in ((self.known, plain), (self.split_off, other)):
+            if len(known) + len(new) > MOST_KNOWN:
+                known.clear()
+        self.learn([w for w in plain if w not in self.known])
+        for w in other:
+            if w not in self.split_off:
+                self.split_off[w] = len(self.model.tokenize(w))
+        known, split_off = self.known, self.split_off
+        return [n + sum(c * known[w] for w, c in f.items()) + sum(c * split_off[w] for w, c in g.items()) for f, g, n in freqs]
 
 
 @lru_cache(maxsize=2)
