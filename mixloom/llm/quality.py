@@ -102,11 +102,16 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps_: int = 300, ra
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """Up to per_class labelled documents (doc_id, text, y) of either class: those with the smallest hash of doc_id."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+    """Up to per_class labelled documents (doc_id, text, y) of either class: those with the smallest hash of doc_id.
+
+    A doc_id whose labels disagree is left out. Of several documents of one doc_id the one with the smallest text counts,
+    so there are 2 * per_class rows at most, and any order of the input gives the same ones.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).alias("_y2")).where(F.col("y") == F.col("_y2")).select("doc_id", "y")
     parts = [known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     # at most 2 * per_class rows of two numbers: a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(parts[0].unionAll(parts[1])), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
@@ -117,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
             rows = [(np.flatnonzero(r), r[r > 0]) for r in (features([t])[0] for t in texts)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.string()), "y": batch.column("y"), "at": pa.array([r[0].astype(np.int16).tobytes() for r in rows], pa.binary()), "x": pa.array([r[1].astype(np.float16).tobytes() for r in rows], pa.binary())})
 
-    sample = labelled_sample(docs, labels, "quality", per_class).mapInArrow(run, "doc_id string, y int, at binary, x binary").limit(4 * per_class)
+    sample = labelled_sample(docs, labels, "quality", per_class).mapInArrow(run, "doc_id string, y int, at binary, x binary")  # at most 2 * per_class rows
     got = sorted(sample.toPandas().itertuples(index=False), key=lambda r: (r.doc_id, r.at))
     y = np.array([r.y for r in got], np.float32)
     if not len(got) or y.min() == y.max():
