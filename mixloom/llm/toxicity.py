@@ -1,15 +1,15 @@
 """Operator 10: toxicity of texts restored by a noisy-channel decoder.
 
-Spans that look disguised (leetspeak, letters spaced out, letters repeated) become lattices of the letters they may stand
-for. Viterbi picks the likeliest reading under a character trigram model counted over all documents. A logistic
-regression on words and word beginnings of the restored text gives the score.
+Spans that look disguised (leetspeak, letters spaced out, letters repeated) become lattices: arcs for the letters that a
+sign may stand for, for one or two of a repeated letter, and for a gap that is a gap or is none. Viterbi picks the
+likeliest reading under a character trigram model counted over all documents, in time that grows with the span's length,
+so no span is too long. A logistic regression on words and word beginnings of the restored text gives the score.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,13 +29,15 @@ SAMPLE, MOST_FEATURES, LEAST_ROWS = 3000, 4000, 4
 STEP = 2_000_000
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
-#: log-probability that a writer disguises a letter, repeats one, or spaces it out.
-DISGUISED, REPEATED = math.log(0.05), math.log(0.02)
+#: log-probability that a writer disguises a letter or repeats one; and among letters that stand one by one, that a gap is none, or one.
+DISGUISED, REPEATED, NO_GAP, GAP = math.log(0.05), math.log(0.02), math.log(0.7), math.log(0.3)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*~][^\W_]){2,}(?![^\W_])")
 _LEETED = re.compile(r"[^\W\d_][0-9@$!|+(€*]+[^\W\d_]|^[0-9@$!|+(€]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+€]+$")
 _LONG = re.compile(r"([^\W\d_])\1\1")
+_PIECE = re.compile(r"(?:[^\W_]|[@$!|+(€*])+")
+_RUN = re.compile(r"(.)\1*", re.DOTALL)
 _SUSPECT = re.compile(r"[0-9@$!|+(€*]|([^\W\d_])\1\1")
 _CODE = np.full(256, 27, np.int64)
 for _i in range(256):
@@ -44,7 +46,7 @@ for _i in range(256):
 
 
 def _code(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27
+    return ord(c) - 96 if "a" <= c <= "z" else 0 if c == " " else 27
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
@@ -71,26 +73,32 @@ class Decoder:
         self.logs = logs.tolist()
         self.known: dict[str, str] = {}
 
-    def restore(self, span: str) -> str:
-        """The likeliest letters behind a span without gaps, by Viterbi over (last two letters)."""
-        if (out := self.known.get(span)) is not None:
-            return out
-        runs: list[tuple[str, int]] = []
-        for c in span.lower():
-            if runs and runs[-1][0] == c:
-                runs[-1] = (c, runs[-1][1] + 1)
-            else:
-                runs.append((c, 1))
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for c, n in runs:
+    def _arcs(self, span: str, gaps: bool):
+        """What each sign of the span may stand for, with its cost. With gaps, every second sign is a gap."""
+        if gaps:
+            for k, c in enumerate(span.lower()):
+                if k % 2:
+                    yield [("", NO_GAP), (" ", GAP)]
+                else:
+                    yield [(x, DISGUISED) for x in LEET[c]] if c in LEET else [(c, 0.0)]
+            return
+        for m in _RUN.finditer(span.lower()):
+            c, n = m[1], len(m[0])
             if c.isalpha():
-                options = [(c * n, 0.0)] if n < 3 else [(c, REPEATED), (c * 2, REPEATED)]
+                yield [(c * n, 0.0)] if n < 3 else [(c, REPEATED), (c * 2, REPEATED)]
             elif c in LEET:
-                options = [(x * k, DISGUISED) for x in LEET[c] for k in ((1, 2) if n > 1 else (1,))]
+                yield [(x * k, DISGUISED) for x in LEET[c] for k in ((1, 2) if n > 1 else (1,))]
             else:
-                options = [("", DISGUISED)]
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+                yield [("", DISGUISED)]
+
+    def restore(self, span: str, gaps: bool = False) -> str:
+        """The likeliest text behind a span, by Viterbi over its last two letters."""
+        if (out := self.known.get(span)) is not None:
+            return out
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in self._arcs(span, gaps):
+            step: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 for letters, cost in options:
                     x, y, s = a, b, score + cost
                     for letter in letters:
@@ -98,33 +106,41 @@ class Decoder:
                         s += self.logs[x][y][z]
                         x, y = y, z
                     if (x, y) not in step or step[x, y][0] < s:
-                        step[x, y] = (s, text + letters)
+                        step[x, y] = (s, (path, letters))
             states = step
-        out = max((s + self.logs[a][b][0], t) for (a, b), (s, t) in states.items())[1]
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[span] = out
+        last = max(states, key=lambda ab: (states[ab][0] + self.logs[ab[0]][ab[1]][0], ab))
+        path = states[last][1]
+        letters = []
+        while path:
+            path, part = path
+            letters.append(part)
+        out = "".join(reversed(letters))
+        if len(span) <= 64:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[span] = out
         return out
 
-    def readings(self, text: str) -> list[str]:
-        """Restored words of the disguised spans of a text."""
-        found = []
-        for m in _SPACED.finditer(text):
-            whole = self.restore(m[0][::2])
-            found += [whole, whole[1:], whole[2:], whole[:-1]]  # a word of one letter may stand beside the spaced one
+    def _piece(self, m: re.Match) -> str:
+        t = m[0].strip("!(")
+        return self.restore(t) if len(t) > 2 and (_LEETED.search(t) or _LONG.search(t)) else m[0]
+
+    def restored(self, text: str) -> str:
+        """The text with its disguised spans read back; tokens of any length, piece by piece between marks."""
+        text = _SPACED.sub(lambda m: self.restore(m[0], True), text)
         if _SUSPECT.search(text):
-            for token in set(text.split()):
-                if _SUSPECT.search(token) and 2 < len(t := token.strip(".,;:?!\"'()[]")) <= 40 and (_LEETED.search(t) or _LONG.search(t)):
-                    found.append(self.restore(t))
-        return found
+            text = " ".join([_PIECE.sub(self._piece, t) if _SUSPECT.search(t) else t for t in text.split()])
+        return text
+
+    def readings(self, text: str) -> list[str]:
+        """Lower-case words of the restored text; of letters that stand one by one also what follows a first a or I, which may be a word."""
+        beside = [r[1:] for m in _SPACED.finditer(text) if (r := self.restore(m[0], True))[:1] in ("a", "i")]
+        return _WORD.findall(" ".join([self.restored(text), *beside]).lower())
 
 
 def words_of(text: str, decoder: Decoder) -> set[str]:
-    """Distinct lower-case words of the text and of its restored spans."""
-    out = set(_WORD.findall(text.lower()))
-    for r in decoder.readings(text):
-        out.update(_WORD.findall(r))
-    return out
+    """Distinct lower-case words of the restored text."""
+    return set(decoder.readings(text))
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -164,7 +180,10 @@ def learnable(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
-    """Fits on at most per_class labelled rows of either class. Without both classes every text scores low."""
+    """Fits on at most per_class labelled documents of either class, one for each doc_id (see labelled_sample).
+
+    Without both classes every text scores low.
+    """
     logs = character_model(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
     lift = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("pos") + 0.5) / (n - pos + 1))
     top = held.orderBy((F.abs(lift) * F.sqrt("n")).desc(), "f").limit(MOST_FEATURES)
     names = sorted(top.select("f").toArrow()["f"].to_pylist())
-    picked = rows.select("doc_id", "y", F.array_intersect("f", F.split(F.lit("\n".join(names)), "\n")).alias("f")).limit(4 * per_class)
+    picked = rows.select("doc_id", "y", F.array_intersect("f", F.split(F.lit("\n".join(names)), "\n")).alias("f"))
     got = picked.toArrow().combine_chunks()  # at most 2 * per_class rows
     found = got["f"].combine_chunks()
     number = pc.index_in(found.flatten(), value_set=pa.array(names, pa.string())).to_numpy().astype(">u4")
