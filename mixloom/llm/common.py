@@ -18,10 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TABLES: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset, a local one (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a local one under a local master, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "mixloom-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,9 +37,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mixloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that operators have written from this process; only for when no result of theirs is read any more."""
+    jvm, n = spark._jvm, len(_TABLES)
+    for path in _TABLES:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _TABLES.clear()
+    return n
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, all else untouched. lower() does that by itself where the text is ASCII."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
@@ -45,6 +61,18 @@ def row_keys(*cols: str) -> list[Column]:
     return [F.xxhash64(*cols).alias("_r1"), F.xxhash64(F.lit(1), *cols).alias("_r2")]
 
 
-def small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """df with a broadcast hint if its counted rows are within the bound, else df: Spark then shuffles."""
-    return F.broadcast(df) if rows <= most else df
+#: Bytes of a table, as counted from its rows, up to which it is broadcast.
+BROADCAST_BYTES = 32_000_000
+
+
+def counted(df: DataFrame, text: str | None = None, each: int = 64) -> int:
+    """Bytes that a written table takes in memory at most: `each` a row, and those of its text column (or of an array's items)."""
+    size = F.lit(0)
+    if text:
+        size = 16 * F.size(text) if df.schema[text].dataType.typeName() == "array" else F.octet_length(text)
+    return int(df.agg(F.sum(size.cast("long") + each)).first()[0] or 0)
+
+
+def small(df: DataFrame, size: int) -> DataFrame:
+    """df with a broadcast hint if its counted bytes are within the bound, else df: Spark then shuffles."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -10,17 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.llm.common import ascii_lower, row_keys, small, table, written
+from mixloom.llm.common import ascii_lower, counted, row_keys, small, table, written
 
 WINDOW, K = 10, 5
-#: Rows of the benchmark's tables up to which they are broadcast (some 100 bytes each); above, Spark shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def words(c: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(c), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
+def n_words(c: Column) -> Column:
+    """How many words a text has (null: none); case doesn't matter for that."""
+    found = F.array_remove(F.split(c, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
+    return F.coalesce(F.when(c.isNotNull(), F.size(found)), F.lit(0)).cast("long")
+
+
 def _let(value: Column, body) -> Column:
     """body(value) with value computed once, not once for each reference in a lambda."""
     return F.transform(F.array(value), body)[0]
@@ -52,25 +56,28 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # at most WINDOW values
     windows = items.select("item_id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("n")), lambda i: _window(F.col("w"), i, F.col("n")))).alias("key"))
     windows = written(windows.distinct(), "windows")
-    n_windows = windows.count()
+    size = counted(windows, "key")
     out = None
     for length in lengths:
         k = min(K, length) if length == WINDOW else length
         prints = items.where(F.col("n") == length).select(F.explode(_runs(F.col("w"), length, k)).alias("x")).select("x.f").distinct()
         found = docs.where("text is not null").select(*row_keys("doc_id", "text"), F.explode(_runs(words(F.col("text")), length, k)).alias("x")).select("_r1", "_r2", "x.*")
-        found = found.join(small(prints, n_windows, BROADCAST_ROWS), "f", "left_semi").select("_r1", "_r2", F.struct(F.lit(length).alias("n"), "lo", "hi").alias("x"))
+        # there are no more prints than windows
+        found = found.join(small(prints, size), "f", "left_semi").select("_r1", "_r2", F.struct(F.lit(length).alias("n"), "lo", "hi").alias("x"))
         out = found if out is None else out.unionAll(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], "_r1 bigint, _r2 bigint, _covered bigint, _items array<string>")
-    out = out.groupBy("_r1", "_r2").agg(F.collect_set("x").alias("x"))
-    texts = docs.where("text is not null").select(*row_keys("doc_id", "text"), "text").join(out, ["_r1", "_r2"])
+    out = written(out.groupBy("_r1", "_r2").agg(F.collect_set("x").alias("x")), "candidates")
+    # the few candidates go to the texts as long as they are small; else both meet by key
+    texts = docs.where("text is not null").select(*row_keys("doc_id", "text"), "text").join(small(out, counted(out, "x")), ["_r1", "_r2"])
     texts = texts.select("_r1", "_r2", words(F.col("text")).alias("w"), "x")
     cand = texts.withColumn("c", _let(F.col("w"), lambda w: F.flatten(F.transform(F.col("x"), lambda r: F.transform(F.sequence(r["lo"], r["hi"]), lambda i: F.struct(r["n"].alias("n"), i.alias("at"), _window(w, i, r["n"]).alias("key")))))))
     cand = cand.select("_r1", "_r2", F.explode("c").alias("c")).select("_r1", "_r2", "c.*")
-    true = written(cand.join(small(windows.select("n", "key").distinct(), n_windows, BROADCAST_ROWS), ["n", "key"], "left_semi").distinct(), "hits")
+    true = written(cand.join(small(windows.select("n", "key").distinct(), size), ["n", "key"], "left_semi").distinct(), "hits")
     covered = true.groupBy("_r1", "_r2").agg(F.collect_set(F.struct("at", "n")).alias("s")).select("_r1", "_r2", F.size(F.array_distinct(F.flatten(F.transform("s", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1))))).cast("long").alias("_covered"))
-    which = true.select("_r1", "_r2", "n", "key").distinct().join(small(windows, n_windows, BROADCAST_ROWS), ["n", "key"]).groupBy("_r1", "_r2").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
-    return covered.join(which, ["_r1", "_r2"])
+    which = true.select("_r1", "_r2", "n", "key").distinct().join(small(windows, size), ["n", "key"]).groupBy("_r1", "_r2").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
+    found = written(covered.join(which, ["_r1", "_r2"]), "contaminated")
+    return small(found, counted(found, "_items", 96))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -80,22 +87,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     left out of items though its words hit. Repeated rows each get their result; an empty benchmark hits nothing.
     """
     found = hits(docs, benchmark)
-    n_words = F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0)).cast("long")
-    out = docs.select(F.struct(*docs.columns).alias("_row"), *row_keys("doc_id", "text"), n_words.alias("_n_words")).join(found, ["_r1", "_r2"], "left")
+    out = docs.select(F.struct(*docs.columns).alias("_row"), *row_keys("doc_id", "text"), n_words(F.col("text")).alias("_n_words")).join(found, ["_r1", "_r2"], "left")
     new = [F.col("_n_words").alias("n_words"), F.coalesce("_covered", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("_items", F.array().cast("array<string>")).alias("items"), F.col("_covered").isNotNull().alias("contaminated")]
     return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")), *new)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a hit, as they are."""
-    found = hits(docs, benchmark).select("_r1", "_r2")
+    found = hits(docs, benchmark).select("_r1", "_r2")  # keeps its broadcast hint
     return docs.select(F.struct(*docs.columns).alias("_row"), *row_keys("doc_id", "text")).join(found, ["_r1", "_r2"], "left_anti").select("_row.*")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = hits(docs, table(spark, sf_dir, "benchmark"))
-    out = docs.select("doc_id", *row_keys("doc_id", "text"), F.greatest(F.coalesce(F.size(words(F.col("text"))), F.lit(0)), F.lit(0)).cast("long").alias("n_words"))
+    out = docs.select("doc_id", *row_keys("doc_id", "text"), n_words(F.col("text")).alias("n_words"))
     out = out.join(found, ["_r1", "_r2"], "left").withColumn("_items", F.coalesce("_items", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", F.coalesce("_covered", F.lit(0).cast("long")).alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"), F.col("_covered").isNotNull().alias("contaminated"))
 
