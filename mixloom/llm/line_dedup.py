@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.llm.common import BLANKS, row_keys, table, written
+from mixloom.llm.common import BLANKS, counted, row_keys, small, table, written
 
 MIN_SITES = 10
 LG_K = 9
@@ -46,7 +46,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """
     found = _lines(docs).join(boilerplate(docs, min_sites), ["_k1", "_k2"])
     found = found.where(~((F.col("_r1") == F.col("_first._r1")) & (F.col("_r2") == F.col("_first._r2")) & (F.col("_pos") == F.col("_first._pos"))))
-    found = found.groupBy("_r1", "_r2").agg(F.collect_set("_pos").alias("_gone"))
+    found = written(found.groupBy("_r1", "_r2").agg(F.collect_set("_pos").alias("_gone")), "gone")
+    found = small(found, counted(found, "_gone"))  # else the texts are shuffled to meet it
     out = docs.select(F.struct(*docs.columns).alias("_row"), *row_keys("doc_id", "text")).join(found, ["_r1", "_r2"], "left")
     text, gone = F.col("_row.text"), F.col("_gone").isNotNull()
     kept = F.transform(F.array(F.split(text, "\n")), lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("_gone")), lambda i: ls[i]), "\n"))[0]
