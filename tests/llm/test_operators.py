@@ -58,6 +58,51 @@ def test_token_counts(spark, texts):
         assert r.n_tokens == len(t.encode(r.text or "", add_special_tokens=False).ids) and r.n_bytes == len((r.text or "").encode())
 
 
+def test_token_counts_of_odd_texts():
+    """Control characters, marks of other scripts and special strings, in any order."""
+    import random
+
+    own, r = token_counts.Counts(public_tokenizers.path(token_counts.VOCABULARY)), random.Random(3)
+    signs = ["\0", ">", "a", "B", " ", "\n", "\x01", "\x1c", "\x85", "\xa0", "é", "Ω", "日", "'s", "12", "<|endoftext|>", "<|startoftext|>", "ǅ", "İ", "ﬁ", "\u200b", "\u3000"]
+    texts = ["\0>", "\0\0", *("".join(r.choice(signs) for _ in range(r.randrange(12))) for _ in range(5000))]
+    want = [len(e.ids) for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert own.count([t.encode() for t in texts]) == want
+
+
+def test_label_ties_and_repeated_ids(spark):
+    """Labels that disagree are left out; of several documents of one id the smallest text counts."""
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, "c"), (3, "d"), (3, None), (4, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (4, 0), (None, 1), (5, 2)], "doc_id bigint, quality int")
+    got = quality.labelled_sample(docs, labels, "quality", 10).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in got) == [(1, "a", 1), (3, "d", 0), (4, None, 0)]
+
+
+def test_decoder_equals_all_readings():
+    """Viterbi against every path of the lattice; long tokens and chains are restored like short ones."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    n = np.random.default_rng(2).random((28, 28, 28)) ** 3
+    d, r = toxicity.Decoder(np.log(n / n.sum(axis=2, keepdims=True))), random.Random(5)
+
+    def cost(letters):
+        x, y, s = 0, 0, 0.0
+        for c in [*letters, " "]:
+            z = toxicity._code(c)
+            s, x, y = s + d.logs[x][y][z], y, z
+        return s
+
+    for k in range(300):
+        gaps = k % 2 > 0
+        span = " ".join(r.choice("ab01|") for _ in range(4)) if gaps else "".join(r.choice("abo01|$!") for _ in range(7))
+        paths = [("".join(a for a, _ in p), sum(c for _, c in p)) for p in itertools.product(*d._arcs(span, gaps))]
+        best = max(c + cost(t) for t, c in paths)
+        assert any(t == d.restore(span, gaps) and abs(c + cost(t) - best) < 1e-9 for t, c in paths)
+        d.known.clear()
+
+
 def test_edge_rows_everywhere(spark):
     d = frame(spark)
     labels = spark.createDataFrame([(5, 1, 0), (7, 0, 1), (None, 1, 1), (9, None, None)], "doc_id bigint, quality int, toxic int")
@@ -169,6 +214,7 @@ def test_toxicity_held_out_and_disguises(spark):
     n = {(x.toxic, x.predicted): x["count"] for x in r}
     assert n.get((0, 0), 0) >= 0.97 * (n.get((0, 0), 0) + n.get((0, 1), 0)) and n.get((1, 1), 0) >= 0.6 * (n.get((1, 0), 0) + n.get((1, 1), 0))
     d = toxicity.Decoder(toxicity.character_model(docs))
+    assert "idiot" in d.readings("well,you.are.such.an.absolutely.complete.1d10t") and "idiot" in d.readings("x" * 50_000 + "-1d10t-" + "y" * 50_000)
     assert "idiot" in d.readings("an 1d10t") and "scum" in d.readings("s.c.u.m") and "moron" in d.readings("moooooron")
 
 
