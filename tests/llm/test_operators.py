@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mixloom.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_score, quality, registry, repeats, token_counts, toxicity, url_filter
+from mixloom.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_score, pitman_yor, quality, registry, repeats, token_counts, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _r1 int"
@@ -143,6 +143,28 @@ def test_base_score_by_brute_force(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_seating_law_against_the_recursion():
+    """Small and large dishes alike: draws have the mean and spread of the law, and its weights agree point by point."""
+    import numpy as np
+
+    for d in (0.05, 0.5, 0.9):
+        exact = pitman_yor.log_stirling(d, 1000)
+        for c in (48, 60, 130, 1000):
+            for a, p in ((1e5, 1e-4), (1e3, 1e-3), (1.0, 0.5), (1e6, 0.01)):
+                t = np.arange(1, c + 1)
+                w = exact[c, 1 : c + 1] + np.cumsum(np.log(a + d * np.arange(c)) + np.log(p))
+                w = np.exp(w - w.max())
+                w /= w.sum()
+                mean = float(w @ t)
+                sd = float(np.sqrt(max(0.0, w @ (t * t) - mean**2)))
+                if c > pitman_yor.EXACT:
+                    q = pitman_yor.log_weights(np.array([c]), t[None, :], np.array([a]), np.array([p]), d)[0]
+                    q = np.exp(q - q.max())
+                    assert abs(q / q.sum() - w).sum() < 0.02
+                x = pitman_yor.draw_tables(np.full(4000, c), np.full(4000, a), np.full(4000, p), d, np.arange(4000, dtype=np.uint64))
+                assert abs(x.mean() - mean) < 4 * sd / 4000**0.5 + 1e-3 and abs(x.std() - sd) < 0.08 * sd + 0.05
+
+
 def test_quality_signals_by_brute_force(texts):
     rows = texts + [(0, x or "") for _, x in EDGE]
     got = quality.signals([t.encode() for _, t in rows])
