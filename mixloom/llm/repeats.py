@@ -11,8 +11,8 @@ is all that 100-byte strings around it can reach: 68 bytes before it, 100 from i
    offsets; suffixes that agree in their first 100 bytes stand together there, and all but the first repeat. Order
    beyond equality is not needed, so suffixes are ordered by the hash of these bytes.
 
-Phrases and suffixes are compared by 64-bit hashes within a trigger's 64-bit hash. Texts are shuffled once, to meet
-what is to be removed from them.
+Phrases are compared by 64-bit hashes within a trigger's 64-bit hash, suffixes by their bytes. Texts are shuffled once,
+to meet what is to be removed from them. Of equal phrases that a step of texts has, one is sent; the others repeat it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,20 +142,42 @@ def _bit(t: np.ndarray) -> np.ndarray:
     return (mixed(t ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def _equal(x: np.ndarray, r: np.ndarray, c: np.ndarray, r2: np.ndarray, c2: np.ndarray) -> bool:
+    """Whether all strings at rows r, columns c of x equal those at r2, c2, some thousands at a time."""
+    k = np.arange(LENGTH)
+    return all(np.array_equal(x[r[i : i + 20_000, None], c[i : i + 20_000, None] + k], x[r2[i : i + 20_000, None], c2[i : i + 20_000, None] + k]) for i in range(0, len(r), 20_000))
+
+
 def _scan(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, most=STEP):
             d, h = batch.column("d").to_numpy(), batch.column("h").to_numpy()
             p = Parse(texts)
-            # of equal phrases that this step has in one text each is needed; lengths tell how far strings may start
-            order, part, begin = _dealt(p.t, parts)
             room = np.minimum(p.at, (p.ends - p.starts)[p.doc] - LENGTH)
-            names = [np.unique(x) for x in np.split(p.doc[order], begin[1:])] if len(order) else []
-            local = [np.searchsorted(n, x).astype(np.uint16 if len(n) < 65536 else np.uint32) for n, x in zip(names, np.split(p.doc[order], begin[1:]), strict=False)]
-            cols = _blobs(order, begin, t=p.t, phrase=p.phrase, at=p.at.astype(np.int32), last=(p.at - room).astype(np.uint8)) if len(order) else {k: pa.array([], pa.binary()) for k in ("t", "phrase", "at", "last")}
-            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int64()), **cols, "who": pa.array([x.astype(np.uint32).tobytes() for x in local], pa.binary()), "d": pa.array([d[n].tobytes() for n in names], pa.binary()), "h": pa.array([h[n].tobytes() for n in names], pa.binary())})
+            last = p.at - room  # lengths tell how far strings may start
+            order, new, fresh = _firsts(p.t, p.phrase, d[p.doc], h[p.doc], p.at)
+            again = order[fresh & ~new]
+            own = _runs(d[p.doc[again]], h[p.doc[again]], np.maximum(0, p.at[again] - BEFORE), p.at[again] - last[again])
+            none = lambda n: pa.nulls(n, pa.binary())
+            if len(own):
+                to = (mixed(own["d"].to_numpy().astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"part": pa.array(to), **{k: none(len(own)) for k in ("t", "phrase", "at", "last", "who")}, "d": pa.array([x.to_bytes(8, "little", signed=True) for x in own["d"].to_pylist()], pa.binary()), "h": pa.array([x.to_bytes(8, "little", signed=True) for x in own["h"].to_pylist()], pa.binary()), "runs": own["runs"].combine_chunks()})
+            one = order[new]
+            if not len(one):
+                continue
+            t, doc = p.t[one], p.doc[one]
+            order, part, begin = _dealt(t, parts)
+            names = [np.unique(x) for x in np.split(doc[order], begin[1:])]
+            local = [np.searchsorted(n, x).astype(np.uint32) for n, x in zip(names, np.split(doc[order], begin[1:]), strict=True)]
+            cols = _blobs(order, begin, t=t, phrase=p.phrase[one], at=p.at[one].astype(np.int32), last=last[one].astype(np.uint8))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int64()), **cols, "who": pa.array([x.tobytes() for x in local], pa.binary()), "d": pa.array([d[n].tobytes() for n in names], pa.binary()), "h": pa.array([h[n].tobytes() for n in names], pa.binary()), "runs": none(len(part))})
 
     def merge(group: pa.Table) -> pa.Table:
+        is_run = pc.is_valid(group["runs"])
+        early, group = group.filter(is_run), group.filter(pc.invert(is_run))
+        early = pa.table({"d": pa.array(np.frombuffer(b"".join(early["d"].to_pylist()), np.int64)), "h": pa.array(np.frombuffer(b"".join(early["h"].to_pylist()), np.int64)), "runs": early["runs"].combine_chunks(), "word": pa.nulls(len(early), pa.int64()), "bit": pa.nulls(len(early), pa.int64())})
+        if not len(group):
+            return early
         t, phrase, at, last = _read(group, t=np.uint64, phrase=np.uint64, at=np.int32, last=np.uint8)
         doc, h = [], []
         for who, d, k in zip(*(group.column(c).to_pylist() for c in ("who", "d", "h")), strict=True):
@@ -176,9 +199,9 @@ def _scan(docs: DataFrame, parts: int) -> DataFrame:
         a = pa.table({"d": out["d"], "h": out["h"], "runs": out["runs"], "word": none(len(out), pa.int64()), "bit": none(len(out), pa.int64())})
         words, first = np.unique(bits >> 5, return_index=True)
         b = pa.table({"d": none(len(words), pa.int64()), "h": none(len(words), pa.int64()), "runs": none(len(words), pa.binary()), "word": pa.array(words, pa.int64()), "bit": pa.array(np.bitwise_or.reduceat(1 << (bits & 31), first) if len(bits) else np.zeros(0, np.int64), pa.int64())})
-        return pa.concat_tables([a, b])
+        return pa.concat_tables([early, a, b])
 
-    rows = docs.mapInArrow(run, "part bigint, t binary, phrase binary, at binary, last binary, who binary, d binary, h binary")
+    rows = docs.mapInArrow(run, "part bigint, t binary, phrase binary, at binary, last binary, who binary, d binary, h binary, runs binary")
     return rows.groupBy("part").applyInArrow(merge, "d bigint, h bigint, runs binary, word bigint, bit bigint")
 
 
@@ -225,7 +248,7 @@ def _compare(docs: DataFrame, flags: np.ndarray, parts: int) -> DataFrame:
             shift = BEFORE - left[rows].astype(np.int64)
             col = np.arange(WIDE)[None, :] - shift[:, None]
             held = (col >= 0) & (col < size[rows].astype(np.int64)[:, None])
-            bytes_ = np.where(held, text[np.clip(begin[rows][:, None] + col, 0, max(0, len(text) - 1))], 0)
+            bytes_ = np.where(held, text[np.clip(begin[rows][:, None] + col, 0, max(0, len(text) - 1))], np.uint8(0))
             total = np.zeros((len(rows), WIDE + 1), np.uint64)
             np.cumsum(np.where(held, _VALUE[bytes_], np.uint64(0)) * up[:WIDE][None, :], axis=1, out=total[:, 1:])
             o = np.arange(SPAN)
@@ -237,7 +260,17 @@ def _compare(docs: DataFrame, flags: np.ndarray, parts: int) -> DataFrame:
             key = mixed(suffix[r, c] + mixed(t[rows][r] + c.astype(np.uint64)))
             by = np.lexsort((rank[r], key))
             rep = np.zeros(len(by), bool)
-            rep[by[1:]] = key[by][1:] == key[by][:-1]
+            same = np.flatnonzero(key[by][1:] == key[by][:-1])
+            if len(same):
+                x, y = by[same + 1], by[same]
+                if _equal(bytes_, r[x], c[x], r[y], c[y]):
+                    rep[x] = True
+                else:  # hashes of different strings agree: the strings themselves decide
+                    seen: set[bytes] = set()
+                    for i in by[np.unique(np.concatenate([same, same + 1]))].tolist():
+                        one = int(t[rows][r[i]]).to_bytes(8, "little") + bytes([c[i]]) + bytes_[r[i], c[i] : c[i] + LENGTH].tobytes()
+                        rep[i] = one in seen
+                        seen.add(one)
             start = at[rows][r[rep]].astype(np.int64) - BEFORE + c[rep]
             row = r[rep]
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(start) != 1) | (np.diff(row) != 0)])) if len(row) else np.zeros(0, np.int64)
