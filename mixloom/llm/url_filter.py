@@ -7,8 +7,7 @@ driver runs the gradient steps on that small matrix.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,28 +61,28 @@ def features(h: Column, p: Column) -> Column:
 
 
 def train(labelled: DataFrame, steps: int = 300, rate: float = 0.5, penalty: float = 1e-4) -> tuple[list[float], float]:
-    """(weights, bias) of a logistic regression with an L2 penalty; labelled has url and label, MOST_LABELLED rows at most."""
+    """(weights, bias) of a logistic regression with an L2 penalty; labelled has url and label, MOST_LABELLED rows at most.
+
+    Rows without a label are left out; a null url counts as one with empty host and path. Both classes weigh the same.
+    """
     rows = labelled.where("label is not null").select(features(host(F.col("url")), path(F.col("url"))).alias("x"), "label").limit(MOST_LABELLED + 1).collect()
     if len(rows) > MOST_LABELLED:
         raise ValueError(f"more than {MOST_LABELLED} labelled URLs")
     data = sorted((sorted(r.x), int(r.label)) for r in rows)
-    w, bias = [0.0] * BUCKETS, 0.0
-    norm = [1 / math.sqrt(len(x)) if x else 0.0 for x, _ in data]
-    ones = sum(y for _, y in data)
-    weight = [len(data) / 2 / max(1, ones if y else len(data) - ones) for _, y in data]  # both classes weigh the same
-    for _ in range(steps if data else 0):
-        grad, up = {}, 0.0
-        for (x, y), s, share in zip(data, norm, weight, strict=True):
-            z = bias + s * sum(w[i] for i in x)
-            e = (1 / (1 + math.exp(-z)) if z > -700 else 0.0) - y
-            e *= share
-            up += e
-            for i in x:
-                grad[i] = grad.get(i, 0.0) + e * s
-        bias -= rate * up / len(data)
-        for i, g in grad.items():
-            w[i] -= rate * 20 * (g / len(data) + penalty * w[i])
-    return w, bias
+    w, bias = np.zeros(BUCKETS), 0.0
+    if not data:
+        return w.tolist(), bias
+    size = np.array([len(x) for x, _ in data])
+    at, row = np.array([i for x, _ in data for i in x], np.int64), np.repeat(np.arange(len(data)), size)
+    y, norm = np.array([float(y) for _, y in data]), 1 / np.sqrt(np.maximum(size, 1))
+    weight = len(y) / 2 / np.maximum(1, np.where(y > 0, y.sum(), len(y) - y.sum()))
+    for _ in range(steps):
+        z = bias + norm * np.bincount(row, w[at], len(y))
+        e = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y) * weight / len(y)
+        grad = np.bincount(at, (e * norm)[row], BUCKETS)
+        bias -= rate * float(e.sum())
+        w -= rate * 20 * (grad + penalty * w)
+    return w.tolist(), bias
 
 
 def judge(pages: DataFrame, weights: list[float], bias: float) -> DataFrame:
