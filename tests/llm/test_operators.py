@@ -229,6 +229,34 @@ def test_urls(spark):
     assert got[6][2:] == ("com/", "allow") and got[7][3] == "block" and got[8][3] == "allow"
 
 
+def test_url_labels_held_out(spark):
+    """Trained on most host words, the filter knows those hosts with other fronts and paths, and spares ordinary ones."""
+    rows = url_filter.labelled_urls(spark).withColumn("h", F.pmod(F.xxhash64("url"), F.lit(4)))
+    w, b = url_filter.train(rows.where("h > 0"))
+    got = url_filter.judge(rows.where("h = 0").withColumnRenamed("label", "page_id"), w, b).where("rule is null").groupBy("page_id", "verdict").count().collect()
+    n = {(r.page_id, r.verdict): r["count"] for r in got}
+    assert n[1, "block"] >= 0.9 * (n[1, "block"] + n.get((1, "allow"), 0)) and n[0, "allow"] >= 0.95 * (n[0, "allow"] + n.get((0, "block"), 0))
+
+
+def test_urls_by_brute_force(spark):
+    """Host, path and rule of every page and of odd URLs, by plain Python."""
+    pages = [(r.page_id, r.url) for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()]
+    odd = ["://", "a://", "x://H?y://z", "x://a.com", "x://A.COM/en/", "://www.example.com/en/#", "x://.net/es/", "x://net/es", "x://n.net/es/?", "x://example.com/en", "http:/a.com/", "", None, "x://b\n.com/\n?q"]
+    rows = pages + pages[:3] + [(-k, u) for k, u in enumerate(odd)]
+    weights, bias = [0.0] * url_filter.BUCKETS, -1.0
+
+    def said(u):
+        rest = (u or "").partition("://")[2]
+        host = re.split("[/?#]", rest)[0]
+        path, host = re.split("[?#]", rest[len(host) :])[0], "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits, key=lambda r: len(r[0]), default=(None, "allow"))
+        return host, path, rule, verdict
+
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id bigint, url string"), weights, bias).collect()
+    assert Counter((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == Counter((i, *said(u)) for i, u in rows)
+
+
 def test_toxicity_held_out_and_disguises(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity.score_texts(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
@@ -240,13 +268,25 @@ def test_toxicity_held_out_and_disguises(spark):
     assert "idiot" in d.readings("an 1d10t") and "scum" in d.readings("s.c.u.m") and "moron" in d.readings("moooooron")
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_run(spark, tmp_path):
+    """Whole tables, empty ones, and a table with nulls and repeated rows; what a stage drops stays dropped."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs, bench, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark", "labels"))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
-        assert out.columns == docs.columns and out.count() > 0, name
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
+    got = corpus_pipeline.run(spark, DATA)
+    assert 0 < got.count() < docs.count() and got.select("doc_id").distinct().count() == got.count()
+    near = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert len({near[r.doc_id] for r in got.collect()}) == got.count()
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (3, "one two three four five six", None, None, 9), (3, "one two three four five six", None, None, 9), (4, "one two three four five six", "en", "s", 9), (3, "seven eight nine ten eleven twelve", "en", "s", 9)], docs.schema)
+    for where, d in (("none", docs.limit(0)), ("odd", odd)):
+        for name, t in (("documents", d), ("benchmark", bench.limit(0)), ("labels", labels.limit(0))):
+            t.write.parquet(f"{tmp_path}/{where}/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    left = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens > 0) for r in left) == [(False, 1, False), (False, 2, False), (False, 3, True), (False, 3, True), (True, 0, False)]
 
 
 def brute_repeats(rows):
