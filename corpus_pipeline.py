@@ -9,7 +9,7 @@ from mixloom.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go; a null text is not toxic."""
+    """Documents that the toxicity score rejects go; null and empty texts stay unless the bias alone rejects. Empty tables stay empty."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_texts(docs, model).where("predicted = 0").select(*docs.columns)
 
@@ -20,19 +20,20 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join, the one with the smallest doc_id stays; those without an id stay."""
-    found = jaccard_join.near_duplicates(docs)
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that links join one row stays, the one with the smallest doc_id; repeated rows count as copies, too."""
+    return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none. Repeated rows share their fate."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents without text, with the number of tokens and digests of the ids and of their decoding."""
+    """The columns of documents without text, with the number of tokens and digests of the ids and of their decoding.
+
+    A null text is encoded as an empty one; every row, repeated or not, gives a row.
+    """
     return bpe.encode(docs, ids=False, digests=True).drop("text")
 
 
