@@ -77,3 +77,13 @@ def t_ppf(p: float, df: float) -> float:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if t_cdf(mid, df) < p else (lo, mid)
     return (lo + hi) / 2
+
+
+def chi2_ppf(p: float, df: float) -> float:
+    lo, hi = 0.0, 10.0 * df + 100
+    while chi2_sf(hi, df) > 1 - p:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi2_sf(mid, df) > 1 - p else (lo, mid)
+    return (lo + hi) / 2

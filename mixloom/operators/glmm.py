@@ -6,15 +6,24 @@ table, and all iterations run on the cells. That is exact; discrete data shrink
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mixloom.functions.family import Family
-from mixloom.operators.optimize import golden, nelder_mead
-from mixloom.plans.design import Spec, check, compile_model
+from mixloom.functions import family as fam
+from mixloom.functions.family import Family, UserFamily, normal_name
+from mixloom.functions.quadrature import gauss_hermite
+from mixloom.functions.special import norm_ppf
+from mixloom.operators import lmm
+from mixloom.operators.gram import MOST_DENSE, factor_columns
+from mixloom.operators.optimize import convergence, derivatives, golden, optimize
+from mixloom.operators.pls import split
+from mixloom.plans.control import Control, glmm_control, report
+from mixloom.plans.design import Spec, check, compile_model, normal, rank_check, unit
 
 DEFAULT_LINK = {"binomial": "logit", "poisson": "log", "negative.binomial": "log", "gaussian": "identity", "Gamma": "inverse", "inverse.gaussian": "inverse"}
 #: Cells that are taken to the driver at most.
@@ -23,106 +32,154 @@ MOST_CELLS = 2_000_000
 
 @dataclass
 class Cells:
+    """Distinct rows with their counts. Effects of all factors stand side by side: z (cells, K) and the place of each among
+    the random effects (cells, K), factor by factor and level by level."""
+
     y: np.ndarray
     w: np.ndarray
     o: np.ndarray
     times: np.ndarray
     x: np.ndarray
-    z: np.ndarray  # all effects of the single grouping factor
-    level: np.ndarray
-    levels: list[str]
-
-
-@dataclass
-class GLMM:
-    spec: Spec
-    family: Family
-    theta: np.ndarray
-    beta: np.ndarray
-    u: np.ndarray
-    deviance: float
-    cells: Cells
-    n_agq: int
+    z: np.ndarray
+    at: np.ndarray
+    levels: list[list[str]]  # by factor
+    sizes: list[int]  # effects of a level, by factor
+    factors: list[list[int]]  # terms, by factor
 
     @property
-    def npar(self) -> int:
-        return len(self.beta) + len(self.theta) + (self.family.name == "negative.binomial")
+    def q(self) -> int:
+        return sum(len(lv) * e for lv, e in zip(self.levels, self.sizes, strict=True))
 
-    def aic(self) -> float:
-        return self.deviance + 2 * self.npar
+    def begins(self) -> np.ndarray:
+        return np.cumsum([0, *(len(lv) * e for lv, e in zip(self.levels, self.sizes, strict=True))])
 
-    def fixef(self) -> dict[str, float]:
-        return dict(zip(self.spec.x_names, self.beta.tolist(), strict=True))
 
-    def ranef(self) -> DataFrame:
-        t = _template(self.spec, self.theta)
-        b, (_, m) = self.u @ t.T, _weights(self.cells, self.family, self.beta, self.u, t)
-        sd = np.sqrt(np.maximum(0, np.diagonal(t @ np.linalg.inv(m) @ t.T, axis1=1, axis2=2)))
-        names = [n for term in self.spec.terms for n in term.names]
-        return self.spec.frame.sparkSession.createDataFrame([(self.spec.groups[0], n, lv, float(b[i, j]), float(sd[i, j])) for i, lv in enumerate(self.cells.levels) for j, n in enumerate(names)], "grpvar string, term string, grp string, condval double, condsd double")
-
-
-def collapse(spec: Spec) -> Cells:
-    if len(spec.groups) != 1:
-        raise ValueError("generalized models take one grouping factor (several terms of it are fine)")
-    xs, zs = [f"_x{i}" for i in range(len(spec.x_names))], [c for t in spec.terms for c in t.columns]
-    cells = spec.frame.groupBy("_y", "_w", "_o", *xs, *zs, F.col(f"`_g_{spec.groups[0]}`").alias("_g")).agg(F.count(F.lit(1)).alias("_times"))
-    t = cells.limit(MOST_CELLS + 1).toPandas()
-    if len(t) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} distinct cells: coarsen continuous covariates")
+def collapse(spec: Spec, most: int = MOST_CELLS) -> Cells:
+    groups = spec.groups
+    zs = [[c for t in spec.terms if t.group == g for c in t.columns] for g in groups]
+    flat = [c for z in zs for c in z]
+    cells = spec.frame.where("_w > 0").groupBy("_y", "_w", "_o", *spec.x_cols, *flat, *(F.col(f"`_g_{g}`").alias(f"_lv{k}") for k, g in enumerate(groups))).agg(F.count(F.lit(1)).alias("_times"))
+    t = cells.limit(most + 1).toPandas()
+    if len(t) > most:
+        raise ValueError(f"more than {most} distinct cells: coarsen continuous covariates")
     t = t.sort_values(list(t.columns))
-    levels = sorted(t._g.unique())
     num = lambda c: t[c].to_numpy(float)
-    return Cells(num("_y"), num("_w"), num("_o"), num("_times"), t[xs].to_numpy(float), t[zs].to_numpy(float), t._g.map({v: i for i, v in enumerate(levels)}).to_numpy(), levels)
-
-
-def _template(spec: Spec, theta: np.ndarray) -> np.ndarray:
-    from mixloom.operators.pls import split
-
-    blocks = [t.structure.factor(p) for t, p in zip(spec.terms, split(spec, theta), strict=True)]
-    out = np.zeros((sum(map(len, blocks)),) * 2)
-    at = 0
-    for b in blocks:
-        out[at : at + len(b), at : at + len(b)] = b
-        at += len(b)
+    levels, at, off = [], [], 0
+    for k, z in enumerate(zs):
+        lv = sorted(t[f"_lv{k}"].unique())
+        levels.append(lv)
+        at.append(off + pd.Index(lv).get_indexer(t[f"_lv{k}"])[:, None] * len(z) + np.arange(len(z)))
+        off += len(lv) * len(z)
+    if len(groups) > 1 and off > MOST_DENSE:
+        raise ValueError(f"several grouping factors with more than {MOST_DENSE} random effects in all")
+    return Cells(num("_y"), num("_w"), num("_o"), num("_times"), t[spec.x_cols].to_numpy(float).reshape(len(t), -1), t[flat].to_numpy(float).reshape(len(t), -1), np.concatenate(at, axis=1), levels, [len(z) for z in zs], [[i for i, x in enumerate(spec.terms) if x.group == g] for g in groups])
+
+
+def _templates(spec: Spec, c: Cells, theta: np.ndarray) -> list[np.ndarray]:
+    """The relative factor of each grouping factor's terms."""
+    par = split(spec, theta)
+    out = []
+    for terms, e in zip(c.factors, c.sizes, strict=True):
+        m, at = np.zeros((e, e)), 0
+        for i in terms:
+            b = spec.terms[i].structure.factor(par[i])
+            m[at : at + len(b), at : at + len(b)] = b
+            at += len(b)
+        out.append(m)
     return out
 
 
-def _group(level: np.ndarray, n: int, v: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, *v.shape[1:]))
-    np.add.at(out, level, v)
+def _spherical(c: Cells, ts: list[np.ndarray]) -> np.ndarray:
+    """Effects' columns for spherical random effects."""
+    out, k = np.empty_like(c.z), 0
+    for t in ts:
+        out[:, k : k + len(t)] = c.z[:, k : k + len(t)] @ t
+        k += len(t)
     return out
 
 
-def _weights(c: Cells, f: Family, beta: np.ndarray, u: np.ndarray, t: np.ndarray):
-    eta = c.o + c.x @ beta + ((c.z @ t) * u[c.level]).sum(axis=1)
+class System:
+    """X'WX, Z'WX and Z'WZ + I of a step, with the random effects' part factorised: by level for one factor, else dense."""
+
+    def __init__(self, c: Cells, w: np.ndarray, zt: np.ndarray):
+        self.c, self.zt, p = c, zt, c.x.shape[1]
+        self.single = len(c.levels) == 1
+        self.zx = np.zeros((c.q, p))
+        np.add.at(self.zx, c.at, (w[:, None, None] * zt[:, :, None]) * c.x[:, None, :])
+        if self.single:
+            e = c.sizes[0]
+            self.m = np.zeros((len(c.levels[0]), e, e)) + np.eye(e)
+            np.add.at(self.m, c.at[:, 0] // e, w[:, None, None] * zt[:, :, None] * zt[:, None, :])
+        else:
+            self.m = np.eye(c.q)
+            np.add.at(self.m, (c.at[:, :, None], c.at[:, None, :]), w[:, None, None] * zt[:, :, None] * zt[:, None, :])
+        self.chol = np.linalg.cholesky(self.m)
+        self.xx = (c.x * w[:, None]).T @ c.x
+        self.sx = self.solve(self.zx)
+        self.a = self.xx - self.zx.T @ self.sx
+
+    def solve(self, r: np.ndarray) -> np.ndarray:
+        if self.single:
+            e = self.c.sizes[0]
+            return np.linalg.solve(self.m, r.reshape(-1, e, *r.shape[1:]) if r.ndim > 1 else r.reshape(-1, e, 1)).reshape(r.shape)
+        return np.linalg.solve(self.chol.T, np.linalg.solve(self.chol, r))
+
+    def logdet(self) -> float:
+        return 2 * float(np.log(np.diagonal(self.chol, axis1=-2, axis2=-1)).sum())
+
+    def gather(self, v: np.ndarray) -> np.ndarray:
+        """Z'v."""
+        out = np.zeros(self.c.q)
+        np.add.at(out, self.c.at, v[:, None] * self.zt)
+        return out
+
+    def blocks(self, ts: list[np.ndarray]) -> list[np.ndarray]:
+        """Conditional covariances of each level's effects, by factor, given the fixed effects."""
+        if self.single:
+            return [ts[0] @ np.linalg.inv(self.m) @ ts[0].T]
+        inv, out = np.linalg.inv(self.m), []
+        for k, b in enumerate(self.c.begins()[:-1]):
+            e = self.c.sizes[k]
+            at = b + np.arange(len(self.c.levels[k]))[:, None] * e + np.arange(e)
+            out.append(ts[k] @ inv[at[:, :, None], at[:, None, :]] @ ts[k].T)
+        return out
+
+
+def _eta(c: Cells, zt: np.ndarray, beta: np.ndarray, u: np.ndarray) -> np.ndarray:
+    return c.o + c.x @ beta + (zt * u[c.at]).sum(axis=1)
+
+
+def _weights(c: Cells, f: Family, eta: np.ndarray):
     mu, d = f.inverse(eta), f.slope(eta)
-    w = c.times * c.w * d * d / f.variance(mu)
-    zt = c.z @ t
-    m = _group(c.level, len(c.levels), w[:, None, None] * zt[:, :, None] * zt[:, None, :]) + np.eye(len(t))
-    return (eta, mu, d, w, zt), m
+    return mu, d, c.times * c.w * d * d / f.variance(mu)
+
 
+def pirls(c: Cells, f: Family, ts: list[np.ndarray], beta: np.ndarray, u: np.ndarray, move_beta: bool, tol: float = 1e-10, most: int = 100):
+    """Penalised iteratively reweighted least squares with step halving; moves u, and beta if asked.
 
-def pirls(c: Cells, f: Family, t: np.ndarray, beta: np.ndarray, u: np.ndarray, move_beta: bool, tol: float = 1e-10, most: int = 100):
-    """Penalised iteratively reweighted least squares with step halving; moves u, and beta if asked."""
+    Returns beta, u and the penalised deviance. It is an error if that is not a number or doesn't settle.
+    """
+    zt = _spherical(c, ts)
 
     def pdev(beta, u):
-        eta = c.o + c.x @ beta + ((c.z @ t) * u[c.level]).sum(axis=1)
-        return float(f.minus2loglik(c.y, f.inverse(eta), c.w, c.times).sum() + (u * u).sum())
+        with np.errstate(all="ignore"):
+            return float((c.times * f.dev_resid(c.y, f.inverse(_eta(c, zt, beta, u)), c.w)).sum() + (u * u).sum())
 
     now = pdev(beta, u)
+    if not np.isfinite(now):
+        raise FloatingPointError("the deviance is not a number at the start")
     for _ in range(most):
-        (eta, mu, d, w, zt), m = _weights(c, f, beta, u, t)
+        eta = _eta(c, zt, beta, u)
+        mu, d, w = _weights(c, f, eta)
+        s = System(c, w, zt)
         r = w * (c.y - mu) / d
-        gu = _group(c.level, len(c.levels), r[:, None] * zt) - u
-        if move_beta:
-            zx = _group(c.level, len(c.levels), w[:, None, None] * zt[:, :, None] * c.x[:, None, :])
-            s = np.linalg.solve(m, zx)
-            a = (c.x * w[:, None]).T @ c.x - np.einsum("lkp,lkq->pq", zx, s)
-            db = np.linalg.solve(a, c.x.T @ r - np.einsum("lkp,lk->p", s, gu))
-            du = np.linalg.solve(m, (gu - zx @ db)[..., None])[..., 0]
+        gu = s.gather(r) - u
+        if move_beta and len(beta):
+            su = s.solve(gu)
+            db = np.linalg.solve(s.a, c.x.T @ r - s.zx.T @ su)
+            du = su - s.sx @ db
         else:
-            db, du = np.zeros_like(beta), np.linalg.solve(m, gu[..., None])[..., 0]
+            db, du = np.zeros_like(beta), s.solve(gu)
         step = 1.0
         for _ in range(30):
             new = pdev(beta + step * db, u + step * du)
@@ -132,84 +189,497 @@ def pirls(c: Cells, f: Family, t: np.ndarray, beta: np.ndarray, u: np.ndarray, m
         else:
             break
         beta, u = beta + step * db, u + step * du
-        if abs(now - new) <= tol * (abs(new) + tol):
-            now = new
-            break
+        done = abs(now - new) <= tol * (abs(new) + tol)
         now = new
+        if done:
+            break
     return beta, u, now
 
 
-def laplace(c: Cells, f: Family, t: np.ndarray, beta: np.ndarray, u: np.ndarray, move_beta: bool, n_agq: int = 1):
+def laplace(c: Cells, f: Family, ts: list[np.ndarray], beta: np.ndarray, u: np.ndarray, move_beta: bool, n_agq: int = 1, tol: float = 1e-10, most: int = 100):
     """-2 log likelihood at theta (and beta, unless PIRLS moves it); with more nodes, quadrature around each mode."""
-    beta, u, pdev = pirls(c, f, t, beta, u, move_beta)
-    _, m = _weights(c, f, beta, u, t)
+    beta, u, _ = pirls(c, f, ts, beta, u, move_beta, tol, most)
+    zt = _spherical(c, ts)
+    eta = _eta(c, zt, beta, u)
+    mu, _, w = _weights(c, f, eta)
+    s = System(c, w, zt)
     if n_agq <= 1:
-        return pdev + float(np.linalg.slogdet(m)[1].sum()), beta, u
-    if u.shape[1] != 1:
+        return f.aic(c.y, mu, c.w, c.times) + float(u @ u) + s.logdet(), beta, u
+    if not s.single or c.sizes[0] != 1:
         raise ValueError("more than one quadrature node needs a single scalar term")
-    nodes, weights = np.polynomial.hermite_e.hermegauss(n_agq)
-    sd = 1 / np.sqrt(m[:, 0, 0])
-    total = np.zeros(len(u))
-    at_mode = None
-    for z, wt in zip(nodes, weights, strict=True):
-        v = u[:, 0] + z * sd
-        eta = c.o + c.x @ beta + (c.z @ t)[:, 0] * v[c.level]
-        d = _group(c.level, len(u), f.minus2loglik(c.y, f.inverse(eta), c.w, c.times)) + v * v
-        at_mode = d if at_mode is None else at_mode
-        total += wt * np.exp(-0.5 * (d - at_mode) + 0.5 * z * z)
-    return float((at_mode - 2 * np.log(total * sd / np.sqrt(2 * np.pi))).sum()), beta, u
-
-
-def fit_glmm(df: DataFrame, formula: str, family: str = "binomial", link: str | None = None, n_agq: int = 1, weights: str | None = None, theta_nb: float = 1.0, cells: Cells | None = None, offset: str | None = None) -> GLMM:
-    """Stage one moves theta with beta profiled by PIRLS; stage two moves both (n_agq 0 stops after stage one)."""
-    spec = compile_model(df, formula, weights, offset=offset)
-    check(spec, allow_n=True)
-    f = Family(family, link or DEFAULT_LINK[family], theta_nb)
-    c = cells or collapse(spec)
-    if c.y.min() == c.y.max():
-        raise ValueError("the response is constant")
-    low = np.concatenate([t.structure.bounds()[0] for t in spec.terms])
-    up = np.concatenate([t.structure.bounds()[1] for t in spec.terms])
-    p, nt = c.x.shape[1], len(low)
-    state = [np.zeros(p), np.zeros((len(c.levels), c.z.shape[1]))]
+    sd, q = 1 / np.sqrt(s.m[:, 0, 0]), c.q
+
+    def by_level(v):
+        out = v * v
+        np.add.at(out, c.at[:, 0], f.minus2loglik(c.y, f.inverse(c.o + c.x @ beta + zt[:, 0] * v[c.at[:, 0]]), c.w, c.times))
+        return out
+
+    at_mode, total = by_level(u), np.zeros(q)
+    for z, wt, _ in gauss_hermite(n_agq):
+        total += wt * np.exp(-0.5 * (by_level(u + z * sd) - at_mode) + 0.5 * z * z)
+    return float((at_mode - 2 * np.log(total * sd)).sum()), beta, u
+
+
+@dataclass
+class GLMM:
+    spec: Spec
+    family: Family
+    theta: np.ndarray
+    beta: np.ndarray
+    u: np.ndarray
+    deviance: float  # -2 log likelihood
+    cells: Cells
+    n_agq: int
+    hessian: np.ndarray | None = None
+    messages: list[str] = field(default_factory=list)
+    call: lmm.Call | None = None
+    control: Control = field(default_factory=glmm_control)
+
+    is_lmm, is_glmm, is_nlmm, is_reml, reml = False, True, False, False, False
+
+    @property
+    def spark(self):
+        return self.spec.frame.sparkSession
+
+    @property
+    def n(self) -> int:
+        return int(self.cells.times.sum())
+
+    @property
+    def n_groups(self) -> dict[str, int]:
+        return {g: len(lv) for g, lv in zip(self.spec.groups, self.cells.levels, strict=True)}
+
+    @property
+    def npar(self) -> int:
+        return len(self.beta) + len(self.theta) + (self.family.name == "negative.binomial") + self.family.has_scale
+
+    @property
+    def df_residual(self) -> int:
+        return self.n - self.npar
+
+    def log_lik(self, reml: bool | None = None) -> float:
+        return -self.deviance / 2
+
+    def aic(self) -> float:
+        return self.deviance + 2 * self.npar
+
+    def bic(self) -> float:
+        return float(self.deviance + np.log(self.n) * self.npar)
+
+    def refit_ml(self) -> GLMM:
+        return self
+
+    def fixef(self, add_dropped: bool = False) -> dict[str, float]:
+        return dict(zip(self.spec.x_names, self.beta.tolist(), strict=True)) | (dict.fromkeys(self.spec.dropped, float("nan")) if add_dropped else {})
+
+    def _state(self):
+        ts = _templates(self.spec, self.cells, self.theta)
+        zt = _spherical(self.cells, ts)
+        eta = _eta(self.cells, zt, self.beta, self.u)
+        mu, d, w = _weights(self.cells, self.family, eta)
+        return ts, eta, mu, d, System(self.cells, w, zt)
+
+    def residual_deviance(self) -> float:
+        """The deviance of the response given the modes."""
+        c, (_, _, mu, _, _) = self.cells, self._state()
+        return float((c.times * self.family.dev_resid(c.y, mu, c.w)).sum())
+
+    @property
+    def sigma(self) -> float:
+        """1 without a scale; else the root of the mean penalised deviance."""
+        if not self.family.has_scale:
+            return 1.0
+        c, (_, _, mu, _, _) = self.cells, self._state()
+        pearson = float((c.times * c.w * (c.y - mu) ** 2 / self.family.variance(mu)).sum())
+        return float(np.sqrt((pearson + self.u @ self.u) / self.n))
+
+    def gamma_shape(self) -> float:
+        """The gamma's shape from the mean deviance D: (6 + 2 D) / (D (6 + D))."""
+        d = self.residual_deviance() / float((self.cells.times * self.cells.w).sum())
+        return (6 + 2 * d) / (d * (6 + d))
+
+    def vcov(self, correlation: bool = False, use_hessian: bool | None = None) -> np.ndarray:
+        """From the Hessian over theta and the fixed effects if there is one that is positive definite, else given theta."""
+        h = self.hessian
+        v = None
+        if h is not None and use_hessian is not False:
+            k = len(self.theta)
+            try:
+                np.linalg.cholesky(h)
+                v = 2 * np.linalg.inv(h)[k:, k:]
+            except np.linalg.LinAlgError:
+                if use_hessian:
+                    raise ValueError("the Hessian is not positive definite") from None
+        if v is None:
+            v = self.sigma**2 * np.linalg.inv(self._state()[4].a)
+        return v / np.sqrt(np.outer(np.diag(v), np.diag(v))) if correlation else v
+
+    def var_corr(self):
+        out = []
+        for t, p in zip(self.spec.terms, split(self.spec, self.theta), strict=True):
+            m = t.structure.factor(p)
+            out.append((t.group, t.names, self.sigma**2 * m @ m.T))
+        return out
+
+    def var_corr_df(self, order: str = "cov.last") -> DataFrame:
+        rows = [r for g, names, v in self.var_corr() for r in lmm.cov_rows(g, names, v, order)]
+        rows += [("Residual", None, None, self.sigma**2, self.sigma)] if self.family.has_scale else []
+        return self.spark.createDataFrame(rows, "grp string, var1 string, var2 string, vcov double, sdcor double")
+
+    def is_singular(self, tol: float = 1e-4) -> bool:
+        return any(t.structure.singular(p, tol) for t, p in zip(self.spec.terms, split(self.spec, self.theta), strict=True))
+
+    def coef_table(self) -> DataFrame:
+        s = self.summary()
+        return self.spark.createDataFrame(s.coefficients, "term string, estimate double, std_error double, z_value double, p_value double")
+
+    def modes(self) -> list[tuple[str, list[str], np.ndarray, np.ndarray]]:
+        """By factor: its name, effects, modes (levels, effects) and their standard deviations."""
+        ts, _, _, _, s = self._state()
+        out = []
+        for k, (g, t, cond) in enumerate(zip(self.spec.groups, ts, s.blocks(ts), strict=True)):
+            b = self.cells.begins()
+            u = self.u[b[k] : b[k + 1]].reshape(-1, len(t))
+            names = [n for i in self.cells.factors[k] for n in self.spec.terms[i].names]
+            out.append((g, names, u @ t.T, self.sigma * np.sqrt(np.maximum(0, np.diagonal(cond, axis1=1, axis2=2)))))
+        return out
+
+    def ranef(self) -> DataFrame:
+        rows = [(g, n, lv, float(b[i, j]), float(sd[i, j])) for k, (g, names, b, sd) in enumerate(self.modes()) for i, lv in enumerate(self.cells.levels[k]) for j, n in enumerate(names)]
+        return self.spark.createDataFrame(rows, "grpvar string, term string, grp string, condval double, condsd double")
+
+    def coef(self) -> DataFrame:
+        """Fixed effects plus modes of the first factor by level."""
+        g, names, b, _ = self.modes()[0]
+        fixed = self.fixef()
+        rows = [(lv, n, float(fixed.get(n, 0.0) + (b[i, names.index(n)] if n in names else 0.0))) for i, lv in enumerate(self.cells.levels[0]) for n in dict.fromkeys([*fixed, *names])]
+        return self.spark.createDataFrame(rows, "grp string, term string, value double")
+
+    # -- rows ------------------------------------------------------------------------------------
+    def _linear(self, frame: DataFrame, re_form="all", allow_new: bool = True) -> DataFrame:
+        """frame with _eta, the linear predictor with offset."""
+        eta = sum((F.lit(float(b)) * F.col(c) for b, c in zip(self.beta, self.spec.x_cols, strict=True)), F.col("_o"))
+        out = frame
+        for k, (g, _, b, _) in enumerate(self.modes()):
+            if re_form is None or re_form != "all" and g not in ([re_form] if isinstance(re_form, str) else re_form):
+                continue
+            table = self.spark.createDataFrame([(lv, b[i].tolist()) for i, lv in enumerate(self.cells.levels[k])], f"_lv{k} string, _b{k} array<double>")
+            out = out.join(F.broadcast(table) if b.size < 500_000 else table, out[f"`_g_{g}`"] == table[f"_lv{k}"], "left")
+            if not allow_new:
+                new = out.where(f"_lv{k} is null and `_g_{g}` is not null").select(f"`_g_{g}`").distinct().limit(6).collect()
+                if new:
+                    raise ValueError(f"new levels in {g}: {', '.join(sorted(r[0] for r in new))[:60]}")
+            own = sum((F.col(z) * F.coalesce(F.col(f"_b{k}")[j], F.lit(0.0)) for j, z in enumerate(factor_columns(self.spec, self.cells.factors[k]))), F.lit(0.0))
+            eta = eta + F.when(F.col(f"`_g_{g}`").isNotNull(), own)
+        return out.withColumn("_eta", eta).drop(*(c for k in range(len(self.cells.levels)) for c in (f"_lv{k}", f"_b{k}")))
+
+    def _mean(self, eta: Column) -> Column:
+        if isinstance(self.family, UserFamily):
+            f = self.family
+            return F.pandas_udf(lambda x: pd.Series(f.inverse(x.to_numpy(float))), "double")(eta)
+        return fam.link_inverse(self.family.link, eta)
+
+    def fitted(self) -> DataFrame:
+        """The rows of the fit with eta and fitted (the mean)."""
+        return self._linear(self.spec.frame).withColumn("eta", F.col("_eta")).withColumn("fitted", self._mean(F.col("_eta"))).drop("_eta")
+
+    def residuals(self, kind: str = "deviance") -> DataFrame:
+        """fitted() with residual: deviance (signed root), pearson, working or response."""
+        out, f = self.fitted(), self.family
+        mu, y, w = F.col("fitted"), F.col("_y"), F.col("_w")
+        kinds = {
+            "deviance": lambda: F.signum(y - mu) * F.sqrt(F.greatest(F.lit(0.0), fam.dev_resid(f.name, y, mu, w, f.theta))),
+            "pearson": lambda: (y - mu) * F.sqrt(w / fam.variance(f.name, mu, f.theta)),
+            "working": lambda: (y - mu) / fam.mu_eta(f.link, F.col("eta")),
+            "response": lambda: y - mu,
+        }
+        if kind not in kinds:
+            raise ValueError(f"no residuals of type {kind!r}")
+        return out.withColumn("residual", kinds[kind]())
+
+    def hat(self) -> DataFrame:
+        """residuals("pearson") with hat, rstandard and cooks; hat is the working weight times the row's relative variance."""
+        ts, _, _, _, s = self._state()
+        q, p = self.cells.q, len(self.beta)
+        if not s.single:
+            raise ValueError("hat values of generalized models need a single grouping factor")
+        ainv, inv = np.linalg.inv(s.a), np.linalg.inv(s.m)
+        e = self.cells.sizes[0]
+        t = ts[0]
+        k = t @ inv @ t.T
+        sx = (t @ s.sx.reshape(q // e, e, p)).transpose(0, 2, 1)
+        table = self.spark.createDataFrame([(lv, k[i].ravel().tolist(), sx[i].ravel().tolist()) for i, lv in enumerate(self.cells.levels[0])], "_lv string, _k array<double>, _s array<double>")
+        out = self.residuals("pearson")
+        out = out.join(table, out[f"`_g_{self.spec.groups[0]}`"] == table["_lv"])
+        z = [F.col(c) for c in factor_columns(self.spec, self.cells.factors[0])]
+        quad = sum((z[a] * z[b] * F.col("_k")[a * e + b] for a in range(e) for b in range(e)), F.lit(0.0))
+        d = [F.col(c) - sum((F.col("_s")[i * e + a] * z[a] for a in range(e)), F.lit(0.0)) for i, c in enumerate(self.spec.x_cols)]
+        quad = quad + sum((F.lit(float(ainv[i, j])) * d[i] * d[j] for i in range(p) for j in range(p)), F.lit(0.0))
+        f, me = self.family, fam.mu_eta(self.family.link, F.col("eta"))
+        out = out.withColumn("hat", F.col("_w") * me * me / fam.variance(f.name, F.col("fitted"), f.theta) * quad).drop("_lv", "_k", "_s")
+        scale = F.lit(self.sigma)
+        out = out.withColumn("rstandard", F.col("residual") / (scale * F.sqrt(1 - F.col("hat"))))
+        return out.withColumn("cooks", F.pow(F.col("residual") / (scale * (1 - F.col("hat"))), 2) * F.col("hat") / p)
+
+    def predict(self, newdata: DataFrame | None = None, re_form="all", kind: str = "link", allow_new: bool = False) -> DataFrame:
+        """newdata with pred, on the scale of the link or of the response. Levels, nulls and groups as for linear models."""
+        newdata = newdata if newdata is not None else self.call.data
+        out = self._linear(lmm.LMM._new_frame(self, newdata), re_form, allow_new)
+        pred = self._mean(F.col("_eta")) if kind == "response" else F.col("_eta")
+        return out.withColumn("pred", pred).select(*(F.col(f"`{c}`") for c in newdata.columns if c != "pred"), "pred")
+
+    def simulate(self, nsim: int = 1, seed: int = 1, use_u: bool = False, newdata: DataFrame | None = None) -> DataFrame:
+        """The rows nsim times with sim, drawn from the family around new modes, or around the fitted ones with use_u."""
+        frame = (self.spec.frame if newdata is None else lmm.LMM._new_frame(self, newdata)).drop("sim", "sim_id")
+        sims = frame.withColumn("_row", lmm.row_key(frame)).select("*", F.explode(F.sequence(F.lit(1), F.lit(nsim))).alias("sim_id"))
+        out = self._linear(sims, "all" if use_u else None)
+        if not use_u:
+            out = out.withColumn("_eta", F.col("_eta") + drawn_effects(self.spec, self.theta, self.sigma, seed))
+        out = out.withColumn("_mu", self._mean(F.col("_eta")))
+        return out.withColumn("sim", draw(self.family, F.col("_mu"), F.col("_w"), self.sigma, seed))
+
+    def summary(self):
+        from mixloom.operators.summary import summarize
+
+        return summarize(self)
+
+    def __str__(self) -> str:
+        return str(self.summary())
+
+    def confint(self, level: float = 0.95) -> DataFrame:
+        z, se = norm_ppf(0.5 + level / 2), np.sqrt(np.diag(self.vcov()))
+        return self.spark.createDataFrame([(n, float(b - z * s), float(b + z * s)) for n, b, s in zip(self.spec.x_names, self.beta, se, strict=True)], "term string, lower double, upper double")
+
+    def refit(self, response: str) -> GLMM:
+        """The same model for another response."""
+        frame = self.spec.frame.withColumn("_y", F.expr(response).cast("double"))
+        return fit_cells(replace(self.spec, frame=frame), self.family, collapse(replace(self.spec, frame=frame)), self.n_agq, self.control, start=(self.theta, self.beta))
+
+    def profile_interval(self, level: float = 0.95, which: list[str] | None = None) -> DataFrame:
+        """term, lower, upper: limits of fixed effects by the profiled deviance, all else sought anew at each value."""
+        z, rows = norm_ppf(0.5 + level / 2), []
+        se = np.sqrt(np.diag(self.vcov()))
+        low, up = lmm.bounds(self.spec)
+        for j, name in enumerate(self.spec.x_names):
+            if which and name not in which:
+                continue
+            keep = [k for k in range(len(self.beta)) if k != j]
+            limits = []
+            for sign in (-1, 1):
+                state = [self.theta, self.beta[keep]]
+
+                def rise(v: float, j: int = j, keep: list[int] = keep, state: list = state) -> float:
+                    c = replace(self.cells, o=self.cells.o + v * self.cells.x[:, j], x=self.cells.x[:, keep])
+                    u0 = np.zeros(c.q)
+                    nt = len(low)
+
+                    def f(par):
+                        try:
+                            return laplace(c, self.family, _templates(self.spec, c, par[:nt]), par[nt:], u0, False, self.n_agq)[0]
+                        except (np.linalg.LinAlgError, FloatingPointError):
+                            return np.inf
+
+                    o = optimize(f, np.concatenate(state), np.concatenate([low, np.full(len(keep), -np.inf)]), np.concatenate([up, np.full(len(keep), np.inf)]), "quadratic", {"radius": 0.05, "least": 1e-5}, restart_edge=False)
+                    state[0], state[1] = o.par[:nt], o.par[nt:]
+                    return o.value - self.deviance
+
+                # secant steps on zeta, which is nearly linear
+                a, za = float(self.beta[j]), 0.0
+                b = a + sign * z * float(se[j])
+                zb = float(np.sqrt(max(0.0, rise(b))))
+                for _ in range(12):
+                    if abs(zb - z) < 1e-4:
+                        break
+                    new = b + (z - zb) * (b - a) / (zb - za)
+                    a, za, b = b, zb, new
+                    zb = float(np.sqrt(max(0.0, rise(b))))
+                limits.append(b)
+            rows.append((name, limits[0], limits[1]))
+        return self.spark.createDataFrame(rows, "term string, lower double, upper double")
+
+
+def drawn_effects(spec: Spec, theta: np.ndarray, sigma: float, seed: int) -> Column:
+    """Z b for effects drawn by (seed, sim_id, term, level)."""
+    out = F.lit(0.0)
+    for number, (t, p) in enumerate(zip(spec.terms, split(spec, theta), strict=True)):
+        f = sigma * t.structure.factor(p)
+        us = [normal(F.lit(seed), F.col("sim_id"), F.lit(number), F.lit(j), F.col(f"`_g_{t.group}`")) for j in range(len(f))]
+        for a, z in enumerate(t.columns):
+            out = out + F.col(z) * sum((F.lit(float(f[a, b])) * us[b] for b in range(a + 1)), F.lit(0.0))
+    return out
+
+
+def draw(f: Family, mu: Column, w: Column, sigma: float, seed: int) -> Column:
+    """A response of the family for each row: by a generator of its own seeded with (seed, sim_id, row), in Arrow batches.
+
+    binomial gives a proportion of w trials, which must be whole numbers; Gamma has shape w / sigma^2, the inverse Gaussian shape
+    w / sigma^2.
+    """
+    if f.name == "gaussian":
+        return mu + F.lit(sigma) / F.sqrt(w) * normal(F.lit(seed), F.col("sim_id"), F.lit("row"), F.col("_row"))
+    name, theta = f.name, f.theta
+    if name not in ("binomial", "poisson", "negative.binomial", "Gamma", "inverse.gaussian"):
+        raise ValueError(f"no sampler for {name}")
+
+    def run(key: pd.Series, m: pd.Series, wt: pd.Series) -> pd.Series:
+        k, m, wt = key.to_numpy(), m.to_numpy(float), wt.to_numpy(float)
+        if name == "binomial" and (np.abs(wt - np.round(wt)) > 1e-9).any():
+            raise ValueError("binomial draws need whole numbers of trials")
+        out = np.empty(len(k))
+        for i in range(len(k)):
+            r = np.random.Generator(np.random.Philox(key=int(k[i]) & (2**64 - 1)))
+            if name == "binomial":
+                out[i] = r.binomial(int(round(wt[i])), m[i]) / wt[i] if wt[i] else 0.0
+            elif name == "poisson":
+                out[i] = r.poisson(m[i])
+            elif name == "negative.binomial":
+                out[i] = r.poisson(r.gamma(theta, m[i] / theta))
+            elif name == "Gamma":
+                a = wt[i] / sigma**2
+                out[i] = r.gamma(a, m[i] / a)
+            else:
+                out[i] = r.wald(m[i], wt[i] / sigma**2)
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "double")(F.xxhash64(F.lit(seed), F.col("sim_id"), F.lit("row"), F.col("_row")), mu, w)
+
+
+def simulate_formula(data: DataFrame, formula: str, beta: dict[str, float], theta: np.ndarray, sigma: float = 1.0, family: str = "gaussian", link: str | None = None, nsim: int = 1, seed: int = 1, weights: str | None = None, nb_theta: float = 1.0) -> DataFrame:
+    """Responses for a model that was never fitted: data nsim times with sim_id and sim. beta names every fixed effect."""
+    f = Family(normal_name(family), link or DEFAULT_LINK[normal_name(family)], nb_theta)
+    from mixloom.plans import formula as fm
+
+    spec = compile_model(data, fm.with_rhs("_none ~ 1", fm.rhs(formula)).replace("_none ", "0 ", 1), weights)
+    if set(beta) != set(spec.x_names):
+        raise ValueError(f"fixed effects are {', '.join(spec.x_names)}")
+    want = sum(t.structure.n_par for t in spec.terms)
+    if len(theta) != want:
+        raise ValueError(f"theta needs {want} values")
+    frame = spec.frame.withColumn("_row", lmm.row_key(spec.frame)).select("*", F.explode(F.sequence(F.lit(1), F.lit(nsim))).alias("sim_id"))
+    eta = sum((F.lit(float(beta[n])) * F.col(c) for n, c in zip(spec.x_names, spec.x_cols, strict=True)), F.col("_o")) + drawn_effects(spec, np.asarray(theta, float), sigma, seed)
+    out = frame.withColumn("_mu", fam.link_inverse(f.link, eta))
+    return out.withColumn("sim", draw(f, F.col("_mu"), F.col("_w"), sigma, seed)).select(*(F.col(f"`{c}`") for c in data.columns if c not in ("sim", "sim_id")), "sim_id", "sim")
+
+
+def compile_glmm(df: DataFrame, formula: str, weights: str | None = None, offset: str | None = None, subset: str | None = None, na_action: str = "omit", contrasts: dict | None = None, control: Control | None = None) -> tuple[Spec, Cells]:
+    """The first module of a generalized fit: columns, checks, cells."""
+    control = control or glmm_control()
+    spec = compile_model(df, formula, weights, subset, offset, na_action, contrasts)
+    seen = check(spec, allow_n=True, checks=control.checks)
+    if seen["lo"] == seen["hi"]:
+        report(control.checks.constant_response, "the response is constant", spec.messages)
+    c = collapse(spec)
+    keep = rank_check(spec, (c.x * (c.times * c.w)[:, None]).T @ c.x, control.checks)
+    if len(keep) < c.x.shape[1]:
+        spec.dropped = [n for j, n in enumerate(spec.x_names) if j not in keep]
+        spec.x_names, spec.x_terms, spec.x_cols = ([x[j] for j in keep] for x in (spec.x_names, spec.x_terms, spec.x_cols))
+        c = replace(c, x=c.x[:, keep])
+    return spec, c
+
+
+def glmm_criterion(spec: Spec, f: Family, c: Cells, n_agq: int, control: Control) -> tuple[Callable, Callable, list]:
+    """Two functions: of theta with the fixed effects moved by PIRLS, and of theta and the fixed effects; and their state."""
+    state = [np.zeros(c.x.shape[1]), np.zeros(c.q)]
+    nt = sum(t.structure.n_par for t in spec.terms)
+    bad = (np.linalg.LinAlgError, FloatingPointError)
 
     def first(theta):
         try:
-            v, b, u = laplace(c, f, _template(spec, theta), state[0], state[1] * 0, True)
-        except (np.linalg.LinAlgError, FloatingPointError):
+            v, b, u = laplace(c, f, _templates(spec, c, theta), state[0], state[1] * 0, True, 1, control.tol_pirls, control.steps_pirls)
+        except bad:
             return np.inf
-        state[0] = b
+        state[0], state[1] = b, u
         return v
 
-    start = np.concatenate([t.structure.start() for t in spec.terms])
+    def second(x):
+        try:
+            return laplace(c, f, _templates(spec, c, x[:nt]), x[nt:], state[1] * 0, False, n_agq, control.tol_pirls, control.steps_pirls)[0]
+        except bad:
+            return np.inf
+
+    return first, second, state
+
+
+def begin(c: Cells, f: Family) -> np.ndarray:
+    """Fixed effects to begin from: least squares of the link of the family's first means."""
+    eta = f.forward(f.start(c.y, c.w)) if not isinstance(f, UserFamily) else f.forward(f.start(c.y, c.w))
+    w = np.sqrt(c.times * c.w)
+    return np.linalg.lstsq(c.x * w[:, None], (eta - c.o) * w, rcond=None)[0]
+
+
+def fit_cells(spec: Spec, f: Family, c: Cells, n_agq: int = 1, control: Control | None = None, start=None, call=None) -> GLMM:
+    """Stage one moves theta with beta profiled by PIRLS; stage two moves both (n_agq 0 stops after stage one)."""
+    control = control or glmm_control()
+    if not 0 <= n_agq <= 100:
+        raise ValueError("from 0 to 100 quadrature nodes")
+    if n_agq > 1 and (len(c.levels) != 1 or c.sizes[0] != 1 or f.has_scale):
+        raise ValueError("more than one quadrature node needs a single scalar term")
+    low, up = lmm.bounds(spec)
+    p, nt = c.x.shape[1], len(low)
+    first, second, state = glmm_criterion(spec, f, c, n_agq, control)
+    theta0 = np.concatenate([t.structure.start() for t in spec.terms])
+    state[0] = begin(c, f)
+    if start is not None:
+        theta0, state[0] = np.asarray(start[0], float), np.asarray(start[1], float)
     if nt == 1:
-        grid = [0.0, 0.05, 0.15, 0.4, 0.8, 1.6, 4.0]
+        grid = [0.0, 0.05, 0.15, 0.4, 0.8, 1.6, 4.0, 8.0]
         v = [first(np.array([g])) for g in grid]
         i = int(np.argmin(v))
         opt = golden(lambda x: first(np.array([x])), grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)], 1e-7)
+        if v[0] <= opt.value:
+            opt.par, opt.value = np.zeros(1), v[0]
     else:
-        opt = nelder_mead(first, start, low, up)
-    _, beta, u = laplace(c, f, _template(spec, opt.par), state[0], state[1], True)
-    theta, dev = opt.par, opt.value
+        opt = optimize(first, theta0, low, up, control.optimizer, control.options, control.restart_edge, control.boundary_tol)
+    theta, dev, h, messages = opt.par, first(opt.par), None, list(spec.messages)
+    beta, u = state
     if n_agq:
-        def second(x):
-            try:
-                return laplace(c, f, _template(spec, x[:nt]), x[nt:], u * 0, False, n_agq)[0]
-            except np.linalg.LinAlgError:
-                return np.inf
-
-        two = nelder_mead(second, np.concatenate([theta, beta]), np.concatenate([low, np.full(p, -np.inf)]), np.concatenate([up, np.full(p, np.inf)]), step=0.05)
+        lo2, up2 = np.concatenate([low, np.full(p, -np.inf)]), np.concatenate([up, np.full(p, np.inf)])
+        options = {"radius": 0.05} | control.options if control.optimizer == "quadratic" else control.options
+        two = optimize(second, np.concatenate([theta, beta]), lo2, up2, control.optimizer, options, control.restart_edge, control.boundary_tol)
         theta, beta, dev = two.par[:nt], two.par[nt:], two.value
-        u = pirls(c, f, _template(spec, theta), beta, u * 0, False)[1]
-    return GLMM(spec, f, theta, beta, u, dev, c, n_agq)
+        u = pirls(c, f, _templates(spec, c, theta), beta, u * 0, False)[1]
+        conv = control.convergence
+        if control.derivatives and nt + p <= conv.most_parameters:
+            found = [m for _, m in convergence(second, two, lo2, up2, conv.gradient_tol, conv.singular_tol, conv.hessian_tol)]
+            messages += found
+            if not (np.minimum(theta - low, up - theta) < conv.singular_tol).any():
+                h = derivatives(second, two.par, low=lo2, up=up2)[1]
+    return GLMM(spec, f, theta, beta, u, dev, c, n_agq, h, messages, call, control)
+
+
+def fit_glmm(df: DataFrame, formula: str, family: str | Family = "binomial", link: str | None = None, n_agq: int = 1, weights: str | None = None, theta_nb: float = 1.0, cells: Cells | None = None, offset: str | None = None, subset: str | None = None, na_action: str = "omit", contrasts: dict | None = None, control: Control | None = None, start=None):
+    """A generalized fit; a gaussian family with the identity link is a linear fit by maximum likelihood."""
+    if isinstance(family, str):
+        name = normal_name(family)
+        if name.startswith("quasi"):
+            raise ValueError("quasi families have no likelihood")
+        if name not in DEFAULT_LINK:
+            raise ValueError(f"unknown family {family!r}")
+        if name == "gaussian" and link in (None, "identity"):
+            return lmm.fit_lmm(df, formula, False, weights, subset, offset, na_action, contrasts=contrasts)
+        family = Family(name, link or DEFAULT_LINK[name], theta_nb)
+    spec, c = compile_glmm(df, formula, weights, offset, subset, na_action, contrasts, control)
+    options = {"family": family, "n_agq": n_agq, "weights": weights, "offset": offset, "subset": subset, "na_action": na_action, "contrasts": contrasts}
+    return fit_cells(spec, family, cells or c, n_agq, control, start, lmm.Call(df, formula, options))
+
+
+def nb_start(m: GLMM) -> float:
+    """The negative binomial's theta by moments from a Poisson fit."""
+    c, (_, _, mu, _, _) = m.cells, m._state()
+    over = float((c.times * ((c.y - mu) ** 2 - mu)).sum() / (c.times * mu**2).sum())
+    return 1 / max(over, 1e-4)
 
 
-def fit_glmm_nb(df: DataFrame, formula: str, interval: float = 3.0) -> GLMM:
-    """Negative binomial: a Poisson fit gives a moment start for theta, then theta is searched on its log scale."""
-    po = fit_glmm(df, formula, "poisson", n_agq=0)
-    c = po.cells
-    mu = po.family.inverse(c.o + c.x @ po.beta + ((c.z @ _template(po.spec, po.theta)) * po.u[c.level]).sum(axis=1))
-    over = float((c.times * ((c.y - mu) ** 2 - mu)).sum() / (c.times * mu**2).sum())
-    start = np.log(1 / max(over, 1e-4))
-    opt = golden(lambda lt: fit_glmm(df, formula, "negative.binomial", n_agq=0, theta_nb=float(np.exp(lt)), cells=c).deviance, start - interval, start + interval, 1e-3)
-    return fit_glmm(df, formula, "negative.binomial", theta_nb=float(np.exp(opt.par[0])), cells=c)
+def fit_glmm_nb(df: DataFrame, formula: str, interval: float = 3.0, tol: float = 5e-5, **options) -> GLMM:
+    """Negative binomial: a Poisson fit gives a moment start for theta, then theta is searched on its log scale by refits on
+    the same cells, within +- interval."""
+    po = fit_glmm(df, formula, "poisson", n_agq=0, **options)
+    start, state = np.log(nb_start(po)), [po.theta, po.beta]
+
+    def at(lt: float, n_agq: int = 0) -> GLMM:
+        m = fit_cells(po.spec, Family("negative.binomial", "log", float(np.exp(lt))), po.cells, n_agq, po.control, (state[0], state[1]), po.call)
+        state[0], state[1] = m.theta, m.beta
+        return m
+
+    opt = golden(lambda lt: at(lt).deviance, start - interval, start + interval, tol)
+    return at(float(opt.par[0]), 1)
