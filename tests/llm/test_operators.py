@@ -54,7 +54,10 @@ def test_bpe_equals_the_library_and_round_trips(spark, texts):
 
 def test_token_counts(spark, texts):
     t = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
-    for r in token_counts.count_tokens(frame(spark, EDGE + texts)).collect():
+    rows = EDGE + texts + [(i + 10**6, t + " " + t) for i, t in texts[:20]] + [(6, "\0\0 \0> \x01"), (6, "日本" * 200 + "x" * 70_000)]
+    out = token_counts.count_tokens(frame(spark, rows).withColumn("n_tokens", F.lit("old"))).collect()
+    assert len(out) == len(rows) and token_counts.count_tokens(frame(spark, [])).count() == 0
+    for r in out:
         assert r.n_tokens == len(t.encode(r.text or "", add_special_tokens=False).ids) and r.n_bytes == len((r.text or "").encode())
 
 
