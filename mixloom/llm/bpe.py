@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from mixloom.llm.arrow import joined, mixed, steps
-from mixloom.llm.common import table
+from mixloom.llm.arrow import joined, lean, mixed, steps
+from mixloom.llm.common import FEW, batches_of, table
 
 VOCABULARY = "byte_bpe_50k.json"
 ROLL, CUT_BITS = 16, 8
 #: Entries of one generation of a worker's caches: chunks, and spans between neighbouring safe cuts.
-MOST_CHUNKS, MOST_SPANS = 20_000, 150_000
+MOST_CHUNKS, MOST_SPANS = 12_000, 100_000
 #: Bytes of text that a worker encodes at a time; the spans and hashes of a step take some thirty times that.
-STEP = 2_000_000
+STEP = 1_000_000
 
 _GEAR = mixed(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 WHITE = frozenset(b" \t\n\x0b\x0c\r")
@@ -167,6 +167,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
     rows and other columns don't matter; those named as the new ones are replaced.
     """
     path = path or public_tokenizers.path(VOCABULARY)
+    batches_of(docs.sparkSession, FEW)
     new = {"n_tokens": "bigint"} | ({"ids": "array<int>"} if ids else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
     keep = [c for c in docs.columns if c not in new]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {t}" for c, t in new.items()])
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
                 cols["decoded_sha256"] = pa.array([hashlib.sha256(y.decode("utf-8", "replace").encode()).hexdigest() for _, y in parts], pa.string())
             yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -199,7 +200,7 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
             texts = [None if x is None else own.decode(x).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"text": pa.array(texts, pa.string())})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

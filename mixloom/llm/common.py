@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _TABLES: list[str] = []
+#: Rows of an Arrow batch: few for operators that work text by text, so that a worker holds some megabytes; Spark's own number for
+#: those that gain from seeing many texts at a time.
+FEW, MANY = 2000, 10_000
+
+
+def batches_of(spark: SparkSession, rows: int) -> None:
+    """Sets the session's rows of an Arrow batch for what runs from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.llm.arrow import _IS_BLANK, joined, mixed, steps, word_hashes
-from mixloom.llm.common import table
+from mixloom.llm.arrow import _IS_BLANK, joined, lean, mixed, steps, word_hashes
+from mixloom.llm.common import FEW, batches_of, table
 
 #: Labelled rows of each class that training takes at most.
 SAMPLE = 1500
@@ -122,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
             rows = [(np.flatnonzero(r), r[r > 0]) for r in (features([t])[0] for t in texts)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.string()), "y": batch.column("y"), "at": pa.array([r[0].astype(np.int16).tobytes() for r in rows], pa.binary()), "x": pa.array([r[1].astype(np.float16).tobytes() for r in rows], pa.binary())})
 
-    sample = labelled_sample(docs, labels, "quality", per_class).mapInArrow(run, "doc_id string, y int, at binary, x binary")  # at most 2 * per_class rows
+    batches_of(docs.sparkSession, FEW)
+    sample = labelled_sample(docs, labels, "quality", per_class).mapInArrow(lean(run), "doc_id string, y int, at binary, x binary")  # at most 2 * per_class rows
     got = sorted(sample.toPandas().itertuples(index=False), key=lambda r: (r.doc_id, r.at))
     y = np.array([r.y for r in got], np.float32)
     if not len(got) or y.min() == y.max():
@@ -145,6 +146,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
     A null text counts as one without words, which the base rules reject. Every row stands for itself; columns named as
     the new ones are replaced.
     """
+    batches_of(docs.sparkSession, FEW)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     keep = [c for c in docs.columns if c not in (*names, "base_failed", "probability", "kept")]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{n} bigint" for n in names] + ["base_failed boolean, probability double, kept boolean"])
@@ -156,7 +158,7 @@ def judge(docs: DataFrame, model: Model) -> DataFrame:
             p = model.probability(texts).astype(np.float64)
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {n: pa.array(s[n], pa.int64()) for n in names} | {"base_failed": pa.array(failed), "probability": pa.array(p), "kept": pa.array(~failed & (p >= THRESHOLD))})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

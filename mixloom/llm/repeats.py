@@ -26,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.llm.arrow import joined, mixed, steps
-from mixloom.llm.common import table, written
+from mixloom.llm.arrow import joined, lean, mixed, steps
+from mixloom.llm.common import MANY, batches_of, table, written
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -201,8 +201,8 @@ def _scan(docs: DataFrame, parts: int) -> DataFrame:
         b = pa.table({"d": none(len(words), pa.int64()), "h": none(len(words), pa.int64()), "runs": none(len(words), pa.binary()), "word": pa.array(words, pa.int64()), "bit": pa.array(np.bitwise_or.reduceat(1 << (bits & 31), first) if len(bits) else np.zeros(0, np.int64), pa.int64())})
         return pa.concat_tables([early, a, b])
 
-    rows = docs.mapInArrow(run, "part bigint, t binary, phrase binary, at binary, last binary, who binary, d binary, h binary, runs binary")
-    return rows.groupBy("part").applyInArrow(merge, "d bigint, h bigint, runs binary, word bigint, bit bigint")
+    rows = docs.mapInArrow(lean(run), "part bigint, t binary, phrase binary, at binary, last binary, who binary, d binary, h binary, runs binary")
+    return rows.groupBy("part").applyInArrow(lean(merge), "d bigint, h bigint, runs binary, word bigint, bit bigint")
 
 
 def _compare(docs: DataFrame, flags: np.ndarray, parts: int) -> DataFrame:
@@ -280,8 +280,8 @@ def _compare(docs: DataFrame, flags: np.ndarray, parts: int) -> DataFrame:
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
         return _runs(*cols)
 
-    rows = docs.mapInArrow(run, "part bigint, t binary, phrase binary, d binary, h binary, at binary, left binary, size binary, text binary")
-    return rows.groupBy("part").applyInArrow(merge, "d bigint, h bigint, runs binary")
+    rows = docs.mapInArrow(lean(run), "part bigint, t binary, phrase binary, d binary, h binary, at binary, left binary, size binary, text binary")
+    return rows.groupBy("part").applyInArrow(lean(merge), "d bigint, h bigint, runs binary")
 
 
 def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
@@ -292,6 +292,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     in doc_id and text count as one and get the same result. A null text counts as empty.
     """
     spark = docs.sparkSession
+    batches_of(spark, MANY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
     some = own.where(F.octet_length("text") >= LENGTH).select("d", "h", "text")
@@ -323,7 +324,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_pydict(cols | ({"kept": pa.array(kept, pa.binary())} if texts else {}))
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if texts else "")
-    return own.join(runs, ["d", "h"], "left").select("doc_id", "text", "runs").mapInArrow(run, schema)
+    return own.join(runs, ["d", "h"], "left").select("doc_id", "text", "runs").mapInArrow(lean(run), schema)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mixloom.llm.arrow import steps
-from mixloom.llm.common import counted, small, table, written
+from mixloom.llm.arrow import lean, steps
+from mixloom.llm.common import MANY, batches_of, counted, small, table, written
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -131,6 +131,7 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def text_counts(docs: DataFrame, path: str) -> DataFrame:
     """(_k1, _k2, n_tokens) of each distinct text; the keys are 128 bits of hashes of the text."""
     spark = docs.sparkSession
+    batches_of(spark, MANY)
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
     empty = {"step": pa.string(), "words": pa.binary(), "lens": pa.binary(), "per": pa.binary(), "doc": pa.binary(), "n": pa.binary(), "about": pa.binary()}
@@ -203,9 +204,9 @@ def text_counts(docs: DataFrame, path: str) -> DataFrame:
                 sums[at] += np.frombuffer(r["sum"], np.uint32 if len(r["sum"]) == 4 * len(at) else np.int64)
         return pa.table({"_k1": about[:n], "_k2": about[n : 2 * n], "n_tokens": sums})
 
-    dealt = docs.where(F.octet_length("text") > 0).select(*text_keys(), "text").mapInArrow(deal, "part bigint, step string, words binary, lens binary, per binary, doc binary, n binary, about binary")
-    joined = dealt.groupBy("part").applyInArrow(join, "step string, doc binary, sum binary, about binary")
-    return joined.groupBy("step").applyInArrow(finish, "_k1 bigint, _k2 bigint, n_tokens bigint").groupBy("_k1", "_k2").agg(F.max("n_tokens").alias("n_tokens"))
+    dealt = docs.where(F.octet_length("text") > 0).select(*text_keys(), "text").mapInArrow(lean(deal), "part bigint, step string, words binary, lens binary, per binary, doc binary, n binary, about binary")
+    joined = dealt.groupBy("part").applyInArrow(lean(join), "step string, doc binary, sum binary, about binary")
+    return joined.groupBy("step").applyInArrow(lean(finish), "_k1 bigint, _k2 bigint, n_tokens bigint").groupBy("_k1", "_k2").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def text_keys():

@@ -19,14 +19,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mixloom.llm.arrow import joined, steps
-from mixloom.llm.common import table, written
+from mixloom.llm.arrow import joined, lean, steps
+from mixloom.llm.common import FEW, batches_of, table, written
 from mixloom.llm.quality import labelled_sample, logistic
 
 #: Labelled training rows of each class at most, features kept at most, and how many rows must hold a feature.
 SAMPLE, MOST_FEATURES, LEAST_ROWS = 3000, 4000, 4
-#: Bytes of text that a worker takes at a time.
-STEP = 2_000_000
+#: Bytes of text that a worker takes at a time; words and spans whose features and readings it keeps (a full store starts anew).
+STEP, MOST_SEEN = 2_000_000, 100_000
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 #: log-probability that a writer disguises a letter or repeats one; and among letters that stand one by one, that a gap is none, or one.
@@ -61,7 +61,7 @@ def character_model(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    cells = docs.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 28**3 rows
+    cells = docs.select("text").mapInArrow(lean(run), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most 28**3 rows
     n = np.full(28**3, 0.1)
     n[cells["cell"].to_numpy()] += cells["n"].to_numpy()
     n = n.reshape(28, 28, 28)
@@ -116,7 +116,7 @@ class Decoder:
             letters.append(part)
         out = "".join(reversed(letters))
         if len(span) <= 64:
-            if len(self.known) > 200_000:
+            if len(self.known) > MOST_SEEN:
                 self.known.clear()
             self.known[span] = out
         return out
@@ -165,7 +165,7 @@ class Model:
         for w in words_of(text, self.decoder):
             f = seen.get(w)
             if f is None:
-                if len(seen) > 500_000:
+                if len(seen) > MOST_SEEN:
                     seen.clear()
                 f = seen[w] = tuple(x for x in features_of(w) if x in weights)
             if f:
@@ -184,6 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
 
     Without both classes every text scores low.
     """
+    batches_of(docs.sparkSession, FEW)
     logs = character_model(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> Model:
             found = [sorted({f for w in words_of(t.decode(), decoder) for f in features_of(w)}) for t in texts]
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "f": pa.array(found, pa.list_(pa.string())), "doc_id": batch.column("doc_id").cast(pa.string())})
 
-    rows = labelled_sample(docs, learnable(labels), "toxic", per_class).mapInArrow(run, "y int, f array<string>, doc_id string")
+    rows = labelled_sample(docs, learnable(labels), "toxic", per_class).mapInArrow(lean(run), "y int, f array<string>, doc_id string")
     rows = written(rows, "toxic")
     # features by how much more often than by chance they go with label 1: a bounded list
     held = rows.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS)
@@ -224,6 +225,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     A null or empty text has no words, so its score is that of the bias alone. Rows stand for themselves; columns named
     as the new ones are replaced.
     """
+    batches_of(docs.sparkSession, FEW)
     keep = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["score double, predicted int"])
 
@@ -232,7 +234,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             s = [model.score(t.decode()) for t in texts]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in keep} | {"score": pa.array(s, pa.float64()), "predicted": pa.array([int(v >= 0.5) for v in s], pa.int32())})
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
