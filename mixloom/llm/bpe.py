@@ -9,7 +9,7 @@ text encoded from one safe cut to another agrees exactly with the same span of t
 no special string of the vocabulary has white space, or a letter before a mark other than |, inside.
 
 The texts are not shuffled: shipping each shared chunk's ids to every document that holds it would write more than
-the texts themselves. So "once" is once for each Python worker, as long as the chunk stays in its cache.
+the texts themselves. So "once" is once for each task, as long as the chunk stays in its store.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from mixloom.llm.common import FEW, batches_of, table
 VOCABULARY = "byte_bpe_50k.json"
 ROLL, CUT_BITS = 16, 8
 #: Entries of one generation of a worker's caches: chunks, and spans between neighbouring safe cuts.
-MOST_CHUNKS, MOST_SPANS = 12_000, 100_000
+MOST_CHUNKS, MOST_SPANS = 8_000, 70_000
 #: Bytes of text that a worker encodes at a time; the spans and hashes of a step take some thirty times that.
 STEP = 1_000_000
 
@@ -68,6 +68,10 @@ class Coder:
         self.chunks: list[dict[bytes, bytes]] = [{}, {}]
         self.odd: dict[bytes, bytes] = {}  # spans whose decoding differs from them (none, for a vocabulary of all bytes)
 
+    def forget(self) -> None:
+        """Empties the stores, so that a worker that goes on to other work does not hold them."""
+        self.spans, self.chunks = [{}, {}], [{}, {}]
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -184,6 +188,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True, digests:
                 cols["ids_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x, _ in parts], pa.string())
                 cols["decoded_sha256"] = pa.array([hashlib.sha256(y.decode("utf-8", "replace").encode()).hexdigest() for _, y in parts], pa.string())
             yield pa.RecordBatch.from_pydict(cols)
+        own.forget()
 
     return docs.mapInArrow(lean(run), schema)
 
