@@ -25,7 +25,7 @@ from mixloom.llm.quality import labelled_sample, logistic
 
 #: Labelled training rows of each class at most, features kept at most, and how many rows must hold a feature.
 SAMPLE, MOST_FEATURES, LEAST_ROWS = 3000, 4000, 4
-#: Bytes of text that a worker takes at a time; words and spans whose features and readings it keeps (a full store starts anew).
+#: Bytes of text that a worker takes at a time; tokens and spans whose features and readings it keeps (a full store starts anew).
 STEP, MOST_SEEN = 2_000_000, 100_000
 #: Signs that stand for letters.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
@@ -125,22 +125,44 @@ class Decoder:
         t = m[0].strip("!(")
         return self.restore(t) if len(t) > 2 and (_LEETED.search(t) or _LONG.search(t)) else m[0]
 
+    def _token(self, t: str) -> str:
+        return _PIECE.sub(self._piece, t) if _SUSPECT.search(t) else t
+
+    def _ungapped(self, text: str) -> tuple[str, list[str]]:
+        """The text with letters that stand one by one read back; and what follows a first a or I of those, which may be a word."""
+        beside: list[str] = []
+
+        def put(m: re.Match) -> str:
+            r = self.restore(m[0], True)
+            if r[:1] in ("a", "i"):
+                beside.append(r[1:])
+            return r
+
+        return _SPACED.sub(put, text), beside
+
+    def tokens(self, text: str) -> set[str]:
+        """Distinct tokens of the text and of what may stand beside them, gaps read back; words() has their words."""
+        text, beside = self._ungapped(text)
+        return set(text.split()).union(*(r.split() for r in beside))
+
+    def words(self, token: str) -> list[str]:
+        """Lower-case words of a token, its disguised pieces read back; no word crosses white space, so tokens stand for themselves."""
+        return _WORD.findall(self._token(token).lower())
+
     def restored(self, text: str) -> str:
         """The text with its disguised spans read back; tokens of any length, piece by piece between marks."""
-        text = _SPACED.sub(lambda m: self.restore(m[0], True), text)
-        if _SUSPECT.search(text):
-            text = " ".join([_PIECE.sub(self._piece, t) if _SUSPECT.search(t) else t for t in text.split()])
-        return text
+        text = self._ungapped(text)[0]
+        return " ".join([self._token(t) for t in text.split()]) if _SUSPECT.search(text) else text
 
     def readings(self, text: str) -> list[str]:
         """Lower-case words of the restored text; of letters that stand one by one also what follows a first a or I, which may be a word."""
-        beside = [r[1:] for m in _SPACED.finditer(text) if (r := self.restore(m[0], True))[:1] in ("a", "i")]
+        beside = self._ungapped(text)[1]
         return _WORD.findall(" ".join([self.restored(text), *beside]).lower())
 
 
 def words_of(text: str, decoder: Decoder) -> set[str]:
     """Distinct lower-case words of the restored text."""
-    return set(decoder.readings(text))
+    return {w for t in decoder.tokens(text) for w in decoder.words(t)}
 
 
 def features_of(word: str) -> tuple[str, ...]:
@@ -162,12 +184,14 @@ class Model:
         self.decoder = self.decoder or Decoder(self.logs)
         hit: set[str] = set()
         seen, weights = self.seen, self.weights
-        for w in words_of(text, self.decoder):
-            f = seen.get(w)
+        for t in self.decoder.tokens(text):
+            f = seen.get(t)
             if f is None:
-                if len(seen) > MOST_SEEN:
-                    seen.clear()
-                f = seen[w] = tuple(x for x in features_of(w) if x in weights)
+                f = tuple({x for w in self.decoder.words(t) for x in features_of(w) if x in weights})
+                if len(t) <= 64:
+                    if len(seen) > MOST_SEEN:
+                        seen.clear()
+                    seen[t] = f
             if f:
                 hit.update(f)
         z = self.bias + sum(weights[f] for f in sorted(hit))
