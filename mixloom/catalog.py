@@ -401,6 +401,14 @@ def glmm_poisson(spark, d):
     return spark.createDataFrame([*m.fixef().items(), ("theta", float(m.theta[0])), ("deviance", float(m.deviance))], "term string, value double")
 
 
+@query("glmm_predict_errors")
+def glmm_predict_errors(spark, d):
+    from mixloom.operators.glmm import fit_glmm
+
+    t = read_table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return fit_glmm(t, "n ~ event_type + (1 | user_id)", "poisson", n_agq=0).predict(t, kind="response", se_fit=True)
+
+
 # -- weights, offsets, factors, ranks: the same model with more in it ---------------------------------
 def _weighted(body: str, theta: float = THETA, w: str = "l_linenumber - 1", o: str = "l_tax") -> str:
     """As _sql, with weights (rows of weight zero are out) and an offset."""

@@ -121,7 +121,7 @@ class System:
     def solve(self, r: np.ndarray) -> np.ndarray:
         if self.single:
             e = self.c.sizes[0]
-            return np.linalg.solve(self.m, r.reshape(-1, e, *r.shape[1:]) if r.ndim > 1 else r.reshape(-1, e, 1)).reshape(r.shape)
+            return np.linalg.solve(self.m, r.reshape(len(self.m), e, *r.shape[1:]) if r.ndim > 1 else r.reshape(-1, e, 1)).reshape(r.shape)
         return np.linalg.solve(self.chol.T, np.linalg.solve(self.chol, r))
 
     def logdet(self) -> float:
@@ -397,36 +397,56 @@ class GLMM:
             raise ValueError(f"no residuals of type {kind!r}")
         return out.withColumn("residual", kinds[kind]())
 
-    def hat(self) -> DataFrame:
-        """residuals("pearson") with hat, rstandard and cooks; hat is the working weight times the row's relative variance."""
+    def _quadratic(self, rows: DataFrame, modes: bool = True) -> DataFrame:
+        """rows with _quad, the relative variance of the linear predictor given theta; of the fixed part alone without modes.
+
+        A level that the fit has not seen has no variance of its own.
+        """
         ts, _, _, _, s = self._state()
         q, p = self.cells.q, len(self.beta)
-        if not s.single:
-            raise ValueError("hat values of generalized models need a single grouping factor")
-        ainv, inv = np.linalg.inv(s.a), np.linalg.inv(s.m)
-        e = self.cells.sizes[0]
-        t = ts[0]
-        k = t @ inv @ t.T
-        sx = (t @ s.sx.reshape(q // e, e, p)).transpose(0, 2, 1)
-        table = self.spark.createDataFrame([(lv, k[i].ravel().tolist(), sx[i].ravel().tolist()) for i, lv in enumerate(self.cells.levels[0])], "_lv string, _k array<double>, _s array<double>")
-        out = self.residuals("pearson")
-        out = out.join(table, out[f"`_g_{self.spec.groups[0]}`"] == table["_lv"])
-        z = [F.col(c) for c in factor_columns(self.spec, self.cells.factors[0])]
-        quad = sum((z[a] * z[b] * F.col("_k")[a * e + b] for a in range(e) for b in range(e)), F.lit(0.0))
-        d = [F.col(c) - sum((F.col("_s")[i * e + a] * z[a] for a in range(e)), F.lit(0.0)) for i, c in enumerate(self.spec.x_cols)]
+        ainv = np.linalg.inv(s.a)
+        d = [F.col(c) for c in self.spec.x_cols]
+        quad, out, group = F.lit(0.0), rows, None
+        if modes:
+            if not s.single:
+                raise ValueError("these variances of generalized models need a single grouping factor")
+            inv, e, t = np.linalg.inv(s.m), self.cells.sizes[0], ts[0]
+            k = t @ inv @ t.T
+            sx = (t @ s.sx.reshape(q // e, e, p)).transpose(0, 2, 1)
+            table = self.spark.createDataFrame([(lv, k[i].ravel().tolist(), sx[i].ravel().tolist()) for i, lv in enumerate(self.cells.levels[0])], "_lv string, _k array<double>, _s array<double>")
+            group = F.col(f"`_g_{self.spec.groups[0]}`")
+            out = rows.join(table, group == table["_lv"], "left")
+            z = [F.col(c) for c in factor_columns(self.spec, self.cells.factors[0])]
+            quad = sum((z[a] * z[b] * F.coalesce(F.col("_k")[a * e + b], F.lit(0.0)) for a in range(e) for b in range(e)), quad)
+            d = [x - sum((F.coalesce(F.col("_s")[i * e + a], F.lit(0.0)) * z[a] for a in range(e)), F.lit(0.0)) for i, x in enumerate(d)]
         quad = quad + sum((F.lit(float(ainv[i, j])) * d[i] * d[j] for i in range(p) for j in range(p)), F.lit(0.0))
+        return out.withColumn("_quad", quad if group is None else F.when(group.isNotNull(), quad)).drop("_lv", "_k", "_s")
+
+    def hat(self) -> DataFrame:
+        """residuals("pearson") with hat, rstandard and cooks; hat is the working weight times the row's relative variance."""
+        out = self._quadratic(self.residuals("pearson"))
         f, me = self.family, fam.mu_eta(self.family.link, F.col("eta"))
-        out = out.withColumn("hat", F.col("_w") * me * me / fam.variance(f.name, F.col("fitted"), f.theta) * quad).drop("_lv", "_k", "_s")
+        out = out.withColumn("hat", F.col("_w") * me * me / fam.variance(f.name, F.col("fitted"), f.theta) * F.col("_quad")).drop("_quad")
         scale = F.lit(self.sigma)
         out = out.withColumn("rstandard", F.col("residual") / (scale * F.sqrt(1 - F.col("hat"))))
-        return out.withColumn("cooks", F.pow(F.col("residual") / (scale * (1 - F.col("hat"))), 2) * F.col("hat") / p)
+        return out.withColumn("cooks", F.pow(F.col("residual") / (scale * (1 - F.col("hat"))), 2) * F.col("hat") / len(self.beta))
+
+    def predict(self, newdata: DataFrame | None = None, re_form="all", kind: str = "link", allow_new: bool = False, se_fit: bool = False) -> DataFrame:
+        """newdata with pred, on the scale of the link or of the response. Levels, nulls and groups as for linear models.
 
-    def predict(self, newdata: DataFrame | None = None, re_form="all", kind: str = "link", allow_new: bool = False) -> DataFrame:
-        """newdata with pred, on the scale of the link or of the response. Levels, nulls and groups as for linear models."""
+        se_fit adds se: given theta, by the joint curvature at the modes; on the response's scale times the slope of the mean.
+        """
         newdata = newdata if newdata is not None else self.call.data
         out = self._linear(lmm.LMM._new_frame(self, newdata), re_form, allow_new)
+        if se_fit:
+            slope = F.lit(1.0)
+            if kind == "response":
+                if isinstance(self.family, UserFamily):
+                    raise ValueError("standard errors of a user family's means are not known; take those of the link")
+                slope = F.abs(fam.mu_eta(self.family.link, F.col("_eta")))
+            out = self._quadratic(out, re_form is not None).withColumn("se", F.lit(self.sigma) * F.sqrt("_quad") * slope)
         pred = self._mean(F.col("_eta")) if kind == "response" else F.col("_eta")
-        return out.withColumn("pred", pred).select(*(F.col(f"`{c}`") for c in newdata.columns if c != "pred"), "pred")
+        return out.withColumn("pred", pred).select(*(F.col(f"`{c}`") for c in newdata.columns if c not in ("pred", "se") or c == "se" and not se_fit), "pred", *(["se"] if se_fit else []))
 
     def simulate(self, nsim: int = 1, seed: int = 1, use_u: bool = False, newdata: DataFrame | None = None) -> DataFrame:
         """The rows nsim times with sim, drawn from the family around new modes, or around the fitted ones with use_u."""
@@ -455,10 +475,62 @@ class GLMM:
         frame = self.spec.frame.withColumn("_y", F.expr(response).cast("double"))
         return fit_cells(replace(self.spec, frame=frame), self.family, collapse(replace(self.spec, frame=frame)), self.n_agq, self.control, start=(self.theta, self.beta))
 
+    def _spread_limits(self, k: int, z: float) -> tuple[float, float]:
+        """Where the root of the deviance's rise is z, with theta[k] held; 0 if it is less there."""
+        low, up = lmm.bounds(self.spec)
+        nt, free = len(low), len(self.beta)
+        keep = [i for i in range(nt) if i != k]
+        state = [np.concatenate([self.theta[keep], self.beta])]
+
+        def zeta(v: float) -> float:
+            def f(par):
+                theta = np.insert(par[: nt - 1], k, v)
+                try:
+                    return laplace(self.cells, self.family, _templates(self.spec, self.cells, theta), par[nt - 1 :], np.zeros(self.cells.q), False, self.n_agq)[0]
+                except (np.linalg.LinAlgError, FloatingPointError):
+                    return np.inf
+
+            if not len(state[0]):
+                return float(np.sqrt(max(0.0, f(state[0]) - self.deviance)))
+            o = optimize(f, state[0], np.concatenate([low[keep], np.full(free, -np.inf)]), np.concatenate([up[keep], np.full(free, np.inf)]), "quadratic", {"radius": 0.05, "least": 1e-5}, restart_edge=False)
+            state[0] = o.par
+            return float(np.sqrt(max(0.0, o.value - self.deviance)))
+
+        def between(a: float, za: float, b: float, zb: float) -> float:
+            """Secant steps held inside the bracket; za <= z <= zb."""
+            for _ in range(40):
+                new = a + (z - za) * (b - a) / (zb - za) if zb > za else (a + b) / 2
+                new = min(max(new, min(a, b) + 0.02 * abs(b - a)), max(a, b) - 0.02 * abs(b - a))
+                zn = zeta(new)
+                if abs(zn - z) < 1e-4 or abs(b - a) < 1e-7 * (1 + abs(a)):
+                    return new
+                a, za, b, zb = (new, zn, b, zb) if zn < z else (a, za, new, zn)
+            return (a + b) / 2
+
+        best = float(self.theta[k])
+        z0 = zeta(0.0) if best > 0 else 0.0
+        lower = between(best, 0.0, 0.0, z0) if z0 > z else 0.0
+        state[0] = np.concatenate([self.theta[keep], self.beta])
+        a, za, b = best, 0.0, max(2 * best, 0.5)
+        while (zb := zeta(b)) < z:
+            if b > 1e6:
+                return lower, float("inf")
+            a, za, b = b, zb, 2 * b
+        return lower, between(a, za, b, zb)
+
     def profile_interval(self, level: float = 0.95, which: list[str] | None = None) -> DataFrame:
-        """term, lower, upper: limits of fixed effects by the profiled deviance, all else sought anew at each value."""
+        """term, lower, upper: limits by the profiled deviance, all else sought anew at each value.
+
+        Of all fixed effects, and of the spreads of terms with one parameter if the family has no scale.
+        """
         z, rows = norm_ppf(0.5 + level / 2), []
         se = np.sqrt(np.diag(self.vcov()))
+        k = 0
+        for t, part in zip(self.spec.terms, split(self.spec, self.theta), strict=True):
+            name = t.structure.profile_names(t.names, t.group)[0]
+            if len(part) == 1 and not self.family.has_scale and (not which or name in which):
+                rows.append((name, *self._spread_limits(k, z)))
+            k += len(part)
         low, up = lmm.bounds(self.spec)
         for j, name in enumerate(self.spec.x_names):
             if which and name not in which:

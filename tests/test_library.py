@@ -640,3 +640,44 @@ def test_plot_tables_and_captured_errors(spark):
     assert plotdata.fit_points(lmm.all_fit(m)).count() >= 4
     bad = lmm.all_fit(m, {"broken": lambda f, x, lo, up, **o: 1 / 0}).first()
     assert bad.deviance is None and "ZeroDivisionError" in bad.message
+
+
+def counts_frame(spark):
+    r = np.random.default_rng(5)
+    g, k = np.repeat(np.arange(12), 10), np.tile(np.arange(10) / 10, 12)
+    n = r.poisson(np.exp(0.4 + 0.5 * k + 0.6 * r.normal(size=12)[g]))
+    return g, k, n, spark.createDataFrame([(int(a), float(b), int(c)) for a, b, c in zip(g, k, n, strict=True)], "g int, k double, n int")
+
+
+def test_standard_errors_of_generalized_predictions_are_those_of_dense_algebra(spark):
+    g, k, n, df = counts_frame(spark)
+    m = glmm.fit_glmm(df, "n ~ k + (1 | g)", "poisson")
+    link, mean = ({(r.g, r.k): r for r in m.predict(df, kind=kind, se_fit=True).collect()} for kind in ("link", "response"))
+    x, z = np.column_stack([np.ones(120), k]), np.eye(12)[g]
+    w = np.array([mean[int(a), float(b)].pred for a, b in zip(g, k, strict=True)])[:, None]
+    both = np.hstack([z, x])
+    h = both.T @ (w * both) + np.diag([1 / m.theta[0] ** 2] * 12 + [0, 0])
+    want = {(int(a), float(b)): v for a, b, v in zip(g, k, np.sqrt(np.einsum("ij,jk,ik->i", both, np.linalg.inv(h), both)), strict=True)}
+    assert len(want) == len(link) == 120
+    for at, v in want.items():
+        assert abs(link[at].se / v - 1) < 1e-5 and abs(mean[at].se / (v * mean[at].pred) - 1) < 1e-5
+    new = spark.createDataFrame([(99, 0.5), (None, 0.5), (3, None)], "g int, k double")
+    rows = {(r.g, r.k): r for r in m.predict(new, allow_new=True, se_fit=True).collect()}
+    a = np.linalg.inv(h)[12:, 12:]
+    v = np.array([1, 0.5])
+    assert abs(rows[99, 0.5].se - np.sqrt(v @ a @ v)) < 1e-5 and rows[None, 0.5].se is None and rows[3, None].se is None
+    flat = m.predict(new.limit(1), re_form=None, se_fit=True).first()
+    assert abs(flat.se - np.sqrt(v @ a @ v)) < 1e-5
+
+
+def test_profile_limits_of_a_generalized_spread(spark):
+    _, _, _, df = counts_frame(spark)
+    m = glmm.fit_glmm(df, "n ~ 1 + (1 | g)", "poisson")
+    rows = [r for r in m.profile_interval().collect() if r.term not in m.spec.x_names]
+    assert len(rows) == 1 and 0 < rows[0].lower < m.theta[0] < rows[0].upper
+    for v in (rows[0].lower, rows[0].upper):
+        least = min(glmm.laplace(m.cells, m.family, glmm._templates(m.spec, m.cells, np.array([v])), np.array([b]), np.zeros(12), False)[0] for b in np.linspace(m.beta[0] - 1, m.beta[0] + 1, 2001))
+        assert abs(np.sqrt(least - m.deviance) - 1.959964) < 2e-3
+    even = spark.createDataFrame([(i % 6, 3 + i // 6 % 2) for i in range(24)], "g int, n int")
+    low = glmm.fit_glmm(even, "n ~ 1 + (1 | g)", "poisson").profile_interval(which=[rows[0].term]).collect()
+    assert len(low) == 1 and low[0].lower == 0 and low[0].upper > 0
