@@ -3,12 +3,13 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from mixloom.llm import bpe, decontaminate, jaccard_join, line_dedup, lm_score, pitman_yor, quality, registry, repeats, token_counts, toxicity, url_filter
+from mixloom.llm import bpe, common, decontaminate, jaccard_join, line_dedup, lm_score, pitman_yor, quality, registry, repeats, token_counts, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _r1 int"
@@ -319,3 +320,22 @@ def test_repeats_by_brute_force(spark, texts):
     got = sorted(tuple(x) for x in repeats.remove_repeats(frame(spark, rows), texts=False).collect())
     assert got == brute_repeats(rows)
     assert repeats.remove_repeats(frame(spark)).count() == len(EDGE) and repeats.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_sketches_lose_no_link():
+    r = np.random.default_rng(4)
+    for n in (1, 4, 5, 63, 64, 65, 300, 1500):
+        for apart in (0, 1, n // 9, n // 8, n // 4, n):
+            x = r.integers(0, 2**63, n, np.uint64)
+            y = np.concatenate([x[: max(1, n - apart)], r.integers(0, 2**63, r.integers(0, apart + 1), np.uint64)])
+            inter = len(np.intersect1d(x, y))
+            may = jaccard_join._may_link(*(jaccard_join._parities(jaccard_join.sketch(s)) for s in (x, y)))
+            assert may or not jaccard_join.linked(inter, len(x), len(y))
+    x, y = (r.integers(0, 2**63, n, np.uint64) for n in (1000, 1100))
+    assert not jaccard_join._may_link(*(jaccard_join._parities(jaccard_join.sketch(s)) for s in (x, y)))
+
+
+def test_near_duplicates_leave_no_scratch_tables(spark, docs):
+    before = set(common._TABLES)
+    jaccard_join.near_duplicates(docs)
+    assert {p.split("mixloom-")[-1].split("-")[0] for p in set(common._TABLES) - before} == {"scanned", "links", "edges", "least", "named", "components"}
