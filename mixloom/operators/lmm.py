@@ -30,6 +30,50 @@ class Call:
     options: dict
 
 
+def quantiles(df: DataFrame, column: str, at: tuple[float, ...], buckets: int = 65_536, most: int = 100_000) -> list[float | None]:
+    """Exact quantiles, interpolated between neighbouring ranks. Nulls don't count; without values all are null.
+
+    Nothing is sorted or shuffled but counts: ranks are sought in buckets between the least and the largest value, and in
+    buckets of those buckets until few values are left, or equal ones.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n, lo, hi = x.agg(F.count(F.lit(1)), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(at)
+    if not np.isfinite([lo, hi, hi - lo]).all():
+        return [x.agg(F.expr(f"percentile(x, {p})")).first()[0] for p in at]
+    found: dict[int, float] = {}
+    ranks = sorted({int(r) for p in at for r in (np.floor((n - 1) * p), np.ceil((n - 1) * p))})
+    spans = [(lo, hi, 0, n, ranks)]  # least and largest value of a span, values below it, values in it, ranks sought there
+    while spans:
+        for a, b, below, _, own in spans:
+            if a == b:
+                found.update(dict.fromkeys(own, a))
+        spans = [s for s in spans if s[0] < s[1]]
+        few = [s for s in spans if s[3] <= most // len(spans)]
+        if few:
+            got = x.where(F.expr(" or ".join(f"x between {a!r}D and {b!r}D" for a, b, *_ in few))).toPandas().x.to_numpy()
+            for a, b, below, _, own in few:
+                v = np.sort(got[(got >= a) & (got <= b)])
+                found.update({r: float(v[r - below]) for r in own})
+        wide = [s for s in spans if s not in few]
+        spans = []
+        for a, b, below, _, own in wide:
+            k = F.least(F.floor((F.col("x") - F.lit(a)) / F.lit(b - a) * buckets), F.lit(buckets - 1)).alias("k")
+            t = x.where(F.col("x").between(a, b)).groupBy(k).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).toPandas().sort_values("k")  # at most `buckets` rows
+            ends = below + t.n.cumsum().to_numpy()
+            for i, c in enumerate(ends.tolist()):
+                mine = [r for r in own if c - t.n.iloc[i] <= r < c]
+                if mine:
+                    spans.append((float(t.a.iloc[i]), float(t.b.iloc[i]), int(c - t.n.iloc[i]), int(t.n.iloc[i]), mine))
+    out = []
+    for p in at:
+        r = (n - 1) * p
+        i, j = int(np.floor(r)), int(np.ceil(r))
+        out.append(found[i] if i == j else (j - r) * found[i] + (r - i) * found[j])
+    return out
+
+
 @dataclass
 class LMM:
     spec: Spec
@@ -273,7 +317,7 @@ class LMM:
 
     def scaled_quantiles(self) -> DataFrame:
         """One row with q0..q4: minimum, quartiles and maximum of the scaled residuals."""
-        return self.fitted().agg(*(F.expr(f"percentile(scaled_resid, {p})").alias(f"q{i}") for i, p in enumerate((0.0, 0.25, 0.5, 0.75, 1.0))))
+        return self.spark.createDataFrame([tuple(quantiles(self.fitted(), "scaled_resid", (0.0, 0.25, 0.5, 0.75, 1.0)))], "q0 double, q1 double, q2 double, q3 double, q4 double")
 
     def _quadratic(self, frame: DataFrame, re_form="all") -> DataFrame:
         """frame, with effects joined, and _quad: the relative variance of each row's linear predictor.
