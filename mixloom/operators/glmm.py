@@ -70,8 +70,8 @@ def collapse(spec: Spec, most: int = MOST_CELLS) -> Cells:
         levels.append(lv)
         at.append(off + pd.Index(lv).get_indexer(t[f"_lv{k}"])[:, None] * len(z) + np.arange(len(z)))
         off += len(lv) * len(z)
-    if len(groups) > 1 and off > MOST_DENSE:
-        raise ValueError(f"several grouping factors with more than {MOST_DENSE} random effects in all")
+    if off - max(len(lv) * len(z) for lv, z in zip(levels, zs, strict=True)) > MOST_DENSE:
+        raise ValueError(f"crossed factors with more than {MOST_DENSE} random effects beside the largest factor's")
     return Cells(num("_y"), num("_w"), num("_o"), num("_times"), t[spec.x_cols].to_numpy(float).reshape(len(t), -1), t[flat].to_numpy(float).reshape(len(t), -1), np.concatenate(at, axis=1), levels, [len(z) for z in zs], [[i for i, x in enumerate(spec.terms) if x.group == g] for g in groups])
 
 
@@ -98,49 +98,103 @@ def _spherical(c: Cells, ts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _summed(at: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
+    """Sums of v (n, ...) by place, in an array (size, ...)."""
+    flat = v.reshape(len(v), -1)
+    return np.stack([np.bincount(at, flat[:, k], size) for k in range(flat.shape[1])], axis=1).reshape(size, *v.shape[1:])
+
+
 class System:
-    """X'WX, Z'WX and Z'WZ + I of a step, with the random effects' part factorised: by level for one factor, else dense."""
+    """X'WX, Z'WX and Z'WZ + I of a step, with the random effects' part factorised: by level for the largest factor, and dense
+    for what the others are given that one."""
+
+    #: Numbers of the cross products with the largest factor that are held at a time.
+    HELD = 4_000_000
 
     def __init__(self, c: Cells, w: np.ndarray, zt: np.ndarray):
-        self.c, self.zt, p = c, zt, c.x.shape[1]
+        self.c, self.zt, self.w, p = c, zt, w, c.x.shape[1]
         self.single = len(c.levels) == 1
-        self.zx = np.zeros((c.q, p))
-        np.add.at(self.zx, c.at, (w[:, None, None] * zt[:, :, None]) * c.x[:, None, :])
-        if self.single:
-            e = c.sizes[0]
-            self.m = np.zeros((len(c.levels[0]), e, e)) + np.eye(e)
-            np.add.at(self.m, c.at[:, 0] // e, w[:, None, None] * zt[:, :, None] * zt[:, None, :])
-        else:
-            self.m = np.eye(c.q)
-            np.add.at(self.m, (c.at[:, :, None], c.at[:, None, :]), w[:, None, None] * zt[:, :, None] * zt[:, None, :])
+        ends = np.cumsum([0, *c.sizes])
+        k = int(np.argmax(np.diff(c.begins())))
+        self.own, self.others = np.arange(ends[k], ends[k + 1]), np.r_[0 : ends[k], ends[k + 1] : ends[-1]]
+        e, self.first, n = c.sizes[k], int(c.begins()[k]), len(c.levels[k])
+        self.level = (c.at[:, self.own[0]] - self.first) // e
+        self.span = slice(self.first, self.first + n * e)
+        self.zx = sum(_summed(c.at[:, j], (w * zt[:, j])[:, None] * c.x, c.q) for j in range(zt.shape[1]))
+        big = zt[:, self.own]
+        self.m = np.eye(e) + _summed(self.level, (w[:, None] * big)[:, :, None] * big[:, None, :], n)
         self.chol = np.linalg.cholesky(self.m)
+        if not self.single:
+            at = c.at[:, self.others]
+            self.place = np.where(at >= self.span.stop, at - n * e, at)  # among the others' effects
+            self.rest = c.q - n * e
+            z = zt[:, self.others]
+            self.s = np.eye(self.rest)
+            np.add.at(self.s, (self.place[:, :, None], self.place[:, None, :]), w[:, None, None] * z[:, :, None] * z[:, None, :])
+            for _, m, cross in self._crossed():
+                self.s -= np.einsum("ler,les->rs", cross, np.linalg.solve(m, cross), optimize=True)
+            self.s_chol = np.linalg.cholesky(self.s)
         self.xx = (c.x * w[:, None]).T @ c.x
         self.sx = self.solve(self.zx)
         self.a = self.xx - self.zx.T @ self.sx
 
+    def _crossed(self):
+        """For some levels of the largest factor at a time: which, their blocks, their cross products with the others' effects."""
+        e = self.m.shape[1]
+        order = np.argsort(self.level, kind="stable")
+        sorted_level, many = self.level[order], max(1, self.HELD // max(1, e * self.rest))
+        for a in range(0, len(self.m), many):
+            b = min(a + many, len(self.m))
+            at = order[np.searchsorted(sorted_level, a) : np.searchsorted(sorted_level, b)]
+            cross = np.zeros((b - a) * e * self.rest)
+            for i, j in enumerate(self.own):
+                for k, o in enumerate(self.others):
+                    cross += np.bincount(((self.level[at] - a) * e + i) * self.rest + self.place[at, k], self.w[at] * self.zt[at, j] * self.zt[at, o], len(cross))
+            yield slice(a, b), self.m[a:b], cross.reshape(b - a, e, self.rest)
+
+    def _by_level(self, r: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(self.m, r.reshape(*self.m.shape[:2], -1)).reshape(r.shape)
+
+    def _seen(self, v: np.ndarray, at: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        """W Z v by cell for the effects in cols, whose values v are found at."""
+        return self.w[:, None] * sum(self.zt[:, j, None] * v[at[:, i]] for i, j in enumerate(cols))
+
     def solve(self, r: np.ndarray) -> np.ndarray:
         if self.single:
-            e = self.c.sizes[0]
-            return np.linalg.solve(self.m, r.reshape(len(self.m), e, *r.shape[1:]) if r.ndim > 1 else r.reshape(-1, e, 1)).reshape(r.shape)
-        return np.linalg.solve(self.chol.T, np.linalg.solve(self.chol, r))
+            return self._by_level(r)
+        flat = r.reshape(len(r), -1)
+        big, rest = flat[self.span], np.delete(flat, self.span, axis=0)
+        e, places = self.m.shape[1], self.c.at[:, self.own] - self.first
+        seen = self._seen(self._by_level(big), places, self.own)
+        rest = rest - sum(_summed(self.place[:, k], self.zt[:, o, None] * seen, self.rest) for k, o in enumerate(self.others))
+        rest = np.linalg.solve(self.s_chol.T, np.linalg.solve(self.s_chol, rest))
+        seen = self._seen(rest, self.place, self.others)
+        big = self._by_level(big - sum(_summed(places[:, i], self.zt[:, j, None] * seen, len(self.m) * e) for i, j in enumerate(self.own)))
+        return np.concatenate([rest[: self.first], big, rest[self.first :]]).reshape(r.shape)
 
     def logdet(self) -> float:
-        return 2 * float(np.log(np.diagonal(self.chol, axis1=-2, axis2=-1)).sum())
+        chols = [self.chol] if self.single else [self.chol, self.s_chol]
+        return 2 * float(sum(np.log(np.diagonal(x, axis1=-2, axis2=-1)).sum() for x in chols))
 
     def gather(self, v: np.ndarray) -> np.ndarray:
         """Z'v."""
-        out = np.zeros(self.c.q)
-        np.add.at(out, self.c.at, v[:, None] * self.zt)
-        return out
+        return sum(np.bincount(self.c.at[:, j], v * self.zt[:, j], self.c.q) for j in range(self.zt.shape[1]))
 
     def blocks(self, ts: list[np.ndarray]) -> list[np.ndarray]:
         """Conditional covariances of each level's effects, by factor, given the fixed effects."""
         if self.single:
             return [ts[0] @ np.linalg.inv(self.m) @ ts[0].T]
-        inv, out = np.linalg.inv(self.m), []
+        inv, out = np.linalg.inv(self.s), []
         for k, b in enumerate(self.c.begins()[:-1]):
             e = self.c.sizes[k]
-            at = b + np.arange(len(self.c.levels[k]))[:, None] * e + np.arange(e)
+            if b == self.first:
+                own = np.linalg.inv(self.m)
+                for at, m, cross in self._crossed():
+                    g = np.linalg.solve(m, cross)
+                    own[at] += g @ inv @ g.transpose(0, 2, 1)
+                out.append(ts[k] @ own @ ts[k].T)
+                continue
+            at = b - (self.span.stop - self.first) * (b > self.first) + np.arange(len(self.c.levels[k]))[:, None] * e + np.arange(e)
             out.append(ts[k] @ inv[at[:, :, None], at[:, None, :]] @ ts[k].T)
         return out
 

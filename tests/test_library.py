@@ -681,3 +681,52 @@ def test_profile_limits_of_a_generalized_spread(spark):
     even = spark.createDataFrame([(i % 6, 3 + i // 6 % 2) for i in range(24)], "g int, n int")
     low = glmm.fit_glmm(even, "n ~ 1 + (1 | g)", "poisson").profile_interval(which=[rows[0].term]).collect()
     assert len(low) == 1 and low[0].lower == 0 and low[0].upper > 0
+
+
+def test_quantiles_equal_sorted_ranks(spark):
+    r = np.random.default_rng(6)
+    v = np.concatenate([r.standard_cauchy(3000), np.full(500, 0.25), np.round(r.normal(size=1000), 1), [1e9]])
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
+    at = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+    for buckets, most in ((65_536, 100_000), (7, 20)):
+        assert np.allclose(lmm.quantiles(df, "x", at, buckets, most), np.quantile(v, at), rtol=1e-12)
+    assert lmm.quantiles(df.where("x is null"), "x", (0.5,)) == [None]
+    assert "percentile" not in lmm.fit_lmm(frame(spark)[0], "y ~ x + (1 | g)").scaled_quantiles()._jdf.queryExecution().toString()
+
+
+def test_crossed_system_equals_dense(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    n, big, small = 900, 90, 4
+    x, g, h = np.column_stack([np.ones(n), r.normal(size=n)]), r.integers(0, big, n), r.integers(0, small, n)
+    w, slope = r.uniform(0.2, 2, n), r.normal(size=n)
+    one = np.ones(n)
+    for first in (True, False):  # the larger factor before and after the other
+        z = np.column_stack([one, slope, one] if first else [one, one, slope])
+        at = np.column_stack([2 * g, 2 * g + 1, 2 * big + h] if first else [h, small + 2 * g, small + 2 * g + 1])
+        names = lambda k: [str(i) for i in range(k)]
+        c = glmm.Cells(one, one, one, one, x, z, at, [names(big), names(small)] if first else [names(small), names(big)], [2, 1] if first else [1, 2], [[0], [1]])
+        monkeypatch.setattr(glmm.System, "HELD", 50)
+        s = glmm.System(c, w, z)
+        dense = np.zeros((n, c.q))
+        for k in range(3):
+            dense[np.arange(n), at[:, k]] += z[:, k]
+        m = dense.T @ (w[:, None] * dense) + np.eye(c.q)
+        b = r.normal(size=(c.q, 3))
+        assert np.allclose(s.solve(b), np.linalg.solve(m, b)) and np.allclose(s.solve(b[:, 0]), np.linalg.solve(m, b[:, 0]))
+        assert np.isclose(s.logdet(), np.linalg.slogdet(m)[1]) and np.allclose(s.gather(w), dense.T @ w)
+        zx = dense.T @ (w[:, None] * x)
+        assert np.allclose(s.a, x.T @ (w[:, None] * x) - zx.T @ np.linalg.solve(m, zx))
+        inv, begin = np.linalg.inv(m), 0
+        for got, size in zip(s.blocks([np.eye(k) for k in c.sizes]), c.sizes, strict=True):
+            for block in got:
+                assert np.allclose(block, inv[begin : begin + size, begin : begin + size])
+                begin += size
+
+
+def test_crossed_factors_of_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(glmm, "MOST_DENSE", 6)
+    df, *_ = frame(spark)
+    assert glmm.fit_glmm(df, "n ~ 1 + (1 | g) + (1 | h)", "poisson", n_agq=0).n_groups == {"g": 12, "h": 5}
+    monkeypatch.setattr(glmm, "MOST_DENSE", 4)
+    with pytest.raises(ValueError):
+        glmm.fit_glmm(df, "n ~ 1 + (1 | g) + (1 | h)", "poisson", n_agq=0)
