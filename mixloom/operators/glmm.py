@@ -20,7 +20,7 @@ from mixloom.functions.quadrature import gauss_hermite
 from mixloom.functions.special import norm_ppf
 from mixloom.operators import lmm
 from mixloom.operators.gram import MOST_DENSE, factor_columns
-from mixloom.operators.optimize import convergence, derivatives, golden, optimize
+from mixloom.operators.optimize import brent, convergence, derivatives, golden, optimize
 from mixloom.operators.pls import split
 from mixloom.plans.control import Control, glmm_control, report
 from mixloom.plans.design import Spec, check, compile_model, normal, rank_check, unit
@@ -733,8 +733,11 @@ def begin(c: Cells, f: Family) -> np.ndarray:
     return np.linalg.lstsq(c.x * w[:, None], (eta - c.o) * w, rcond=None)[0]
 
 
-def fit_cells(spec: Spec, f: Family, c: Cells, n_agq: int = 1, control: Control | None = None, start=None, call=None) -> GLMM:
-    """Stage one moves theta with beta profiled by PIRLS; stage two moves both (n_agq 0 stops after stage one)."""
+def fit_cells(spec: Spec, f: Family, c: Cells, n_agq: int = 1, control: Control | None = None, start=None, call=None, near: bool = False) -> GLMM:
+    """Stage one moves theta with beta profiled by PIRLS; stage two moves both (n_agq 0 stops after stage one).
+
+    near says that start is close: a single theta is sought between its half and its double first.
+    """
     control = control or glmm_control()
     if not 0 <= n_agq <= 100:
         raise ValueError("from 0 to 100 quadrature nodes")
@@ -747,7 +750,15 @@ def fit_cells(spec: Spec, f: Family, c: Cells, n_agq: int = 1, control: Control
     state[0] = begin(c, f)
     if start is not None:
         theta0, state[0] = np.asarray(start[0], float), np.asarray(start[1], float)
-    if nt == 1:
+    opt = None
+    if nt == 1 and near and start is not None:
+        lo1, hi1 = 0.5 * theta0[0], 2 * theta0[0] + 1e-3
+        opt = brent(lambda x: first(np.array([x])), lo1, hi1, float(theta0[0]))
+        if min(opt.par[0] - lo1, hi1 - opt.par[0]) < 1e-3 * hi1:
+            opt = None  # at an end of the span
+    if opt is not None:
+        pass
+    elif nt == 1:
         grid = [0.0, 0.05, 0.15, 0.4, 0.8, 1.6, 4.0, 8.0]
         v = [first(np.array([g])) for g in grid]
         i = int(np.argmin(v))
@@ -803,9 +814,9 @@ def fit_glmm_nb(df: DataFrame, formula: str, interval: float = 3.0, tol: float =
     start, state = np.log(nb_start(po)), [po.theta, po.beta]
 
     def at(lt: float, n_agq: int = 0) -> GLMM:
-        m = fit_cells(po.spec, Family("negative.binomial", "log", float(np.exp(lt))), po.cells, n_agq, po.control, (state[0], state[1]), po.call)
+        m = fit_cells(po.spec, Family("negative.binomial", "log", float(np.exp(lt))), po.cells, n_agq, po.control, (state[0], state[1]), po.call, near=True)
         state[0], state[1] = m.theta, m.beta
         return m
 
-    opt = golden(lambda lt: at(lt).deviance, start - interval, start + interval, tol)
+    opt = brent(lambda lt: at(lt).deviance, start - interval, start + interval, float(start), tol)
     return at(float(opt.par[0]), 1)

@@ -38,6 +38,41 @@ def golden(f: Callable[[float], float], lo: float, hi: float, tol: float = 1e-9,
     return Optimum(np.array([x]), v, n, hi - lo <= tol)
 
 
+def brent(f: Callable[[float], float], lo: float, hi: float, start: float, tol: float = 1e-7, most: int = 200) -> Optimum:
+    """Parabolic steps from start inside the bracket, golden ones where those fail."""
+    k = (3 - 5**0.5) / 2
+    x = w = v = start
+    fx = fw = fv = f(x)
+    n, step, last = 1, 0.0, 0.0
+    while n < most:
+        mid, t = (lo + hi) / 2, tol / 3 + 1e-9 * abs(x)
+        if abs(x - mid) <= 2 * t - (hi - lo) / 2:
+            return Optimum(np.array([x]), fx, n, True)
+        r, q = (x - w) * (fx - fv), (x - v) * (fx - fw)
+        p, q = (x - v) * q - (x - w) * r, 2 * (q - r)
+        p, q = (-p, q) if q > 0 else (p, -q)
+        if abs(last) > t and abs(p) < abs(q * last / 2) and q * (lo - x) < p < q * (hi - x):
+            last, step = step, p / q
+            if x + step - lo < 2 * t or hi - x - step < 2 * t:
+                step = t if x < mid else -t
+        else:
+            last = hi - x if x < mid else lo - x
+            step = k * last
+        u = x + (step if abs(step) >= t else np.copysign(t, step))
+        fu = f(u)
+        n += 1
+        if fu <= fx:
+            lo, hi = (x, hi) if u >= x else (lo, x)
+            v, fv, w, fw, x, fx = w, fw, x, fx, u, fu
+        else:
+            lo, hi = (u, hi) if u < x else (lo, u)
+            if fu <= fw or w == x:
+                v, fv, w, fw = w, fw, u, fu
+            elif fu <= fv or v in (x, w):
+                v, fv = u, fu
+    return Optimum(np.array([x]), fx, n, False)
+
+
 def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, low: np.ndarray, up: np.ndarray, step: float | np.ndarray = 0.02, most: int = 10_000, ftol: float = 1e-11, xtol: float = 1e-7) -> Optimum:
     """Points outside the box are moved onto it. Restarts once from its optimum, against early collapse.
 
