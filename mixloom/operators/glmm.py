@@ -2,15 +2,21 @@
 
 Rows that agree in response, weight, offset, effects and groups are one cell with a count: one aggregation collapses the
 table, and all iterations run on the cells. That is exact; discrete data shrink by orders of magnitude.
+
+Many cells of one grouping factor stay distributed, all of a level in one part: given theta and the fixed effects each
+part finds its modes by itself, and what the driver needs of them are sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +32,8 @@ from mixloom.plans.control import Control, glmm_control, report
 from mixloom.plans.design import Spec, check, compile_model, normal, rank_check, unit
 
 DEFAULT_LINK = {"binomial": "logit", "poisson": "log", "negative.binomial": "log", "gaussian": "identity", "Gamma": "inverse", "inverse.gaussian": "inverse"}
-#: Cells that are taken to the driver at most.
-MOST_CELLS = 2_000_000
+#: Cells that are taken to the driver at most; those of one part if they stay distributed.
+MOST_CELLS, PART = 1_000_000, 20_000
 
 
 @dataclass
@@ -46,6 +52,10 @@ class Cells:
     sizes: list[int]  # effects of a level, by factor
     factors: list[list[int]]  # terms, by factor
 
+    @property
+    def p(self) -> int:
+        return self.x.shape[1]
+
     @property
     def q(self) -> int:
         return sum(len(lv) * e for lv, e in zip(self.levels, self.sizes, strict=True))
@@ -54,25 +64,134 @@ class Cells:
         return np.cumsum([0, *(len(lv) * e for lv, e in zip(self.levels, self.sizes, strict=True))])
 
 
-def collapse(spec: Spec, most: int = MOST_CELLS) -> Cells:
-    groups = spec.groups
-    zs = [[c for t in spec.terms if t.group == g for c in t.columns] for g in groups]
-    flat = [c for z in zs for c in z]
-    cells = spec.frame.where("_w > 0").groupBy("_y", "_w", "_o", *spec.x_cols, *flat, *(F.col(f"`_g_{g}`").alias(f"_lv{k}") for k, g in enumerate(groups))).agg(F.count(F.lit(1)).alias("_times"))
-    t = cells.limit(most + 1).toPandas()
-    if len(t) > most:
-        raise ValueError(f"more than {most} distinct cells: coarsen continuous covariates")
+@dataclass
+class Shards:
+    """Cells of one grouping factor that stay distributed, all of a level in one row of table (pickled Cells)."""
+
+    table: DataFrame
+    sizes: list[int]
+    factors: list[list[int]]
+    n: int  # rows of the data
+    n_levels: int
+    p: int
+    keep: list[int] | None = None
+    q = 0  # random effects on the driver
+
+    def parts(self, f: Callable, schema: str, pack: Callable) -> DataFrame:
+        """pack(f(cells)), a record batch, of each part."""
+        keep = self.keep
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x in batch.column("cells").to_pylist():
+                    c = pickle.loads(x)  # noqa: S301  packed by this process
+                    yield pack(f(c if keep is None else replace(c, x=c.x[:, keep])))
+
+        return self.table.mapInArrow(run, schema)
+
+    def sums(self, f: Callable) -> list:
+        """Sums over the parts of the arrays in the list that f gives for one."""
+        got = self.parts(f, "v binary", lambda v: pa.RecordBatch.from_pydict({"v": [pickle.dumps(v)]})).collect()
+        return [sum(x) for x in zip(*(pickle.loads(r.v) for r in got), strict=True)]  # noqa: S301
+
+    def state(self, f: Family, ts: list[np.ndarray], beta: np.ndarray) -> dict:
+        """Sums at the modes for beta; without a number among them if some part has none."""
+
+        def own(c: Cells) -> list:
+            try:
+                u = pirls(c, f, ts, beta, np.zeros(c.q), False)[1]
+                zt = _spherical(c, ts)
+                mu, d, w = _weights(c, f, _eta(c, zt, beta, u))
+                s = System(c, w, zt)
+            except (np.linalg.LinAlgError, FloatingPointError):
+                return [np.nan] * len(names)
+            r = w * (c.y - mu) / d
+            dev = (c.times * f.dev_resid(c.y, mu, c.w)).sum()
+            pearson = (c.times * c.w * (c.y - mu) ** 2 / f.variance(mu)).sum()
+            return [dev, u @ u, s.logdet(), s.a, c.x.T @ r - s.zx.T @ s.solve(s.gather(r) - u), pearson, (c.times * c.w).sum(), f.aic_sums(c.y, mu, c.w, c.times)]
+
+        names = ("dev", "uu", "logdet", "a", "rhs", "pearson", "weight", "aic")
+        return dict(zip(names, self.sums(own), strict=True))
+
+    def laplace(self, f: Family, ts: list[np.ndarray], beta: np.ndarray, move_beta: bool, tol: float, most: int) -> tuple[float, np.ndarray]:
+        """-2 log likelihood, and beta, moved by the curvature of the penalised deviance at the modes if asked."""
+        s = self.state(f, ts, beta)
+        now = float(s["dev"] + s["uu"])
+        if not np.isfinite(now):
+            raise FloatingPointError("the deviance is not a number at the start")
+        for _ in range(most if move_beta and len(beta) else 0):
+            db, step = np.linalg.solve(s["a"], s["rhs"]), 1.0
+            if np.abs(db).max() <= 1e-9 * (1e-3 + np.abs(beta).max()):
+                break
+            for _ in range(30):
+                t = self.state(f, ts, beta + step * db)
+                new = float(t["dev"] + t["uu"])
+                if np.isfinite(new) and new <= now + 1e-12 * abs(now):
+                    break
+                step /= 2
+            else:
+                break
+            beta, s, done = beta + step * db, t, abs(now - new) <= tol * (abs(new) + tol)
+            now = new
+            if done:
+                break
+        return f.aic_of(s["aic"]) + float(s["uu"] + s["logdet"]), beta
+
+    def modes(self, f: Family, ts: list[np.ndarray], beta: np.ndarray) -> DataFrame:
+        """(_lv, _b, _sd): each level's modes and their standard deviations for a scale of 1."""
+
+        def own(c: Cells):
+            u = pirls(c, f, ts, beta, np.zeros(c.q), False)[1]
+            zt = _spherical(c, ts)
+            s = System(c, _weights(c, f, _eta(c, zt, beta, u))[2], zt)
+            return c.levels[0], u.reshape(-1, len(ts[0])) @ ts[0].T, np.sqrt(np.maximum(0, np.diagonal(s.blocks(ts)[0], axis1=1, axis2=2)))
+
+        return self.parts(own, "_lv string, _b array<double>, _sd array<double>", lambda v: pa.RecordBatch.from_pydict({"_lv": pa.array(v[0], pa.string()), "_b": pa.array(v[1].tolist(), pa.list_(pa.float64())), "_sd": pa.array(v[2].tolist(), pa.list_(pa.float64()))}))
+
+
+def _as_cells(t: pd.DataFrame, x_cols: list[str], zs: list[list[str]], factors: list[list[int]]) -> Cells:
     t = t.sort_values(list(t.columns))
     num = lambda c: t[c].to_numpy(float)
+    flat = [c for z in zs for c in z]
     levels, at, off = [], [], 0
     for k, z in enumerate(zs):
         lv = sorted(t[f"_lv{k}"].unique())
         levels.append(lv)
         at.append(off + pd.Index(lv).get_indexer(t[f"_lv{k}"])[:, None] * len(z) + np.arange(len(z)))
         off += len(lv) * len(z)
-    if off - max(len(lv) * len(z) for lv, z in zip(levels, zs, strict=True)) > MOST_DENSE:
+    return Cells(num("_y"), num("_w"), num("_o"), num("_times"), t[x_cols].to_numpy(float).reshape(len(t), -1), t[flat].to_numpy(float).reshape(len(t), -1), np.concatenate(at, axis=1), levels, [len(z) for z in zs], factors)
+
+
+def collapse(spec: Spec, most: int | None = None) -> Cells | Shards:
+    most = MOST_CELLS if most is None else most
+    groups = spec.groups
+    zs = [[c for t in spec.terms if t.group == g for c in t.columns] for g in groups]
+    factors = [[i for i, x in enumerate(spec.terms) if x.group == g] for g in groups]
+    flat = [c for z in zs for c in z]
+    cells = spec.frame.where("_w > 0").groupBy("_y", "_w", "_o", *spec.x_cols, *flat, *(F.col(f"`_g_{g}`").alias(f"_lv{k}") for k, g in enumerate(groups))).agg(F.count(F.lit(1)).alias("_times"))
+    if spec.n > most:
+        cells = cells.persist(StorageLevel.DISK_ONLY)
+    n = cells.count() if spec.n > most else 0
+    if n > most and len(groups) > 1:
+        cells.unpersist()
+        raise ValueError(f"more than {most} distinct cells of several grouping factors: coarsen continuous covariates")
+    if n > most:
+        x_cols = list(spec.x_cols)
+
+        def pack(part: pa.Table) -> pa.Table:
+            t = part.drop_columns(["_part"]).to_pandas()
+            return pa.table({"cells": pa.array([pickle.dumps(_as_cells(t, x_cols, zs, factors))], pa.binary()), "n": [int(t["_times"].sum())], "levels": [t["_lv0"].nunique()]})
+
+        packed = cells.withColumn("_part", F.pmod(F.xxhash64("_lv0"), F.lit(-(-n // PART)))).groupBy("_part").applyInArrow(pack, "cells binary, n bigint, levels bigint").persist(StorageLevel.DISK_ONLY)
+        seen = packed.agg(F.sum("n"), F.sum("levels")).first()
+        cells.unpersist()
+        return Shards(packed.select("cells"), [len(z) for z in zs], factors, int(seen[0]), int(seen[1]), len(x_cols))
+    c = _as_cells(cells.toPandas(), spec.x_cols, zs, factors)
+    if spec.n > most:
+        cells.unpersist()
+    if c.q - max(len(lv) * len(z) for lv, z in zip(c.levels, zs, strict=True)) > MOST_DENSE:
         raise ValueError(f"crossed factors with more than {MOST_DENSE} random effects beside the largest factor's")
-    return Cells(num("_y"), num("_w"), num("_o"), num("_times"), t[spec.x_cols].to_numpy(float).reshape(len(t), -1), t[flat].to_numpy(float).reshape(len(t), -1), np.concatenate(at, axis=1), levels, [len(z) for z in zs], [[i for i, x in enumerate(spec.terms) if x.group == g] for g in groups])
+    return c
 
 
 def _templates(spec: Spec, c: Cells, theta: np.ndarray) -> list[np.ndarray]:
@@ -252,6 +371,10 @@ def pirls(c: Cells, f: Family, ts: list[np.ndarray], beta: np.ndarray, u: np.nda
 
 def laplace(c: Cells, f: Family, ts: list[np.ndarray], beta: np.ndarray, u: np.ndarray, move_beta: bool, n_agq: int = 1, tol: float = 1e-10, most: int = 100):
     """-2 log likelihood at theta (and beta, unless PIRLS moves it); with more nodes, quadrature around each mode."""
+    if isinstance(c, Shards):
+        if n_agq > 1:
+            raise ValueError(f"more than one quadrature node needs at most {MOST_CELLS} cells")
+        return *c.laplace(f, ts, beta, move_beta, tol, most), u
     beta, u, _ = pirls(c, f, ts, beta, u, move_beta, tol, most)
     zt = _spherical(c, ts)
     eta = _eta(c, zt, beta, u)
@@ -297,10 +420,12 @@ class GLMM:
 
     @property
     def n(self) -> int:
-        return int(self.cells.times.sum())
+        return self.cells.n if isinstance(self.cells, Shards) else int(self.cells.times.sum())
 
     @property
     def n_groups(self) -> dict[str, int]:
+        if isinstance(self.cells, Shards):
+            return {self.spec.groups[0]: self.cells.n_levels}
         return {g: len(lv) for g, lv in zip(self.spec.groups, self.cells.levels, strict=True)}
 
     @property
@@ -326,7 +451,13 @@ class GLMM:
     def fixef(self, add_dropped: bool = False) -> dict[str, float]:
         return dict(zip(self.spec.x_names, self.beta.tolist(), strict=True)) | (dict.fromkeys(self.spec.dropped, float("nan")) if add_dropped else {})
 
+    def _sums(self) -> dict:
+        """The sums of cells that stay distributed."""
+        return self.cells.state(self.family, _templates(self.spec, self.cells, self.theta), self.beta)
+
     def _state(self):
+        if isinstance(self.cells, Shards):
+            raise ValueError(f"this needs at most {MOST_CELLS} distinct cells")
         ts = _templates(self.spec, self.cells, self.theta)
         zt = _spherical(self.cells, ts)
         eta = _eta(self.cells, zt, self.beta, self.u)
@@ -335,6 +466,8 @@ class GLMM:
 
     def residual_deviance(self) -> float:
         """The deviance of the response given the modes."""
+        if isinstance(self.cells, Shards):
+            return float(self._sums()["dev"])
         c, (_, _, mu, _, _) = self.cells, self._state()
         return float((c.times * self.family.dev_resid(c.y, mu, c.w)).sum())
 
@@ -343,13 +476,20 @@ class GLMM:
         """1 without a scale; else the root of the mean penalised deviance."""
         if not self.family.has_scale:
             return 1.0
+        if isinstance(self.cells, Shards):
+            s = self._sums()
+            return float(np.sqrt((s["pearson"] + s["uu"]) / self.n))
         c, (_, _, mu, _, _) = self.cells, self._state()
         pearson = float((c.times * c.w * (c.y - mu) ** 2 / self.family.variance(mu)).sum())
         return float(np.sqrt((pearson + self.u @ self.u) / self.n))
 
     def gamma_shape(self) -> float:
         """The gamma's shape from the mean deviance D: (6 + 2 D) / (D (6 + D))."""
-        d = self.residual_deviance() / float((self.cells.times * self.cells.w).sum())
+        if isinstance(self.cells, Shards):
+            s = self._sums()
+            d = float(s["dev"] / s["weight"])
+        else:
+            d = self.residual_deviance() / float((self.cells.times * self.cells.w).sum())
         return (6 + 2 * d) / (d * (6 + d))
 
     def vcov(self, correlation: bool = False, use_hessian: bool | None = None) -> np.ndarray:
@@ -365,7 +505,7 @@ class GLMM:
                 if use_hessian:
                     raise ValueError("the Hessian is not positive definite") from None
         if v is None:
-            v = self.sigma**2 * np.linalg.inv(self._state()[4].a)
+            v = self.sigma**2 * np.linalg.inv(self._sums()["a"] if isinstance(self.cells, Shards) else self._state()[4].a)
         return v / np.sqrt(np.outer(np.diag(v), np.diag(v))) if correlation else v
 
     def var_corr(self):
@@ -399,6 +539,10 @@ class GLMM:
         return out
 
     def ranef(self) -> DataFrame:
+        if isinstance(self.cells, Shards):
+            names = [n for t in self.spec.terms for n in t.names]
+            t = self.cells.modes(self.family, _templates(self.spec, self.cells, self.theta), self.beta)
+            return t.select(F.lit(self.spec.groups[0]).alias("grpvar"), F.col("_lv").alias("grp"), F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("n"), "_b", "_sd")).alias("x")).select("grpvar", F.col("x.n").alias("term"), "grp", F.col("x._b").alias("condval"), (F.lit(self.sigma) * F.col("x._sd")).alias("condsd"))
         rows = [(g, n, lv, float(b[i, j]), float(sd[i, j])) for k, (g, names, b, sd) in enumerate(self.modes()) for i, lv in enumerate(self.cells.levels[k]) for j, n in enumerate(names)]
         return self.spark.createDataFrame(rows, "grpvar string, term string, grp string, condval double, condsd double")
 
@@ -414,18 +558,22 @@ class GLMM:
         """frame with _eta, the linear predictor with offset."""
         eta = sum((F.lit(float(b)) * F.col(c) for b, c in zip(self.beta, self.spec.x_cols, strict=True)), F.col("_o"))
         out = frame
-        for k, (g, _, b, _) in enumerate(self.modes()):
+        sharded = isinstance(self.cells, Shards)
+        for k, (g, _, b, _) in enumerate([(self.spec.groups[0], None, None, None)] if sharded else self.modes()):
             if re_form is None or re_form != "all" and g not in ([re_form] if isinstance(re_form, str) else re_form):
                 continue
-            table = self.spark.createDataFrame([(lv, b[i].tolist()) for i, lv in enumerate(self.cells.levels[k])], f"_lv{k} string, _b{k} array<double>")
-            out = out.join(F.broadcast(table) if b.size < 500_000 else table, out[f"`_g_{g}`"] == table[f"_lv{k}"], "left")
+            if sharded:
+                table = self.cells.modes(self.family, _templates(self.spec, self.cells, self.theta), self.beta).select(F.col("_lv").alias("_lv0"), F.col("_b").alias("_b0"))
+            else:
+                table = self.spark.createDataFrame([(lv, b[i].tolist()) for i, lv in enumerate(self.cells.levels[k])], f"_lv{k} string, _b{k} array<double>")
+            out = out.join(F.broadcast(table) if not sharded and b.size < 500_000 else table, out[f"`_g_{g}`"] == table[f"_lv{k}"], "left")
             if not allow_new:
                 new = out.where(f"_lv{k} is null and `_g_{g}` is not null").select(f"`_g_{g}`").distinct().limit(6).collect()
                 if new:
                     raise ValueError(f"new levels in {g}: {', '.join(sorted(r[0] for r in new))[:60]}")
             own = sum((F.col(z) * F.coalesce(F.col(f"_b{k}")[j], F.lit(0.0)) for j, z in enumerate(factor_columns(self.spec, self.cells.factors[k]))), F.lit(0.0))
             eta = eta + F.when(F.col(f"`_g_{g}`").isNotNull(), own)
-        return out.withColumn("_eta", eta).drop(*(c for k in range(len(self.cells.levels)) for c in (f"_lv{k}", f"_b{k}")))
+        return out.withColumn("_eta", eta).drop(*(c for k in range(len(self.spec.groups)) for c in (f"_lv{k}", f"_b{k}")))
 
     def _mean(self, eta: Column) -> Column:
         if isinstance(self.family, UserFamily):
@@ -695,17 +843,18 @@ def compile_glmm(df: DataFrame, formula: str, weights: str | None = None, offset
     if seen["lo"] == seen["hi"]:
         report(control.checks.constant_response, "the response is constant", spec.messages)
     c = collapse(spec)
-    keep = rank_check(spec, (c.x * (c.times * c.w)[:, None]).T @ c.x, control.checks)
-    if len(keep) < c.x.shape[1]:
+    xx = lambda c: [(c.x * (c.times * c.w)[:, None]).T @ c.x]
+    keep = rank_check(spec, (c.sums(xx) if isinstance(c, Shards) else xx(c))[0], control.checks)
+    if len(keep) < c.p:
         spec.dropped = [n for j, n in enumerate(spec.x_names) if j not in keep]
         spec.x_names, spec.x_terms, spec.x_cols = ([x[j] for j in keep] for x in (spec.x_names, spec.x_terms, spec.x_cols))
-        c = replace(c, x=c.x[:, keep])
+        c = replace(c, keep=list(keep), p=len(keep)) if isinstance(c, Shards) else replace(c, x=c.x[:, keep])
     return spec, c
 
 
 def glmm_criterion(spec: Spec, f: Family, c: Cells, n_agq: int, control: Control) -> tuple[Callable, Callable, list]:
     """Two functions: of theta with the fixed effects moved by PIRLS, and of theta and the fixed effects; and their state."""
-    state = [np.zeros(c.x.shape[1]), np.zeros(c.q)]
+    state = [np.zeros(c.p), np.zeros(c.q)]
     nt = sum(t.structure.n_par for t in spec.terms)
     bad = (np.linalg.LinAlgError, FloatingPointError)
 
@@ -726,9 +875,12 @@ def glmm_criterion(spec: Spec, f: Family, c: Cells, n_agq: int, control: Control
     return first, second, state
 
 
-def begin(c: Cells, f: Family) -> np.ndarray:
+def begin(c: Cells | Shards, f: Family) -> np.ndarray:
     """Fixed effects to begin from: least squares of the link of the family's first means."""
-    eta = f.forward(f.start(c.y, c.w)) if not isinstance(f, UserFamily) else f.forward(f.start(c.y, c.w))
+    if isinstance(c, Shards):
+        xx, xy = c.sums(lambda c: [(c.x * (c.times * c.w)[:, None]).T @ c.x, c.x.T @ (c.times * c.w * (f.forward(f.start(c.y, c.w)) - c.o))])
+        return np.linalg.solve(xx, xy)
+    eta = f.forward(f.start(c.y, c.w))
     w = np.sqrt(c.times * c.w)
     return np.linalg.lstsq(c.x * w[:, None], (eta - c.o) * w, rcond=None)[0]
 
@@ -741,10 +893,10 @@ def fit_cells(spec: Spec, f: Family, c: Cells, n_agq: int = 1, control: Control
     control = control or glmm_control()
     if not 0 <= n_agq <= 100:
         raise ValueError("from 0 to 100 quadrature nodes")
-    if n_agq > 1 and (len(c.levels) != 1 or c.sizes[0] != 1 or f.has_scale):
+    if n_agq > 1 and (len(c.factors) != 1 or c.sizes[0] != 1 or f.has_scale):
         raise ValueError("more than one quadrature node needs a single scalar term")
     low, up = lmm.bounds(spec)
-    p, nt = c.x.shape[1], len(low)
+    p, nt = c.p, len(low)
     first, second, state = glmm_criterion(spec, f, c, n_agq, control)
     theta0 = np.concatenate([t.structure.start() for t in spec.terms])
     state[0] = begin(c, f)
@@ -774,7 +926,7 @@ def fit_cells(spec: Spec, f: Family, c: Cells, n_agq: int = 1, control: Control
         options = {"radius": 0.05} | control.options if control.optimizer == "quadratic" else control.options
         two = optimize(second, np.concatenate([theta, beta]), lo2, up2, control.optimizer, options, control.restart_edge, control.boundary_tol)
         theta, beta, dev = two.par[:nt], two.par[nt:], two.value
-        u = pirls(c, f, _templates(spec, c, theta), beta, u * 0, False)[1]
+        u = u if isinstance(c, Shards) else pirls(c, f, _templates(spec, c, theta), beta, u * 0, False)[1]
         conv = control.convergence
         if control.derivatives and nt + p <= conv.most_parameters:
             found = [m for _, m in convergence(second, two, lo2, up2, conv.gradient_tol, conv.singular_tol, conv.hessian_tol)]

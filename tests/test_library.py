@@ -730,3 +730,21 @@ def test_crossed_factors_of_many_levels(spark, monkeypatch):
     monkeypatch.setattr(glmm, "MOST_DENSE", 4)
     with pytest.raises(ValueError):
         glmm.fit_glmm(df, "n ~ 1 + (1 | g) + (1 | h)", "poisson", n_agq=0)
+
+
+def test_distributed_cells_agree_with_those_on_the_driver(spark, monkeypatch):
+    df, *_ = frame(spark)
+    fits = []
+    for most in (10**6, 20):
+        monkeypatch.setattr(glmm, "MOST_CELLS", most)
+        monkeypatch.setattr(glmm, "PART", 40)
+        fits.append((glmm.fit_glmm(df, "n ~ k + (1 | g)", "poisson"), glmm.fit_glmm(df.withColumn("v", glmm.F.expr("n + 1")), "v ~ 1 + (1 | g)", "Gamma", "log", n_agq=0)))
+    for a, b in zip(*fits, strict=True):
+        assert isinstance(b.cells, glmm.Shards) and not isinstance(a.cells, glmm.Shards)
+        assert b.deviance == pytest.approx(a.deviance, rel=1e-8) and np.allclose(a.beta, b.beta, atol=1e-4) and np.allclose(a.theta, b.theta, atol=1e-4)
+        assert (b.n, b.n_groups) == (a.n, a.n_groups) and b.sigma == pytest.approx(a.sigma, rel=1e-4)
+        assert np.allclose(a.vcov(use_hessian=False), b.vcov(use_hessian=False), rtol=1e-3)
+        one, two = ({r.grp: (r.condval, r.condsd) for r in m.ranef().collect()} for m in (a, b))
+        assert one.keys() == two.keys() and all(np.allclose(one[k], two[k], atol=1e-3) for k in one)
+        assert b.fitted().agg({"fitted": "sum"}).first()[0] == pytest.approx(a.fitted().agg({"fitted": "sum"}).first()[0], rel=1e-4)
+    assert fits[1][1].gamma_shape() == pytest.approx(fits[0][1].gamma_shape(), rel=1e-5)
