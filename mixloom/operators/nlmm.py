@@ -1,23 +1,28 @@
 """Nonlinear mixed models: y = curve(parameters, covariates) + noise, parameters with fixed parts and random effects by group.
 
 The curve is an arithmetic expression; its slopes by parameter come from complex steps, which are exact to rounding. Rows that
-agree in all variables and the group are one cell with a count.
+agree in all variables and the group are one cell with a count. Many cells stay distributed, as those of generalized models.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mixloom.functions.covstruct import make
 from mixloom.operators import lmm
-from mixloom.operators.glmm import MOST_CELLS, Cells, System, _spherical
-from mixloom.operators.optimize import golden, optimize
+from mixloom.operators import glmm
+from mixloom.operators.glmm import Cells, Shards, System, _spherical
+from mixloom.operators.optimize import brent, golden, optimize
 from mixloom.operators.pls import split
 from mixloom.plans.control import Control, nlmm_control
 from mixloom.plans.design import Spec, Term, group_key
@@ -62,7 +67,7 @@ class NLMM:
     beta: np.ndarray
     u: np.ndarray
     deviance: float
-    data: Data
+    data: Data | Shards
     pwrss: float
     information: np.ndarray
     n_agq: int = 1
@@ -77,11 +82,11 @@ class NLMM:
 
     @property
     def n(self) -> int:
-        return int(self.data.times.sum())
+        return self.data.n if isinstance(self.data, Shards) else int(self.data.times.sum())
 
     @property
     def n_groups(self) -> dict[str, int]:
-        return {self.spec.groups[0]: len(self.data.levels)}
+        return {self.spec.groups[0]: self.data.n_levels if isinstance(self.data, Shards) else len(self.data.levels)}
 
     @property
     def npar(self) -> int:
@@ -118,6 +123,8 @@ class NLMM:
 
     def modes(self) -> np.ndarray:
         """(levels, effects): modes of the parameters' random effects."""
+        if isinstance(self.data, Shards):
+            raise ValueError(f"modes of nonlinear models need at most {glmm.MOST_CELLS} distinct cells")
         t = _template(self.spec, self.theta)
         return self.u.reshape(-1, len(t)) @ t.T
 
@@ -166,40 +173,9 @@ def stacked(df: DataFrame, parameters: list[str]) -> DataFrame:
     return rows.select("*", *((F.col("_par") == p).cast("double").alias(p) for p in parameters))
 
 
-def fit_nlmm(df: DataFrame, formula: str, start: dict[str, float], n_agq: int = 1, control: Control | None = None) -> NLMM:
-    """response ~ curve ~ random effects, e.g. "y ~ A * exp(-k * t) ~ (A | g)"; start has a value for each parameter.
-
-    One grouping factor. n_agq 0 profiles the fixed parameters in the inner steps, 1 moves them with theta; more is refused.
-    Rows with nulls are left out.
-    """
-    control = control or nlmm_control()
-    if n_agq not in (0, 1):
-        raise ValueError("nonlinear models take n_agq 0 or 1")
-    nl = parse_nonlinear(formula, list(start))
-    groups = list(dict.fromkeys(b.name for b in nl.bars))
-    if len(groups) != 1:
-        raise ValueError("nonlinear models take one grouping factor")
-    used = set(re.findall(r"[A-Za-z_.][\w.]*", nl.curve))
-    missing = set(start) - used
-    if missing:
-        raise ValueError(f"parameters that the curve lacks: {', '.join(sorted(missing))}")
-    covariates = [c for c in df.columns if c in used and c not in start]
-    f = curve_function(nl.curve, [*covariates, *start])
-    df = df.dropna(subset=[nl.response, *covariates, *nl.bars[0].groups])
-    frame = df.select("*", F.col(nl.response).cast("double").alias("_y"), group_key(*nl.bars[0].groups).alias(f"_g_{groups[0]}"))
-    t = frame.groupBy("_y", *covariates, F.col(f"`_g_{groups[0]}`").alias("_g")).agg(F.count(F.lit(1)).alias("_times")).limit(MOST_CELLS + 1).toPandas()
-    if not len(t):
-        raise ValueError("0 (non-missing) cases")
-    if len(t) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} distinct cells")
-    t = t.sort_values(list(t.columns))
-    levels = sorted(t._g.unique())
-    data = Data(t._y.to_numpy(float), t._times.to_numpy(float), {c: t[c].to_numpy(float) for c in covariates}, np.searchsorted(levels, t._g.to_numpy()), levels)
-    names = list(start)
-    terms = [Term(b.name, tuple(e[0] for e in b.effects), tuple(e[0] for e in b.effects), make(b.structure, len(b.effects), b.hom)) for b in nl.bars]
-    spec = Spec(Formula((nl.response,), (), False, nl.bars), frame, names, terms, {groups[0]: len(levels)}, int(data.times.sum()))
-    places = [names.index(n) for term in terms for n in term.names]
-    e, n = len(places), spec.n
+def _stepper(data: Data, curve: str, covariates: list[str], names: list[str], places: list[int], n_terms: int, steps: int, tol: float) -> Callable:
+    """The inner steps on these cells: a function of the template, fixed parameters, random effects, and whether the fixed ones move."""
+    f, e = curve_function(curve, [*covariates, *names]), len(places)
     at = data.level[:, None] * e + np.arange(e)
 
     def slopes(phi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,9 +202,9 @@ def fit_nlmm(df: DataFrame, formula: str, start: dict[str, float], n_agq: int =
                 return float((data.times * (data.y - mu) ** 2).sum() + u @ u)
 
         now = pss(beta, u)
-        for _ in range(control.steps_pirls):
+        for _ in range(steps):
             mu, j = slopes(phi_of(tt, beta, u))
-            c = Cells(data.y, np.ones(len(data.y)), 0 * data.y, data.times, j, j[:, places], at, [levels], [e], [list(range(len(terms)))])
+            c = Cells(data.y, np.ones(len(data.y)), 0 * data.y, data.times, j, j[:, places], at, [data.levels], [e], [list(range(n_terms))])
             s = System(c, data.times, _spherical(c, [tt]))
             r = data.times * (data.y - mu)
             gu = s.gather(r) - u
@@ -247,15 +223,128 @@ def fit_nlmm(df: DataFrame, formula: str, start: dict[str, float], n_agq: int =
             else:
                 break
             beta, u = beta + step * db, u + step * du
-            done = abs(now - new) <= control.tol_pirls * (abs(new) + 1e-10)
+            done = abs(now - new) <= tol * (abs(new) + 1e-10)
             now = new
             if done:
                 break
         mu, j = slopes(phi_of(tt, beta, u))
-        c = Cells(data.y, np.ones(len(data.y)), 0 * data.y, data.times, j, j[:, places], at, [levels], [e], [list(range(len(terms)))])
-        return beta, u, now, System(c, data.times, _spherical(c, [tt]))
+        c = Cells(data.y, np.ones(len(data.y)), 0 * data.y, data.times, j, j[:, places], at, [data.levels], [e], [list(range(n_terms))])
+        s, r = System(c, data.times, _spherical(c, [tt])), data.times * (data.y - mu)
+        s.rhs = j.T @ r - s.zx.T @ s.solve(s.gather(r) - u)
+        return beta, u, now, s
+
+    return inner
+
+
+@dataclass
+class Sums:
+    """What fits read of a System, summed over parts."""
+
+    a: np.ndarray
+    rhs: np.ndarray
+    ld: float
+
+    def logdet(self) -> float:
+        return self.ld
+
+
+def _sharded(shards: Shards, plan: tuple) -> Callable:
+    """The same on cells that stay distributed: each part finds its modes, the fixed parameters move by the sums."""
+    steps, tol = plan[-2:]
+
+    def state(tt, beta):
+        def own(data: Data) -> list:
+            try:
+                _, _, pss, s = _stepper(data, *plan)(tt, beta, np.zeros(len(data.levels) * len(tt)), False)
+            except (np.linalg.LinAlgError, FloatingPointError):
+                return [np.nan] * 4
+            return [pss, s.a, s.rhs, s.logdet()]
+
+        pss, a, rhs, ld = shards.sums(own)
+        return float(pss), Sums(a, rhs, float(ld))
+
+    def inner(tt, beta, u, move: bool):
+        now, s = state(tt, beta)
+        if not np.isfinite(now):
+            raise FloatingPointError("the sum of squares is not a number")
+        for _ in range(steps if move else 0):
+            db, step = np.linalg.solve(s.a, s.rhs), 1.0
+            if np.abs(db).max() <= 1e-9 * (1e-3 + np.abs(beta).max()):
+                break
+            while step > 1e-6:
+                new, t = state(tt, beta + step * db)
+                if np.isfinite(new) and new <= now + 1e-13 * abs(now):
+                    break
+                step /= 2
+            else:
+                break
+            beta, s, done = beta + step * db, t, abs(now - new) <= tol * (abs(new) + 1e-10)
+            now = new
+            if done:
+                break
+        return beta, u, now, s
+
+    return inner
+
+
+def _as_data(t: pd.DataFrame, covariates: list[str]) -> Data:
+    t = t.sort_values(list(t.columns))
+    levels = sorted(t._g.unique())
+    return Data(t._y.to_numpy(float), t._times.to_numpy(float), {c: t[c].to_numpy(float) for c in covariates}, np.searchsorted(levels, t._g.to_numpy()), levels)
+
+
+def _collapsed(frame: DataFrame, covariates: list[str], group: str, e: int, p: int) -> Data | Shards:
+    cells = frame.groupBy("_y", *covariates, F.col(f"`_g_{group}`").alias("_g")).agg(F.count(F.lit(1)).alias("_times")).persist(StorageLevel.DISK_ONLY)
+    try:
+        n = cells.count()
+        if not n:
+            raise ValueError("0 (non-missing) cases")
+        if n <= glmm.MOST_CELLS:
+            return _as_data(cells.toPandas(), covariates)
+
+        def pack(part: pa.Table) -> pa.Table:
+            t = part.drop_columns(["_part"]).to_pandas()
+            return pa.table({"cells": pa.array([pickle.dumps(_as_data(t, covariates))], pa.binary()), "n": [int(t["_times"].sum())], "levels": [t["_g"].nunique()]})
+
+        packed = cells.withColumn("_part", F.pmod(F.xxhash64("_g"), F.lit(-(-n // glmm.PART)))).groupBy("_part").applyInArrow(pack, "cells binary, n bigint, levels bigint").persist(StorageLevel.DISK_ONLY)
+        seen = packed.agg(F.sum("n"), F.sum("levels")).first()
+        return Shards(packed.select("cells"), [e], [[0]], int(seen[0]), int(seen[1]), p)
+    finally:
+        cells.unpersist()
+
+
+def fit_nlmm(df: DataFrame, formula: str, start: dict[str, float], n_agq: int = 1, control: Control | None = None) -> NLMM:
+    """response ~ curve ~ random effects, e.g. "y ~ A * exp(-k * t) ~ (A | g)"; start has a value for each parameter.
 
-    state = [np.array([float(start[p]) for p in names]), np.zeros(len(levels) * e)]
+    One grouping factor. n_agq 0 profiles the fixed parameters in the inner steps, 1 moves them with theta; more is refused.
+    Rows with nulls are left out.
+    """
+    control = control or nlmm_control()
+    if n_agq not in (0, 1):
+        raise ValueError("nonlinear models take n_agq 0 or 1")
+    nl = parse_nonlinear(formula, list(start))
+    groups = list(dict.fromkeys(b.name for b in nl.bars))
+    if len(groups) != 1:
+        raise ValueError("nonlinear models take one grouping factor")
+    used = set(re.findall(r"[A-Za-z_.][\w.]*", nl.curve))
+    missing = set(start) - used
+    if missing:
+        raise ValueError(f"parameters that the curve lacks: {', '.join(sorted(missing))}")
+    covariates = [c for c in df.columns if c in used and c not in start]
+    curve_function(nl.curve, [*covariates, *start])
+    df = df.dropna(subset=[nl.response, *covariates, *nl.bars[0].groups])
+    frame = df.select("*", F.col(nl.response).cast("double").alias("_y"), group_key(*nl.bars[0].groups).alias(f"_g_{groups[0]}"))
+    names = list(start)
+    terms = [Term(b.name, tuple(e[0] for e in b.effects), tuple(e[0] for e in b.effects), make(b.structure, len(b.effects), b.hom)) for b in nl.bars]
+    places = [names.index(n) for term in terms for n in term.names]
+    data = _collapsed(frame, covariates, groups[0], len(places), len(names))
+    far = isinstance(data, Shards)
+    n, n_levels = (data.n, data.n_levels) if far else (int(data.times.sum()), len(data.levels))
+    spec = Spec(Formula((nl.response,), (), False, nl.bars), frame, names, terms, {groups[0]: n_levels}, n)
+
+    plan = (nl.curve, covariates, names, places, len(terms), control.steps_pirls, control.tol_pirls)
+    inner = _sharded(data, plan) if isinstance(data, Shards) else _stepper(data, *plan)
+    state = [np.array([float(start[p]) for p in names]), np.zeros(0 if far else n_levels * len(places))]
     low, up = lmm.bounds(spec)
     nt = len(low)
 
@@ -276,7 +365,8 @@ def fit_nlmm(df: DataFrame, formula: str, start: dict[str, float], n_agq: int =
         grid = [0.05, 0.2, 0.6, 1.5, 4.0, 12.0, 40.0]
         v = [first(np.array([g])) for g in grid]
         i = int(np.argmin(v))
-        opt = golden(lambda x: first(np.array([x])), grid[max(0, i - 1)] if i else 0.0, grid[min(len(grid) - 1, i + 1)], 1e-7)
+        lo1, hi1 = grid[max(0, i - 1)] if i else 0.0, grid[min(len(grid) - 1, i + 1)]
+        opt = brent(lambda x: first(np.array([x])), lo1, hi1, grid[i] if 0 < i < len(grid) - 1 else (lo1 + hi1) / 2, 1e-6) if far else golden(lambda x: first(np.array([x])), lo1, hi1, 1e-7)
     else:
         opt = optimize(first, np.concatenate([t.structure.start() for t in terms]), low, up, control.optimizer, control.options, control.restart_edge)
     theta, beta = opt.par, state[0]

@@ -748,3 +748,18 @@ def test_distributed_cells_agree_with_those_on_the_driver(spark, monkeypatch):
         assert one.keys() == two.keys() and all(np.allclose(one[k], two[k], atol=1e-3) for k in one)
         assert b.fitted().agg({"fitted": "sum"}).first()[0] == pytest.approx(a.fitted().agg({"fitted": "sum"}).first()[0], rel=1e-4)
     assert fits[1][1].gamma_shape() == pytest.approx(fits[0][1].gamma_shape(), rel=1e-5)
+
+
+def test_distributed_nonlinear_fit(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    g, t = np.repeat(np.arange(10), 15), np.tile(np.linspace(0, 10, 15), 10)
+    y = (10 + 1.5 * r.normal(size=10))[g] / (1 + np.exp((4 - t) / 1.2)) + 0.3 * r.normal(size=150)
+    df = spark.createDataFrame([(int(i), float(b), float(c)) for i, b, c in zip(g, t, y, strict=True)], "g int, x double, y double").persist()
+    fits = []
+    for most in (10**6, 20):
+        monkeypatch.setattr(glmm, "MOST_CELLS", most)
+        monkeypatch.setattr(glmm, "PART", 50)
+        fits.append(nlmm.fit_nlmm(df, f"y ~ {nlmm.logistic_curve()} ~ (Asym | g)", {"Asym": 9.0, "xmid": 5.0, "scal": 1.0}, n_agq=0))
+    a, b = fits
+    assert isinstance(b.data, glmm.Shards) and b.deviance == pytest.approx(a.deviance, rel=1e-8) and np.allclose(a.beta, b.beta, atol=1e-4)
+    assert (b.n, b.n_groups) == (a.n, a.n_groups) and np.allclose(a.theta, b.theta, atol=1e-3) and np.allclose(a.vcov(), b.vcov(), rtol=1e-3)
