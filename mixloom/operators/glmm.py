@@ -219,8 +219,11 @@ def _spherical(c: Cells, ts: list[np.ndarray]) -> np.ndarray:
 
 def _summed(at: np.ndarray, v: np.ndarray, size: int) -> np.ndarray:
     """Sums of v (n, ...) by place, in an array (size, ...)."""
-    flat = v.reshape(len(v), -1)
-    return np.stack([np.bincount(at, flat[:, k], size) for k in range(flat.shape[1])], axis=1).reshape(size, *v.shape[1:])
+    flat = v.reshape(len(v), int(np.prod(v.shape[1:])))
+    out = np.empty((size, flat.shape[1]))
+    for k in range(flat.shape[1]):
+        out[:, k] = np.bincount(at, flat[:, k], size)
+    return out.reshape(size, *v.shape[1:])
 
 
 class System:
@@ -272,7 +275,7 @@ class System:
             yield slice(a, b), self.m[a:b], cross.reshape(b - a, e, self.rest)
 
     def _by_level(self, r: np.ndarray) -> np.ndarray:
-        return np.linalg.solve(self.m, r.reshape(*self.m.shape[:2], -1)).reshape(r.shape)
+        return np.linalg.solve(self.m, r.reshape(*self.m.shape[:2], int(np.prod(r.shape[1:])))).reshape(r.shape)
 
     def _seen(self, v: np.ndarray, at: np.ndarray, cols: np.ndarray) -> np.ndarray:
         """W Z v by cell for the effects in cols, whose values v are found at."""
@@ -281,7 +284,7 @@ class System:
     def solve(self, r: np.ndarray) -> np.ndarray:
         if self.single:
             return self._by_level(r)
-        flat = r.reshape(len(r), -1)
+        flat = r.reshape(len(r), int(np.prod(r.shape[1:])))
         big, rest = flat[self.span], np.delete(flat, self.span, axis=0)
         e, places = self.m.shape[1], self.c.at[:, self.own] - self.first
         seen = self._seen(self._by_level(big), places, self.own)
