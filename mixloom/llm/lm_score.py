@@ -1,17 +1,20 @@
-"""Operator 5: scores of texts under a hierarchical Pitman-Yor model seated by Gibbs sampling.
+"""Operator 5: scores of texts under a hierarchical Pitman-Yor model of words, seated by Gibbs sampling.
 
-The word restaurant has a customer for every training token. A new table's word comes from a speller: restaurants of
+Every word has a restaurant of the words that follow it (the end of a text stands before its first word). All of these
+share one parent, the word restaurant, whose customers are their tables. Its parent is a speller: restaurants of
 bytes after the last three, two, one and no bytes, where the restaurants of longer contexts share those of shorter ones
-as parents; the customers of the speller are the tables of the word restaurant. So rare and unknown words keep a
-sensible probability, and words seen often their own. As in the base score, all words never seen in training are one
-outcome: its probability is what the speller leaves to them.
-
-Sweeps alternate: tables of every word given the speller (in parallel, words being independent given the totals), then
-tables of the speller's dishes given the words' tables (on the driver, on a count array of fixed size). Predictive
-probabilities are averaged over the sweeps after the first BURN_IN, once for each word of the vocabulary.
-
-Contexts do not reach over words: restaurants after a previous word need the pairs of neighbouring words of the whole
-corpus twice over the network, more than the texts. One row per distinct word and step of texts is what is shuffled.
+as parents; the customers of the speller are the tables of the word restaurant. So a word after its neighbour falls back on
+the word alone, and that on its spelling. As in the base score, all words never seen in training are one outcome: its
+probability is what the speller leaves to them.
+
+Sweeps alternate: tables of every word given the speller and the pairs' tables, tables of all pairs of two or more
+customers given the words (pairs of one customer have one table), and tables of the speller's dishes given the words' tables (on
+the driver, on a count array of fixed size). A gamma draw for each context makes the dishes of a restaurant independent, so all
+pairs are drawn at once from their exact law. Predictive probabilities are averaged over the sweeps after the first BURN_IN.
+
+Words live in parts by their hash, pairs in parts by theirs, so neither a frequent word nor a frequent context is one task's
+work. Parts send each other what the other lacks, in an agreed order, as packed numbers; a step of texts asks for each
+distinct word and pair once.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mixloom.llm.arrow import joined, lean, mixed, steps
-from mixloom.llm.common import MANY, batches_of, table, written
+from mixloom.llm.common import MANY, batches_of, done_with, table, written
 from mixloom.llm.pitman_yor import draw_tables
 
 FOLDS, HELD = 7, 2
@@ -38,9 +41,9 @@ SWEEPS, BURN_IN = 6, 2
 BITS = (6, 5, 3)
 SPELL_DISCOUNT, STRENGTH = 0.5, 1.0
 END = b"\n"
-STEP = 16_000_000
-#: Partial sums of documents that a task holds before it sends them on.
-MOST_HELD = 3_000_000
+STEP = 12_000_000
+#: Tokens that are priced at a time.
+SLICE = 200_000
 
 _R3 = 1 << sum(BITS)
 
@@ -145,9 +148,79 @@ def speller(counts: np.ndarray, tables: list[np.ndarray] | None, sweep: int) ->
     return Spelling(probabilities(c), (STRENGTH + d * m) / (STRENGTH + n), c[3].ravel() > 0), tables
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """A row for each distinct word of a step of texts: its training count and where it stands (pairs of document number
-    and count); a row with a null word has the step's documents (ids, tokens, flags: 1 held out, 2 no id)."""
+#: Kinds of the rows that parts, steps and the driver exchange; all share one schema, and blobs are packed whole numbers.
+WORDS, TEXTS, IDS, VOCABULARY, QUESTIONS, PAIRS, LINKS, TABLES, STATE, SENT, SEATS, ANSWERS, KNOWN, CELLS, TOTALS = range(15)
+_SCHEMA = "step string, part bigint, kind bigint, n bigint, a binary, b binary, c binary, d binary"
+_NAMES = ("step", "part", "kind", "n", "a", "b", "c", "d")
+_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+_ZSTD = pa.Codec("zstd", compression_level=1)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, by planes of bytes."""
+    x = np.ascontiguousarray(x, np.uint64)
+    if not len(x):
+        return bytes(9)
+    k = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return len(x).to_bytes(8, "little") + bytes([k]) + _ZSTD.compress(x.view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes(), asbytes=True)
+
+
+def unpack(b: bytes) -> np.ndarray:
+    n, k = int.from_bytes(b[:8], "little"), b[8]
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :k] = np.frombuffer(_ZSTD.decompress(b[9:], n * k, asbytes=True), np.uint8).reshape(k, n).T
+    return out.view(np.int64).ravel()
+
+
+def _squeezed(words: list[bytes]) -> bytes:
+    """Words without white space, or the end, which is a line's end."""
+    raw = b" ".join(words)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _wide(b: bytes) -> list[bytes]:
+    n = int.from_bytes(b[:8], "little")
+    return _ZSTD.decompress(b[8:], n, asbytes=True).split(b" ") if n else []
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows in the shared schema; blobs that are missing at the end are null."""
+    rows = [(*r, *[None] * (8 - len(r))) for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_TYPES)], _NAMES)
+
+
+def _cells(cells: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """A row for each cell of the speller that is used, and how often."""
+    at, back = np.unique(cells, return_inverse=True)
+    n = np.bincount(back, times, len(at)).astype(np.int64)
+    full = lambda kind: pa.nulls(len(at), kind)
+    return pa.RecordBatch.from_arrays([full(pa.string()), pa.array(at, pa.int64()), pa.array(np.full(len(at), CELLS)), pa.array(n), *[full(pa.binary())] * 4], _NAMES)
+
+
+def _by_kind(group: pa.Table) -> defaultdict[int, list[dict]]:
+    """Rows of a group by kind, each kind in the order of parts, then n, then steps."""
+    out = defaultdict(list)
+    for r in sorted(group.to_pylist(), key=lambda r: (r["kind"], r["part"], r["n"], r["step"] or "")):
+        out[r["kind"]].append(r)
+    return out
+
+
+def _grouped(rows: DataFrame, key: str, f) -> DataFrame:
+    """f(rows by kind) for each group, a list of batches in the shared schema."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(f(_by_kind(group)))
+
+    return rows.groupBy(key).applyInArrow(lean(run), _SCHEMA)
+
+
+def postings(docs: DataFrame, parts: int) -> DataFrame:
+    """For each step of texts a row of its tokens, as numbers of its words, and rows of those words and their training counts by part.
+
+    A row of tokens also says of each document its id, its tokens, and flags: 1 held out, 2 no id. Words are numbered part by part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = count()
@@ -158,57 +231,297 @@ def postings(docs: DataFrame) -> DataFrame:
             number: defaultdict[bytes, int] = defaultdict(count().__next__)
             seen = [np.fromiter(map(number.__getitem__, [*t.lower().split(), END]), np.int64) for t in texts]
             n_tokens = np.array([len(x) for x in seen], np.int64)
-            key, n = np.unique(np.concatenate(seen) * len(texts) + np.repeat(np.arange(len(texts)), n_tokens), return_counts=True)
-            word, doc = key // len(texts), key % len(texts)
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            pairs = np.stack([doc, n], axis=1).astype(np.uint32)
-            ends = np.append(first, len(key)).astype(np.int32) * 8
-            blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(pairs.tobytes())])
+            words = list(number)
+            part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+            order = np.argsort(part, kind="stable")
+            new = np.empty(len(words), np.int64)
+            new[order] = np.arange(len(words))
+            tokens = new[np.concatenate(seen)]
+            n = np.bincount(tokens, np.repeat(train, n_tokens), len(words)).astype(np.int64)
+            cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
             own = f"{TaskContext.get().partitionId()}-{next(name)}"
             flags = np.array([(r == HELD) + 2 * (r is None) for r in rest], np.uint8)
             about = np.array([i or 0 for i in ids], np.int64).tobytes() + n_tokens.tobytes() + flags.tobytes()
-            yield pa.RecordBatch.from_pydict({"step": pa.array([own] * len(first)), "word": pa.array(list(number), pa.binary()), "n": pa.array(np.add.reduceat(n * train[doc], first), pa.int64()), "at": blob})
-            yield pa.RecordBatch.from_pydict({"step": [own], "word": pa.nulls(1, pa.binary()), "n": pa.array([len(texts)], pa.int64()), "at": pa.array([about], pa.binary())})
+            rows = [(own, -1, TEXTS, 0, pack(tokens), about)]
+            order = order.tolist()
+            rows += [(own, p, WORDS, 0, _squeezed([words[i] for i in order[x:y]]), pack(n[x:y])) for p, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if x < y]
+            yield _batch(rows)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _SCHEMA)
+
+
+def _vocabulary(kinds: dict) -> list[pa.RecordBatch]:
+    """Known words of a part, frequent ones first, with training counts; to each step, the ranks of its words (from 1; 0: unknown)."""
+    number: defaultdict[bytes, int] = defaultdict(count().__next__)
+    rows, part = kinds[WORDS], kinds[WORDS][0]["part"] if kinds[WORDS] else 0
+    seen = [np.fromiter(map(number.__getitem__, _wide(r["a"])), np.int64) for r in rows]
+    total = np.zeros(len(number), np.int64)
+    for at, r in zip(seen, rows, strict=True):
+        total[at] += unpack(r["b"])
+    words = list(number)
+    known = sorted(np.flatnonzero(total).tolist(), key=lambda i: (-total[i], words[i]))
+    rank = np.zeros(len(words), np.int64)
+    rank[known] = np.arange(1, len(known) + 1)
+    out = [(r["step"], part, IDS, 0, pack(rank[at])) for at, r in zip(seen, rows, strict=True)]
+    words, c = [words[i] for i in known], total[known]
+    out += [(None, part, VOCABULARY, len(words), _squeezed(words), pack(c)), (None, part, TOTALS, 0, np.array([c.sum(), len(words)], np.int64).tobytes())]
+    cells, _ = spelling(words) if words else (np.zeros(0, np.int64), None)
+    return [_batch(out), _cells(cells, np.ones(len(cells)))]
+
+
+@dataclass
+class Step:
+    """Texts of a step: tokens by number, the numbers before them (the end before a first word), ids of the words by number (0:
+    unknown), and the distinct pairs of known neighbours, by part: their ids (u, w), cuts between parts, each token's pair or -1."""
+
+    tokens: np.ndarray
+    before: np.ndarray
+    ids: np.ndarray
+    u: np.ndarray
+    w: np.ndarray
+    cuts: np.ndarray
+    pair: np.ndarray
+    doc_id: np.ndarray
+    n_tokens: np.ndarray
+    flags: np.ndarray
+
+
+def _step(kinds: dict, parts: int) -> Step:
+    about = kinds[TEXTS][0]["b"]
+    n = len(about) // 17
+    doc_id, n_tokens, flags = np.frombuffer(about, np.int64, n), np.frombuffer(about, np.int64, n, 8 * n), np.frombuffer(about, np.uint8, n, 16 * n)
+    ids = np.concatenate([np.where((x := unpack(r["a"])) > 0, (x - 1) * parts + r["part"] + 1, 0) for r in kinds[IDS]])
+    tokens = unpack(kinds[TEXTS][0]["a"]).astype(np.int32)
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    ends = np.cumsum(n_tokens)
+    before[ends - n_tokens] = tokens[ends - 1]  # each text ends with the end
+    at = np.flatnonzero((ids[before] > 0) & (ids[tokens] > 0))
+    key, back = np.unique(before[at].astype(np.int64) * len(ids) + tokens[at], return_inverse=True)
+    u, w = ids[key // len(ids)], ids[key % len(ids)]
+    part = (mixed(u.view(np.uint64) << np.uint64(32) | w.view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.int64)
+    order = np.argsort(part, kind="stable")
+    new = np.empty(len(key), np.int32)
+    new[order] = np.arange(len(key))
+    pair = np.full(len(tokens), -1, np.int32)
+    pair[at] = new[back]
+    return Step(tokens, before, ids, u[order], w[order], np.searchsorted(part[order], np.arange(parts + 1)), pair, doc_id, n_tokens, flags)
+
+
+def _ask(kinds: dict, parts: int) -> list[pa.RecordBatch]:
+    """Distinct pairs of a step, to the parts that count them, with training counts."""
+    s = _step(kinds, parts)
+    train = np.repeat(s.flags == 0, s.n_tokens) & (s.pair >= 0)
+    n = np.bincount(s.pair[train], minlength=len(s.u))
+    out = []
+    for p in range(parts):
+        x, y = s.cuts[p], s.cuts[p + 1]
+        if x < y:
+            first = np.flatnonzero(np.diff(s.u[x:y], prepend=-1))
+            out.append((kinds[TEXTS][0]["step"], p, QUESTIONS, 0, pack(s.u[x:y][first]), pack(s.w[x:y]), pack(n[x:y]), pack(np.diff(first, append=y - x))))
+    return [_batch(out)]
+
+
+def _distinct(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Of questions: distinct pairs (u in the upper half), training counts, the questions' sizes, each question's pair."""
+    w = [unpack(r["b"]).view(np.uint64) for r in rows]
+    key = np.concatenate([np.repeat(unpack(r["a"]), unpack(r["d"])).view(np.uint64) << np.uint64(32) | x for r, x in zip(rows, w, strict=True)])
+    key, back = np.unique(key, return_inverse=True)
+    n = np.bincount(back, np.concatenate([unpack(r["c"]) for r in rows]), len(key)).astype(np.int64)
+    return key, n, [len(x) for x in w], back
+
+
+def _pairs(kinds: dict, parts: int) -> list[pa.RecordBatch]:
+    """Pairs of two or more customers of a part, by places in the list of their words; to the words' parts, what pairs of one
+    customer add for good (LINKS, which also name the words of the list), and first tables of the others, one each."""
+    own = kinds[QUESTIONS][0]["part"]
+    key, n, *_ = _distinct(kinds[QUESTIONS])
+    key, n = key[n > 0], n[n > 0]
+    u, w = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
+    ids, back = np.unique(np.concatenate([u, w]), return_inverse=True)
+    order = np.lexsort(((ids - 1) // parts, (ids - 1) % parts))
+    new = np.empty(len(ids), np.int64)
+    new[order] = np.arange(len(ids))
+    ids, back = ids[order], new[back]
+    u, w = back[: len(u)], back[len(u) :]
+    one, more, size = n == 1, n > 1, len(ids)
+    su, sw, mu, mw = (np.bincount(x, minlength=size) for x in (u[one], w[one], u[more], w[more]))
+    asked = mu + mw > 0
+    place = np.cumsum(asked) - 1
+    cuts = np.searchsorted((ids - 1) % parts, np.arange(parts + 1))
+    out = [(None, own, PAIRS, 0, pack(place[u[more]]), pack(place[w[more]]), pack(n[more])), (None, own, TOTALS, 0, np.array([(n == 1).sum(), (n == 2).sum()], np.int64).tobytes())]
+    for p in range(parts):
+        x, y = cuts[p], cuts[p + 1]
+        if x < y:
+            at = asked[x:y]
+            out.append((None, p, LINKS, own, pack(np.diff((ids[x:y] - 1) // parts, prepend=0)), pack(su[x:y]), pack(sw[x:y] * 2 + at)))
+            out.append((None, p, TABLES, own, pack(mu[x:y][at]), pack(mw[x:y][at])))
+    return [_batch(out)]
+
+
+def _words(kinds: dict, state: State, pair_discount: float) -> list[pa.RecordBatch]:
+    """Words of a part given the tables of all pairs: their own tables, their weights as contexts; to the pairs' parts what they need."""
+    if not kinds[VOCABULARY]:
+        return [_batch([])]
+    about = kinds[VOCABULARY][0]
+    part, words = about["part"], _wide(about["a"])
+    seated, n = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    tables = {r["n"]: r for r in kinds[TABLES]}
+    asked = []
+    for r in kinds[LINKS]:
+        rank, sw = np.cumsum(unpack(r["a"])), unpack(r["c"])
+        seated[rank] += unpack(r["b"])
+        n[rank] += sw >> 1
+        at = rank[(sw & 1) > 0]
+        seated[at] += unpack(tables[r["n"]]["a"])
+        n[at] += unpack(tables[r["n"]]["b"])
+        asked.append((r["n"], at))
+    spelled = state.spelled(words)
+    t = state.seat(words, n, spelled)
+    draw = np.random.Generator(np.random.Philox(key=[state.sweep, part]))
+    x = (pair_discount * draw.standard_gamma(STRENGTH / pair_discount + seated)).astype(np.float32)
+    s32 = spelled.astype(np.float32)
+    out = [(None, to, SENT, part, x[at].tobytes(), pack(n[at]), pack(t[at]), s32[at].tobytes()) for to, at in asked]
+    out.append((None, part, STATE, state.sweep, pack(seated), pack(n), pack(t), s32.tobytes()))
+    out.append((None, part, TOTALS, 0, np.array([n.sum(), t.sum(), (n == 1).sum(), (n == 2).sum(), round(float(spelled.sum()) * 2**50)], np.int64).tobytes()))
+    cells, first = spelling(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return [_batch(out), _cells(cells, np.repeat(t, np.diff(np.append(first, len(cells)))))]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "step string, word binary, n bigint, at binary")
 
+@dataclass(frozen=True)
+class Totals:
+    """Customers and tables of the word restaurant, its discount, and the share of the speller's words that are known."""
 
-def _sweep(vocabulary: DataFrame, state: State | None) -> tuple[float, np.ndarray, float]:
-    """Tables of all words, how often the speller's cells were used for them, and the share of the speller's words that
-    are known. Without a state each word has one table."""
-    sent = vocabulary.sparkSession.sparkContext.broadcast(state)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, cells_n, total, known = sent.value, np.zeros(_R3 * 256, np.int64), 0, 0.0
-        for batch in batches:
-            words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            if not words:
-                continue
-            spelled = np.zeros(len(c)) if state is None else state.spelled(words)
-            t = np.ones(len(c), np.int64) if state is None else state.seat(words, c, spelled)
-            known += float(spelled.sum())
-            cells, first = spelling(words)
-            np.add.at(cells_n, cells, np.repeat(t, np.diff(np.append(first, len(cells)))))
-            total += int(t.sum())
-        at = np.flatnonzero(cells_n)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(np.append(at, [-1, -2])), "n": pa.array(np.append(cells_n[at], [total, round(known * 2**50)]))})
-
-    got = vocabulary.mapInArrow(lean(run), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most _R3 * 256 rows
-    sent.unpersist()
+    customers: int
+    tables: int
+    discount: float
+    known: float
+
+    def words(self, n: np.ndarray, t: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Probabilities in the word restaurant."""
+        return (n - self.discount * t + (STRENGTH + self.discount * self.tables) * spelled) / (STRENGTH + self.customers)
+
+    def unseen(self) -> float:
+        return max(1e-300, (STRENGTH + self.discount * self.tables) * (1 - self.known) / (STRENGTH + self.customers))
+
+
+def _seats(kinds: dict, sweep: int, totals: Totals, discount: float) -> list[pa.RecordBatch]:
+    """Tables of a part's pairs given their contexts' weights and the word restaurant; to the words' parts, sums of them."""
+    if not kinds[PAIRS]:
+        return [_batch([])]
+    own = kinds[PAIRS][0]
+    u, w, c = (unpack(own[k]) for k in "abc")
+    sent = kinds[SENT]
+    if not len(c) or not sent:
+        return [_batch([(None, r["n"], TABLES, own["part"], pack(np.zeros(0)), pack(np.zeros(0))) for r in sent] + [(None, own["part"], SEATS, sweep, pack(np.zeros(0)))])]
+    x, s = (np.concatenate([np.frombuffer(r[k], np.float32) for r in sent]).astype(np.float64) for k in "ad")
+    n, t1 = (np.concatenate([unpack(r[k]) for r in sent]) for k in "bc")
+    keys = mixed(np.arange(len(c), dtype=np.uint64) + np.uint64(own["part"] << 32)) + np.uint64(sweep)
+    t = draw_tables(c, x[u], totals.words(n, t1, s)[w], discount, mixed(keys), flat=True)
+    mu, mw = np.bincount(u, t, len(x)), np.bincount(w, t, len(x))
+    ends = np.cumsum([len(r["a"]) // 4 for r in sent]).tolist()
+    out = [(None, r["n"], TABLES, own["part"], pack(mu[a:b]), pack(mw[a:b])) for r, a, b in zip(sent, [0, *ends], ends, strict=False)]
+    return [_batch([*out, (None, own["part"], SEATS, sweep, pack(t))])]
+
+
+def _answers(kinds: dict) -> list[pa.RecordBatch]:
+    """To each question the customers of its pairs, and for pairs of two or more their tables in each draw."""
+    if not kinds[QUESTIONS]:
+        return [_batch([])]
+    _, n, sizes, back = _distinct(kinds[QUESTIONS])
+    draws = []
+    for r in kinds[SEATS]:
+        draws.append(np.minimum(n, 1))
+        draws[-1][n > 1] = unpack(r["a"])
+    out, x = [], 0
+    for r, size in zip(kinds[QUESTIONS], sizes, strict=True):
+        at = back[x : x + size]
+        x += size
+        more = at[n[at] > 1]
+        out.append((r["step"], r["part"], ANSWERS, 0, pack(n[at]), pack(np.concatenate([t[more] for t in draws]))))
+    return [_batch(out)]
+
+
+def _known(kinds: dict, totals: list[Totals]) -> list[pa.RecordBatch]:
+    """To each step, of its known words of a part: customers, tables as contexts and probabilities in each draw."""
+    if not kinds[IDS]:
+        return [_batch([])]
+    c = unpack(kinds[VOCABULARY][0]["b"])
+    states = [[unpack(r[k]) for k in "abc"] + [np.frombuffer(r["d"], np.float32)] for r in kinds[STATE]]
+    p = [x.words(n, t, s.astype(np.float64)).astype(np.float32) for x, (_, n, t, s) in zip(totals, states, strict=True)]
+    out = []
+    for r in kinds[IDS]:
+        at = unpack(r["a"])
+        at = at[at > 0] - 1
+        out.append((r["step"], r["part"], KNOWN, 0, pack(c[at]), pack(np.concatenate([s[0][at] for s in states])), None, np.concatenate([x[at] for x in p]).tobytes()))
+    return [_batch(out)]
+
+
+def predictive(s: Step, customers: np.ndarray, pair: np.ndarray, draws: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], discount: float) -> np.ndarray:
+    """log10 of each token's probability after the word before it, averaged over draws.
+
+    customers: of each word's restaurant as a context; pair: those of each distinct pair; a draw: tables of each word's restaurant, the
+    words' probabilities, tables of each pair. A context that was never seen leaves it to the word restaurant.
+    """
+    p, k = np.zeros(len(s.tokens)), 0
+    for tables, words, seats in draws:
+        left, weight = np.append(pair - discount * seats, 0.0), STRENGTH + discount * tables
+        for x in range(0, len(p), SLICE):
+            at = slice(x, x + SLICE)
+            p[at] += left[s.pair[at]] + weight[s.before[at]] * words[s.tokens[at]]
+        k += 1
+    for x in range(0, len(p), SLICE):
+        at = slice(x, x + SLICE)
+        p[at] = np.log10(np.maximum(p[at] / (k * (STRENGTH + customers[s.before[at]])), 1e-300))
+    return p
+
+
+def _scored(kinds: dict, parts: int, totals: list[Totals], pair_discount: float, n_train: int, n_words: int) -> pa.Table:
+    s = _step(kinds, parts)
+    known, size, k = s.ids > 0, len(s.ids), len(totals)
+    split = lambda x: x.reshape(k, -1)
+    c = np.zeros(size, np.int64)
+    c[known] = np.concatenate([unpack(r["a"]) for r in kinds[KNOWN]])
+    pair = np.concatenate([unpack(r["a"]) for r in kinds[ANSWERS]]) if kinds[ANSWERS] else np.zeros(0, np.int64)
+    tables = np.concatenate([split(unpack(r["b"])) for r in kinds[KNOWN]], axis=1)
+    p = np.concatenate([split(np.frombuffer(r["d"], np.float32)) for r in kinds[KNOWN]], axis=1)
+    more = np.concatenate([split(unpack(r["b"]).astype(np.int32)) for r in kinds[ANSWERS]], axis=1) if kinds[ANSWERS] else np.zeros((k, 0), np.int32)
+    kinds.clear()
+
+    def draws() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, total in enumerate(totals):
+            words, seated, seats = np.full(size, total.unseen()), np.zeros(size), np.minimum(pair, 1)
+            words[known], seated[known], seats[pair > 1] = p[i], tables[i], more[i]
+            yield seated, words, seats
+
+    first = np.cumsum(s.n_tokens) - s.n_tokens
+    n_known, base, own = (np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64)[s.tokens], np.log10(c + 1.0)[s.tokens], predictive(s, c, pair, draws(), pair_discount)))
+    n = len(first)
+    return pa.table({"doc_id": pa.array(s.doc_id, mask=(s.flags & 2) > 0), "held_out": pa.array((s.flags & 1) > 0), "n_tokens": pa.array(s.n_tokens), "n_known": pa.array(n_known), "train_tokens": pa.array(np.full(n, n_train)), "base_score": pa.array(base - s.n_tokens * np.log10(n_train + n_words + 1)), "score": pa.array(own)})
+
+
+def _sums(rows: DataFrame, n: int) -> list[int]:
+    """Sums over the parts' rows of totals, of which there is one each."""
+    got = [np.frombuffer(r.a, np.int64) for r in rows.where(F.col("kind") == TOTALS).select("a").collect()]
+    return [int(x) for x in np.sum(got, axis=0)] if got else [0] * n
+
+
+def _used(rows: DataFrame) -> np.ndarray:
+    got = rows.where(F.col("kind") == CELLS).groupBy("part").agg(F.sum("n").alias("n")).toPandas()  # at most _R3 * 256 rows
     counts = np.zeros(_R3 * 256, np.int64)
-    cell, n = got.cell.to_numpy(), got.n.to_numpy()
-    counts[cell[cell >= 0]] = n[cell >= 0]
-    return float(n[cell == -1].sum()), counts, min(1 - 1e-9, float(n[cell == -2].sum()) / 2**50)
+    counts[got.part.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
+    return counts
+
 
+def _discount(ones: int, twos: int) -> float:
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
-def predictive(words: list[bytes], c: np.ndarray, states: list[tuple[State, float, float]], n_train: int) -> np.ndarray:
-    """log10 of each known word's probability, averaged over the states (with their tables in all, and known share)."""
-    p = np.zeros(len(words))
-    for state, n_tables, _ in states:
-        spelled = state.spelled(words)
-        t = state.seat(words, c, spelled)
-        p += ((c - state.discount * t) + (STRENGTH + state.discount * n_tables) * spelled) / (STRENGTH + n_train)
-    return np.log10(np.maximum(p / len(states), 1e-300))
+
+def _only(rows: DataFrame, kind: int) -> DataFrame:
+    """The rows of a kind, written by themselves; the table that they are from goes."""
+    out = written(rows.where(F.col("kind") == kind), "kept")
+    done_with(rows)
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -216,87 +529,59 @@ def score(docs: DataFrame) -> DataFrame:
 
     Learns from rows whose crc32 of the id as text, modulo 7, is not 2. A null text counts as empty: one token, the end.
     Rows with a null doc_id are scored but not learnt from, and held_out is false. Repeated rows are learnt from as
-    often as they stand there. Without training rows base_score is 0 for all and words are spelled evenly.
+    often as they stand there. Without training rows base_score and score are 0 for all.
     """
     spark = docs.sparkSession
     batches_of(spark, MANY)
-    found = written(postings(docs), "postings")
-    words = found.where("word is not null")
-    vocabulary = written(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "vocabulary")
-    total = vocabulary.agg(F.sum("c"), F.count(F.lit(1)), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long"))).first()
-    n_train, n_words, ones, twos = (int(x or 0) for x in total)
-    discount = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    states, tables = [], None
-    n_tables, counts, _ = _sweep(vocabulary, None)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
+    found = written(postings(docs, parts), "postings")
+    words = written(_grouped(kind(found, WORDS), "part", _vocabulary), "vocabulary")
+    n_train, n_words = _sums(words, 2)
+    texts = _only(found, TEXTS)
+    told = texts.unionAll(kind(words, IDS))
+    asked = written(_grouped(told, "step", lambda kinds: _ask(kinds, parts)), "questions")
+    pairs = written(_grouped(asked, "part", lambda kinds: _pairs(kinds, parts)), "pairs")
+    pair_discount = _discount(*_sums(pairs, 2))
+    messages, counts, tables, n_tables, discount = kind(pairs, TABLES), _used(words), None, n_words, 0.5
+    totals: list[Totals] = []
+    states, seats, passed = [], [], None
     for sweep in range(SWEEPS):
-        spelling, tables = speller(counts, tables, sweep)
-        state = State(spelling, n_tables, discount, sweep)
-        n_tables, counts, known = _sweep(vocabulary, state)
+        spelled, tables = speller(counts, tables, sweep)
+        sent = spark.sparkContext.broadcast(State(spelled, n_tables, discount, sweep))
+        rows = kind(words, VOCABULARY).unionAll(kind(pairs, LINKS)).unionAll(messages)
+        seated = written(_grouped(rows, "part", lambda kinds, sent=sent: _words(kinds, sent.value, pair_discount)), "words")
+        sent.unpersist()
+        customers, n_tables, ones, twos, share = _sums(seated, 5)
+        total = Totals(customers, n_tables, discount, min(1 - 1e-9, share / 2**50))
+        if sweep == 0:
+            discount = _discount(ones, twos)
+        if passed and sweep >= BURN_IN:  # the state is that of the words and of the pairs' tables that they were seated by
+            totals.append(total)
+            seats.append(_only(passed, SEATS))
+        elif passed:
+            done_with(passed)
+        counts = _used(seated)
+        if sweep + 1 < SWEEPS:
+            rows = kind(pairs, PAIRS).unionAll(kind(seated, SENT))
+            passed = written(_grouped(rows, "part", lambda kinds, sweep=sweep, total=total: _seats(kinds, sweep, total, pair_discount)), "seats")
+            messages = kind(passed, TABLES)
         if sweep >= BURN_IN:
-            states.append((state, n_tables, known))
-    sent = spark.sparkContext.broadcast(states)
-    unseen = float(np.log10(max(1e-300, np.mean([(STRENGTH + discount * t) * (1 - share) / (STRENGTH + n_train) for _, t, share in states]))))
-
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, c = batch.column("word").to_pylist(), batch.column("c").to_numpy()
-            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "c": batch.column("c"), "own": pa.array(predictive(w, c, sent.value, n_train))})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: defaultdict[str, list] = defaultdict(list)
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            rows = []
-            for name, parts in held.items():
-                doc, known, base, own = (np.concatenate([p[k] for p in parts]) for k in range(4))
-                which, at = np.unique(doc, return_inverse=True)
-                rows.append((name, which.astype(np.uint32).tobytes(), *(np.bincount(at, x, len(which)).tobytes() for x in (known, base, own))))
-            held.clear()
-            return pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], pa.string() if i == 0 else pa.binary()) for i, k in enumerate(("step", "doc", "known", "base", "own"))})
-
-        for batch in batches:
-            c = batch.column("c").fill_null(0).to_numpy()
-            if not len(c):
-                continue
-            own, base = batch.column("own").fill_null(unseen).to_numpy(), np.log10(c + 1.0)
-            blobs = batch.column("at").to_pylist()
-            n = np.fromiter((len(b) // 8 for b in blobs), np.int64, len(blobs))
-            pairs = np.frombuffer(b"".join(blobs), np.uint32).reshape(-1, 2)
-            row = np.repeat(np.arange(len(c)), n)
-            names = batch.column("step").dictionary_encode()
-            code = names.indices.to_numpy()[row]
-            order = np.argsort(code, kind="stable")
-            cuts = np.searchsorted(code[order], np.arange(len(names.dictionary) + 1))
-            times = pairs[:, 1].astype(np.float64)
-            doc, known, base, own = pairs[:, 0], times * (c > 0)[row], times * base[row], times * own[row]
-            for k, name in enumerate(names.dictionary.to_pylist()):
-                at = order[cuts[k] : cuts[k + 1]]
-                held[name].append((doc[at], known[at], base[at], own[at]))
-            size += len(pairs)
-            if size > MOST_HELD:
-                yield flush()
-                size = 0
-        if held:
-            yield flush()
+            states.append(_only(seated, STATE))
+        else:
+            done_with(seated)
+    done_with(pairs)
+    answers, known = kind(asked, QUESTIONS), kind(words, IDS, VOCABULARY)
+    for seat, state in zip(seats, states, strict=True):
+        answers, known = answers.unionAll(seat), known.unionAll(state)
+    answers = written(_grouped(answers, "part", _answers), "answers")
+    done_with(asked, *seats)
+    told = told.unionAll(answers).unionAll(_grouped(known, "part", lambda kinds: _known(kinds, totals)))
 
     def finish(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        about = next(r for r in rows if r["about"] is not None)["about"]
-        n = len(about) // 17
-        ids, n_tokens, flags = np.frombuffer(about, np.int64, n), np.frombuffer(about, np.int64, n, 8 * n), np.frombuffer(about, np.uint8, n, 16 * n)
-        sums = np.zeros((3, n))
-        for r in rows:
-            if r["about"] is None:
-                doc = np.frombuffer(r["doc"], np.uint32)
-                for k, x in enumerate(("known", "base", "own")):
-                    sums[k, doc] += np.frombuffer(r[x], np.float64)
-        return pa.table({"doc_id": pa.array(ids, mask=(flags & 2) > 0), "held_out": pa.array((flags & 1) > 0), "n_tokens": pa.array(n_tokens), "n_known": pa.array(np.round(sums[0]).astype(np.int64)), "train_tokens": pa.array(np.full(n, n_train)), "base_score": pa.array(sums[1] - n_tokens * np.log10(n_train + n_words + 1)), "score": pa.array(sums[2])})
-
-    priced = vocabulary.select("word", "c").mapInArrow(lean(price), "word binary, c bigint, own double")
-    parts = words.join(priced, "word", "left").select("c", "own", "step", "at").mapInArrow(lean(add), "step string, doc binary, known binary, base binary, own binary").withColumn("about", F.lit(None).cast("binary"))
-    abouts = found.where("word is null").select("step", *(F.lit(None).cast("binary").alias(x) for x in ("doc", "known", "base", "own")), F.col("at").alias("about"))
-    return parts.unionAll(abouts).groupBy("step").applyInArrow(lean(finish), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        return _scored(_by_kind(group), parts, totals, pair_discount, n_train, n_words)
+
+    return told.groupBy("step").applyInArrow(lean(finish), "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,8 +79,8 @@ def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return np.where(rest < 0.5, 0.0, out)
 
 
-def log_weights(c: np.ndarray, t: np.ndarray, a: np.ndarray, p: np.ndarray, d: float) -> np.ndarray:
-    """log P(t) up to a constant of each row, for a row of table numbers t for each dish (1 <= t <= c)."""
+def log_weights(c: np.ndarray, t: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, flat: bool = False) -> np.ndarray:
+    """log P(t) up to a constant of each row, for a row of table numbers t for each dish (1 <= t <= c). flat: every table weighs a."""
     c, t = np.asarray(c, float)[:, None], np.asarray(t, float)
     out = _saddle(np.broadcast_to(c, t.shape), t, d)
     if (t <= FEW).any():
@@ -94,6 +94,8 @@ def log_weights(c: np.ndarray, t: np.ndarray, a: np.ndarray, p: np.ndarray, d: f
         at = np.minimum(t, FEW).astype(np.int64)
         rows = np.arange(len(t))[:, None]
         out = np.where((t <= FEW) & ok[rows, at], log_s[rows, at], out)
+    if flat:
+        return out + t * np.log(np.maximum(np.asarray(a, float) * np.asarray(p, float), 1e-300))[:, None]
     e = np.asarray(a, float)[:, None] / d
     return out + t * np.log(d) + lgamma(e + t) - lgamma(e) + t * np.log(np.maximum(np.asarray(p, float), 1e-300))[:, None]
 
@@ -103,12 +105,12 @@ def uniforms(keys: np.ndarray, k: int) -> np.ndarray:
     return ((mixed(keys + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
 
 
-def _draw_many(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, u: np.ndarray) -> np.ndarray:
+def _draw_many(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, u: np.ndarray, flat: bool) -> np.ndarray:
     """Draws for large dishes: the mode by narrowing grids, then the law on up to POINTS points some nine deviations around it."""
     lo, hi = np.ones(len(c)), c.astype(float)
     for _ in range(24):
         grid = np.round(lo[:, None] * (hi / lo)[:, None] ** np.linspace(0, 1, 9))
-        best = np.argmax(log_weights(c, grid, a, p, d), axis=1)
+        best = np.argmax(log_weights(c, grid, a, p, d, flat), axis=1)
         rows = np.arange(len(c))
         lo, hi = grid[rows, np.maximum(best - 1, 0)], grid[rows, np.minimum(best + 1, 8)]
         if (hi - lo <= 2).all():
@@ -116,7 +118,7 @@ def _draw_many(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, u: np.ndar
     mode = np.round((lo + hi) / 2)
     h = np.maximum(1.0, np.round(mode / 64))
     around = np.clip(np.stack([mode - h, mode, mode + h], axis=1), 1, c[:, None])
-    v = log_weights(c, around, a, p, d)
+    v = log_weights(c, around, a, p, d, flat)
     bend = np.maximum(-(v[:, 0] - 2 * v[:, 1] + v[:, 2]) / (h * h), 1e-12)
     sd = np.where(around[:, 0] < around[:, 1], 1 / np.sqrt(bend), mode + 4)
     reach = np.minimum(9 * np.minimum(sd, 2 * mode + 8) + 12, c)
@@ -126,7 +128,7 @@ def _draw_many(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, u: np.ndar
     begin = low[:, None] + stride[:, None] * np.arange(n)
     inside = begin <= high[:, None]
     middle = np.minimum(begin + (stride[:, None] - 1) / 2, c[:, None])
-    w = np.where(inside, log_weights(c, np.minimum(middle, c[:, None]), a, p, d), -np.inf)
+    w = np.where(inside, log_weights(c, np.minimum(middle, c[:, None]), a, p, d, flat), -np.inf)
     w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
     x = u * w[:, -1]
     k = (w < x[:, None]).sum(axis=1)
@@ -136,8 +138,12 @@ def _draw_many(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, u: np.ndar
     return np.minimum(begin[rows, k] + np.floor(part * stride), high)
 
 
-def draw_tables(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, keys: np.ndarray) -> np.ndarray:
-    """Tables for dishes of c customers in restaurants whose weight for a new table is a, the parent's probability being p."""
+def draw_tables(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, keys: np.ndarray, flat: bool = False) -> np.ndarray:
+    """Tables for dishes of c customers in restaurants whose weight for a new table is a, the parent's probability being p.
+
+    flat: all new tables of a dish have the weight a, instead of a, a + d, a + 2 d and so on. With a = d x and x drawn from the gamma
+    law of shape strength / d + all tables, the dishes of a restaurant are independent of each other, and draws of all at once are exact.
+    """
     t = np.minimum(c, 1).astype(np.int64)
     u = uniforms(keys, 0)
     log_s = log_stirling(d)
@@ -147,12 +153,12 @@ def draw_tables(c: np.ndarray, a: np.ndarray, p: np.ndarray, d: float, keys: np.
         at = few[i : i + 20_000]
         most = int(c[at].max())
         j = np.arange(most)
-        w = log_s[c[at], 1 : most + 1] + np.cumsum(np.log(a[at][:, None] + d * j) + np.log(np.maximum(p[at], 1e-300))[:, None], axis=1)
+        w = log_s[c[at], 1 : most + 1] + np.cumsum(np.log(a[at][:, None] + (0 if flat else d) * j) + np.log(np.maximum(p[at], 1e-300))[:, None], axis=1)
         w = np.exp(w - w.max(axis=1, keepdims=True))
         w = np.cumsum(w, axis=1)
         t[at] = 1 + (w < u[at][:, None] * w[:, -1:]).sum(axis=1)
     many = np.flatnonzero(c > EXACT)
     for i in range(0, len(many), 4000):
         at = many[i : i + 4000]
-        t[at] = _draw_many(c[at], a[at], p[at], d, u[at]).astype(np.int64)
+        t[at] = _draw_many(c[at], a[at], p[at], d, u[at], flat).astype(np.int64)
     return t

@@ -147,6 +147,50 @@ def test_base_score_by_brute_force(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_follow_the_order_of_words(spark):
+    """Texts of the same words in another order have the same base score, and the order that was learnt from scores better."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, "the cat sat on a mat") for i in range(60) if i not in held] + [(held[0], "The cat sat on a mat"), (held[1], "mat a on sat cat the"), (held[2], None)]
+    got = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b = got[held[0]], got[held[1]]
+    assert len(got) == len(rows) and a.held_out and b.held_out and got[held[2]].n_tokens == 1
+    assert abs(a.base_score - b.base_score) < 1e-9 and a.n_known == b.n_known == 7 and a.score > b.score + 5 and a.score > -1
+
+
+def test_words_after_a_word_have_probability_one_in_all():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    totals = lm_score.Totals(40, 25, 0.4, 0.3)
+    n, t, spelled = np.array([20, 15, 5]), np.array([12, 9, 4]), np.array([0.1, 0.15, 0.05])
+    words = np.append(totals.words(n, t, spelled), totals.unseen())
+    assert abs(words.sum() - 1) < 1e-12
+    pair, seats = np.array([7, 1, 3]), np.array([4, 1, 2])
+    step = lm_score.Step(np.arange(4), np.zeros(4, np.int64), np.array([1, 2, 3, 0]), None, None, None, np.array([0, 1, 2, -1]), None, None, None)
+    draws = [(np.array([seats.sum(), 0, 0, 0]), words, seats), (np.array([5, 0, 0, 0]), words, np.array([3, 1, 1]))]
+    got = lm_score.predictive(step, np.array([pair.sum(), 0, 0, 0]), pair, iter(draws), 0.6)
+    assert abs((10**got).sum() - 1) < 1e-12
+    for most in (1, 255, 256, 1 << 40):
+        x = rng.integers(0, most + 1, 1000)
+        assert (lm_score.unpack(lm_score.pack(x)) == x).all()
+
+
+def test_flat_seating_law():
+    """With one weight for every new table: draws have the mean of the law, whatever the size of the dish."""
+    import numpy as np
+
+    exact = pitman_yor.log_stirling(0.6, 400)
+    for c in (5, 60, 400):
+        for a, p in ((50.0, 0.02), (3.0, 0.001)):
+            t = np.arange(1, c + 1)
+            w = exact[c, 1 : c + 1] + t * np.log(a * p)
+            w = np.exp(w - w.max())
+            w /= w.sum()
+            mean, sd = float(w @ t), float(np.sqrt(max(0.0, w @ (t * t) - (w @ t) ** 2)))
+            x = pitman_yor.draw_tables(np.full(4000, c), np.full(4000, a), np.full(4000, p), 0.6, np.arange(4000, dtype=np.uint64), flat=True)
+            assert abs(x.mean() - mean) < 4 * sd / 4000**0.5 + 1e-3
+
+
 def test_seating_law_against_the_recursion():
     """Small and large dishes alike: draws have the mean and spread of the law, and its weights agree point by point."""
     import numpy as np
