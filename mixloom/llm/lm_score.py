@@ -14,7 +14,8 @@ pairs are drawn at once from their exact law. Predictive probabilities are avera
 
 Words live in parts by their hash, pairs in parts by theirs, so neither a frequent word nor a frequent context is one task's
 work. Parts send each other what the other lacks, in an agreed order, as packed numbers; a step of texts asks for each
-distinct word and pair once.
+distinct word and pair once. How many parts there are follows from the bytes of the texts, and what a part adds to the speller's
+counts is a packed row for each of RANGES ranges of cells, so neither messages nor draws depend on the settings of a cluster.
 """
 
 from __future__ import annotations
@@ -44,8 +45,13 @@ END = b"\n"
 STEP = 12_000_000
 #: Tokens that are priced at a time.
 SLICE = 200_000
+#: Bytes of all texts to a part of the words and of the pairs, and parts at least.
+PART_BYTES, LEAST_PARTS = 16_000_000, 8
 
 _R3 = 1 << sum(BITS)
+#: Ranges that the speller's cells, mixed, are counted in, and the cells of each.
+RANGES = 16
+_RANGE = _R3 * 256 // RANGES
 
 
 def _classes(bits: int) -> np.ndarray:
@@ -99,9 +105,8 @@ class State:
     discount: float
     sweep: int
 
-    def spelled(self, words: list[bytes]) -> np.ndarray:
-        cells, first = spelling(words)
-        return np.exp(np.maximum(np.add.reduceat(self.spelling.table()[cells].astype(np.float64), first), -650.0)) if len(words) else np.zeros(0)
+    def spelled(self, cells: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return np.exp(np.maximum(np.add.reduceat(self.spelling.table()[cells].astype(np.float64), first), -650.0)) if len(first) else np.zeros(0)
 
     def seat(self, words: list[bytes], c: np.ndarray, spelled: np.ndarray) -> np.ndarray:
         keys = np.fromiter((zlib.crc32(w) | len(w) << 32 for w in words), np.uint64, len(words)) + np.uint64(self.sweep << 48)
@@ -154,7 +159,6 @@ _SCHEMA = "step string, part bigint, kind bigint, n bigint, a binary, b binary,
 _NAMES = ("step", "part", "kind", "n", "a", "b", "c", "d")
 _TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
 _ZSTD = pa.Codec("zstd", compression_level=1)
-_LOW = np.uint64(0xFFFFFFFF)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -185,18 +189,59 @@ def _wide(b: bytes) -> list[bytes]:
     return _ZSTD.decompress(b[8:], n, asbytes=True).split(b" ") if n else []
 
 
+def _unique(upper: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of whole numbers from 0 on, in order, and each pair's place among them. Where pairs and positions fit 64 bits
+    together they are sorted as values, which takes less than half of the time of sorting positions by them; the result is the same."""
+    if not len(upper):
+        return upper.astype(np.int64), lower.astype(np.int64), np.zeros(0, np.int64)
+    low, bits = np.uint64(int(lower.max()).bit_length()), np.uint64((len(upper) - 1).bit_length())
+    key = upper.astype(np.uint64) << low | lower.astype(np.uint64)
+    if int(upper.max()).bit_length() + int(low) + int(bits) > 64:
+        key, back = np.unique(key, return_inverse=True)
+    else:
+        at = key << bits | np.arange(len(key), dtype=np.uint64)
+        at.sort()
+        np.right_shift(at, bits, out=key)
+        new = np.empty(len(key), bool)
+        new[0] = True
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        key = key[new]
+        at &= (np.uint64(1) << bits) - np.uint64(1)
+        back = np.empty(len(at), np.int64)
+        back[at.view(np.int64)] = np.cumsum(new) - 1
+    return (key >> low).astype(np.int64), (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), back
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     """Rows in the shared schema; blobs that are missing at the end are null."""
     rows = [(*r, *[None] * (8 - len(r))) for r in rows]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_TYPES)], _NAMES)
 
 
-def _cells(cells: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """A row for each cell of the speller that is used, and how often."""
-    at, back = np.unique(cells, return_inverse=True)
+def _mixed_cells(cells: np.ndarray) -> np.ndarray:
+    """A bijective mix of the speller's cells, so its ranges are about as full as each other."""
+    return cells * 2654435761 & _R3 * 256 - 1
+
+
+def _counts(ranges: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple]:
+    """Rows of used cells of a range, as distances between them, and how often each is used."""
+    return [(None, k, CELLS, 0, pack(np.diff(at, prepend=0)), pack(n)) for k, at, n in ranges if len(at)]
+
+
+def _cells(cells: np.ndarray, times: np.ndarray) -> list[tuple]:
+    """For each range a row of the cells of the speller that are used, and how often."""
+    at, back = np.unique(_mixed_cells(cells), return_inverse=True)
     n = np.bincount(back, times, len(at)).astype(np.int64)
-    full = lambda kind: pa.nulls(len(at), kind)
-    return pa.RecordBatch.from_arrays([full(pa.string()), pa.array(at, pa.int64()), pa.array(np.full(len(at), CELLS)), pa.array(n), *[full(pa.binary())] * 4], _NAMES)
+    cuts = np.searchsorted(at, np.arange(RANGES + 1) * _RANGE)
+    return _counts([(k, at[x:y] - k * _RANGE, n[x:y]) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
+
+
+def _counted(rows: list[dict]) -> np.ndarray:
+    """Sums of the rows of a range, for each of its cells."""
+    total = np.zeros(_RANGE, np.int64)
+    for r in rows:
+        total[np.cumsum(unpack(r["a"]))] += unpack(r["b"])
+    return total
 
 
 def _by_kind(group: pa.Table) -> defaultdict[int, list[dict]]:
@@ -266,7 +311,7 @@ def _vocabulary(kinds: dict) -> list[pa.RecordBatch]:
     words, c = [words[i] for i in known], total[known]
     out += [(None, part, VOCABULARY, len(words), _squeezed(words), pack(c)), (None, part, TOTALS, 0, np.array([c.sum(), len(words)], np.int64).tobytes())]
     cells, _ = spelling(words) if words else (np.zeros(0, np.int64), None)
-    return [_batch(out), _cells(cells, np.ones(len(cells)))]
+    return [_batch(out + _cells(cells, np.ones(len(cells))))]
 
 
 @dataclass
@@ -297,12 +342,12 @@ def _step(kinds: dict, parts: int) -> Step:
     ends = np.cumsum(n_tokens)
     before[ends - n_tokens] = tokens[ends - 1]  # each text ends with the end
     at = np.flatnonzero((ids[before] > 0) & (ids[tokens] > 0))
-    key, back = np.unique(before[at].astype(np.int64) * len(ids) + tokens[at], return_inverse=True)
-    u, w = ids[key // len(ids)], ids[key % len(ids)]
+    u, w, back = _unique(before[at], tokens[at])
+    u, w = ids[u], ids[w]
     part = (mixed(u.view(np.uint64) << np.uint64(32) | w.view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts <= 65536 else np.int64)
     order = np.argsort(part, kind="stable")
-    new = np.empty(len(key), np.int32)
-    new[order] = np.arange(len(key))
+    new = np.empty(len(u), np.int32)
+    new[order] = np.arange(len(u))
     pair = np.full(len(tokens), -1, np.int32)
     pair[at] = new[back]
     return Step(tokens, before, ids, u[order], w[order], np.searchsorted(part[order], np.arange(parts + 1)), pair, doc_id, n_tokens, flags)
@@ -322,22 +367,20 @@ def _ask(kinds: dict, parts: int) -> list[pa.RecordBatch]:
     return [_batch(out)]
 
 
-def _distinct(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
-    """Of questions: distinct pairs (u in the upper half), training counts, the questions' sizes, each question's pair."""
-    w = [unpack(r["b"]).view(np.uint64) for r in rows]
-    key = np.concatenate([np.repeat(unpack(r["a"]), unpack(r["d"])).view(np.uint64) << np.uint64(32) | x for r, x in zip(rows, w, strict=True)])
-    key, back = np.unique(key, return_inverse=True)
-    n = np.bincount(back, np.concatenate([unpack(r["c"]) for r in rows]), len(key)).astype(np.int64)
-    return key, n, [len(x) for x in w], back
+def _distinct(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int], np.ndarray]:
+    """Of questions: distinct pairs (u, w), training counts, the questions' sizes, each question's pair."""
+    w = [unpack(r["b"]) for r in rows]
+    u, v, back = _unique(np.concatenate([np.repeat(unpack(r["a"]), unpack(r["d"])) for r in rows]), np.concatenate(w))
+    n = np.bincount(back, np.concatenate([unpack(r["c"]) for r in rows]), len(u)).astype(np.int64)
+    return u, v, n, [len(x) for x in w], back
 
 
 def _pairs(kinds: dict, parts: int) -> list[pa.RecordBatch]:
     """Pairs of two or more customers of a part, by places in the list of their words; to the words' parts, what pairs of one
     customer add for good (LINKS, which also name the words of the list), and first tables of the others, one each."""
     own = kinds[QUESTIONS][0]["part"]
-    key, n, *_ = _distinct(kinds[QUESTIONS])
-    key, n = key[n > 0], n[n > 0]
-    u, w = (key >> np.uint64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
+    u, w, n, *_ = _distinct(kinds[QUESTIONS])
+    u, w, n = u[n > 0], w[n > 0], n[n > 0]
     ids, back = np.unique(np.concatenate([u, w]), return_inverse=True)
     order = np.lexsort(((ids - 1) // parts, (ids - 1) % parts))
     new = np.empty(len(ids), np.int64)
@@ -376,7 +419,8 @@ def _words(kinds: dict, state: State, pair_discount: float) -> list[pa.RecordBat
         seated[at] += unpack(tables[r["n"]]["a"])
         n[at] += unpack(tables[r["n"]]["b"])
         asked.append((r["n"], at))
-    spelled = state.spelled(words)
+    cells, first = spelling(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    spelled = state.spelled(cells, first)
     t = state.seat(words, n, spelled)
     draw = np.random.Generator(np.random.Philox(key=[state.sweep, part]))
     x = (pair_discount * draw.standard_gamma(STRENGTH / pair_discount + seated)).astype(np.float32)
@@ -384,8 +428,7 @@ def _words(kinds: dict, state: State, pair_discount: float) -> list[pa.RecordBat
     out = [(None, to, SENT, part, x[at].tobytes(), pack(n[at]), pack(t[at]), s32[at].tobytes()) for to, at in asked]
     out.append((None, part, STATE, state.sweep, pack(seated), pack(n), pack(t), s32.tobytes()))
     out.append((None, part, TOTALS, 0, np.array([n.sum(), t.sum(), (n == 1).sum(), (n == 2).sum(), round(float(spelled.sum()) * 2**50)], np.int64).tobytes()))
-    cells, first = spelling(words) if words else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return [_batch(out), _cells(cells, np.repeat(t, np.diff(np.append(first, len(cells)))))]
+    return [_batch(out + _cells(cells, np.repeat(t, np.diff(np.append(first, len(cells))))))]
 
 
 @dataclass(frozen=True)
@@ -428,7 +471,7 @@ def _answers(kinds: dict) -> list[pa.RecordBatch]:
     """To each question the customers of its pairs, and for pairs of two or more their tables in each draw."""
     if not kinds[QUESTIONS]:
         return [_batch([])]
-    _, n, sizes, back = _distinct(kinds[QUESTIONS])
+    _, _, n, sizes, back = _distinct(kinds[QUESTIONS])
     draws = []
     for r in kinds[SEATS]:
         draws.append(np.minimum(n, 1))
@@ -506,17 +549,30 @@ def _sums(rows: DataFrame, n: int) -> list[int]:
     return [int(x) for x in np.sum(got, axis=0)] if got else [0] * n
 
 
+def _summed(kinds: dict) -> list[pa.RecordBatch]:
+    """One row for a range of cells, with the sums of all parts."""
+    total = _counted(kinds[CELLS])
+    at = np.flatnonzero(total)
+    return [_batch(_counts([(kinds[CELLS][0]["part"], at, total[at])]))]
+
+
 def _used(rows: DataFrame) -> np.ndarray:
-    got = rows.where(F.col("kind") == CELLS).groupBy("part").agg(F.sum("n").alias("n")).toPandas()  # at most _R3 * 256 rows
-    counts = np.zeros(_R3 * 256, np.int64)
-    counts[got.part.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
-    return counts
+    total = np.zeros(_R3 * 256, np.int64)
+    for r in _grouped(rows.where(F.col("kind") == CELLS), "part", _summed).collect():  # at most RANGES rows, of at most _RANGE cells
+        total[r.part * _RANGE :][:_RANGE] = _counted([{"a": r.a, "b": r.b}])
+    return total[_mixed_cells(np.arange(_R3 * 256))]
 
 
 def _discount(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
+def _parts(docs: DataFrame) -> int:
+    """Parts of words and of pairs, from the bytes of all texts: the rows that parts exchange must not grow with a cluster's settings."""
+    n = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(LEAST_PARTS, -(-n // PART_BYTES))
+
+
 def _only(rows: DataFrame, kind: int) -> DataFrame:
     """The rows of a kind, written by themselves; the table that they are from goes."""
     out = written(rows.where(F.col("kind") == kind), "kept")
@@ -533,7 +589,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     batches_of(spark, MANY)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = _parts(docs)
     kind = lambda df, *kinds: df.where(F.col("kind").isin(*kinds))
     found = written(postings(docs, parts), "postings")
     words = written(_grouped(kind(found, WORDS), "part", _vocabulary), "vocabulary")

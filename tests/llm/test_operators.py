@@ -157,6 +157,54 @@ def test_scores_follow_the_order_of_words(spark):
     assert abs(a.base_score - b.base_score) < 1e-9 and a.n_known == b.n_known == 7 and a.score > b.score + 5 and a.score > -1
 
 
+def test_scores_and_messages_do_not_depend_on_shuffle_partitions(spark, texts, monkeypatch):
+    made, got, old = [], [], spark.conf.get("spark.sql.shuffle.partitions")
+
+    def written(df, name):
+        out = common.written(df, name)
+        made[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(lm_score, "written", written)
+    d = frame(spark, EDGE + texts[:20]).coalesce(1)
+    try:
+        for n in ("4", "19"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            made.append(0)
+            got.append(sorted(map(repr, lm_score.score(d).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got[0] == got[1] and made[0] == made[1] < 3000
+    size = sum(len((t or "").encode()) for _, t in EDGE + texts[:20])
+    monkeypatch.setattr(lm_score, "PART_BYTES", size // 10)
+    assert lm_score._parts(d) in (10, 11) and lm_score._parts(frame(spark, [])) == lm_score._parts(frame(spark, [(1, None)])) == lm_score.LEAST_PARTS
+
+
+def test_distinct_pairs_of_words():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for most, n in ((1, 0), (1, 1), (3, 50), (1000, 5000), (1 << 31, 5000)):  # the last does not fit 64 bits with its positions
+        u, w = rng.integers(0, most, n // 2 + 1)[rng.integers(0, n // 2 + 1, n)], rng.integers(0, most, n)
+        key, back = np.unique(np.stack([u, w], axis=1), axis=0, return_inverse=True)
+        a, b, at = lm_score._unique(u, w)
+        assert (a == key[:, 0]).all() and (b == key[:, 1]).all() and (at == back.ravel()).all()
+
+
+def test_cells_of_the_speller_are_counted_by_range(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    words = [[b"a", b"abc", "日本".encode()], [b"abc", bytes([0, 255]), b"z" * 300], [b"q"]]
+    cells = [lm_score.spelling(w)[0] for w in words]
+    times = [np.arange(1, len(c) + 1) for c in cells]
+    rows = [lm_score._cells(c, n) for c, n in zip(cells, times, strict=True)]
+    assert all(len(r) <= lm_score.RANGES for r in rows)
+    got = lm_score._used(spark.createDataFrame(pa.Table.from_batches([lm_score._batch(r) for r in rows])))
+    assert (got == np.bincount(np.concatenate(cells), np.concatenate(times), len(got))).all()
+    assert (np.unique(lm_score._mixed_cells(np.arange(len(got)))) == np.arange(len(got))).all()
+
+
 def test_words_after_a_word_have_probability_one_in_all():
     import numpy as np
 
